@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from warraq.llm import chat_format, hilbert_shards, quality_rules
+from warraq.llm import bpe, chat_format, hilbert_shards, quality_rules, token_planes
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
+    "op2_byte_bpe": bpe.op2,
+    "op3_token_planes": token_planes.op3,
     "op4_hilbert_sharding": hilbert_shards.op4,
     "op5_quality_rules": quality_rules.op5,
 }
