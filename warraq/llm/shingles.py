@@ -49,11 +49,10 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _hashed(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """The shingle hashes of each text, in order of place; bounds: where texts begin, and the end."""
-    n = len(bounds) - 1
+def _word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many stand before each bound; bounds: where texts begin, and the end."""
     if not len(data):
-        return [np.empty(0, np.int64)] * n
+        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
     data = _LOWER[data]
     word = ~_SPACE[data]
     first = np.zeros(len(data) + 1, bool)
@@ -69,7 +68,12 @@ def _hashed(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _SALTS[2])
-    counts = np.searchsorted(starts, bounds)
+    return words, np.searchsorted(starts, bounds)
+
+
+def _hashed(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The shingle hashes of each text, in order of place."""
+    words, counts = _word_hashes(data, bounds)
     runs = np.empty(0, np.uint64)
     if len(words) >= SIZE:
         m = len(words) - SIZE + 1
@@ -110,6 +114,17 @@ def sequences(column: pa.Array) -> Iterator[np.ndarray]:
             yield from _hashed(data[at[0] : at[-1]], at - at[0])
 
 
+def words(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a column in order of place."""
+    data, offsets = texts_of(column)
+    with np.errstate(over="ignore"):
+        for lo, hi in _slices(offsets):
+            at = offsets[lo : hi + 1]
+            hashes, counts = _word_hashes(data[at[0] : at[-1]], at - at[0])
+            for a, b in zip(counts[:-1].tolist(), counts[1:].tolist(), strict=True):
+                yield hashes[a:b]
+
+
 def sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
     for x in sequences(column):
