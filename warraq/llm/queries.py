@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from warraq.llm import bpe, chat_format, hilbert_shards, near_dups, pairwise_quality, quality_rules, site_text, token_planes
+from warraq.llm import bpe, chat_format, decontaminate, hilbert_shards, near_dups, pairwise_quality, quality_rules, site_text, token_planes
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_planes": token_planes.op3,
     "op4_hilbert_sharding": hilbert_shards.op4,
     "op5_quality_rules": quality_rules.op5,
+    "op6_decontamination": decontaminate.op6,
     "op7_pairwise_quality": pairwise_quality.op7,
     "op9_html_extraction": site_text.op9,
     "op10_minhash_near_dedup": near_dups.op10,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
 }
