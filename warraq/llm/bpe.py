@@ -129,22 +129,23 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", ranks_path: str
     return df.withColumn(to, decoded(F.col(ids)))
 
 
-def round_trip(df: DataFrame, text: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256: ``encode`` and ``decode`` in one pass, so that
-    neither ids nor decoded bytes travel between Python and the JVM."""
+def round_trip(df: DataFrame, text: str = "text", ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: ``encode`` and ``decode`` in one
+    pass, so that decoded bytes do not travel between Python and the JVM."""
     path = ranks_path or public_tokenizers.path(RANKS)
+    out = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    @F.pandas_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
     def digests(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         enc, lengths = encoding(path)
         for column in columns:
             rows = []
             for x in _texts(column):
                 ids = encode_text(x, enc, lengths)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(ids, enc)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                packed = np.array(ids, "<u4").tobytes()
+                rows.append((len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decode_ids(ids, enc)).hexdigest(), packed)[: len(out)])
+            yield pd.DataFrame(rows, columns=out)
 
-    out = ("n_tokens", "ids_sha256", "decoded_sha256")
     others = [F.col(c) for c in df.columns if c not in out]
     return df.withColumn("__digests", digests(F.col(text))).select(*others, *[F.col(f"__digests.{c}").alias(c) for c in out])
 

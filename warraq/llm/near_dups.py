@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.shingles import set_hash, sets
@@ -38,8 +38,13 @@ K, SHORT, BLOCK, PERCENT = 16, 48, 512, 75
 LEAST = 3
 
 
+def row_key() -> Column:
+    """Rows that agree in doc_id and text are one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, sketch): the size of the set, its hash and its K smallest hashes."""
+    """(doc_id, row_key, n, node, sketch): the size of the set, its hash and its K smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +54,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 node.append(set_hash(s) if len(s) else None)
                 sketch.append(s[:K])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
+                ["doc_id", "row_key", "n", "node", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch array<bigint>")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, node bigint, sketch array<bigint>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     hashes.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    rows = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").select("node", "text")
     return rows.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
 
 
@@ -134,7 +139,7 @@ def _long_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple
         return kept.assign(v=v, i=i, j=j, sketch=frame["sketch"])[["v", "i", "j", "own", "node", "n"]]
 
     flagged = materialize(spread.groupBy("v", "i", "j").applyInPandas(flag, "v bigint, i int, j int, own int, node bigint, n bigint"))
-    wanted = flagged.select("node").distinct().join(nodes, "node").select("node", "doc_id")
+    wanted = flagged.select("node").distinct().join(nodes, "node").select("node", "row_key")
     full = flagged.join(_full_sets(docs, wanted), "node")
 
     def verify(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -165,7 +170,7 @@ def _short_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tupl
     with_a = met.join(sketch.toDF("a", "na", "sa"), "a")
     both = with_a.join(sketch.toDF("b", "nb", "sb"), "b")
     pairs = materialize(both.filter((F.least("na", "nb") < K) | (_estimate(F.col("sa"), F.col("sb")) >= LEAST)).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc_id")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "row_key")
     full = materialize(_full_sets(docs, wanted))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +220,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
     rows = materialize(sketches(docs))
-    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     posted = nodes.select(F.explode("sketch").alias("v"), "node", "n", "sketch")
     counts = nodes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     lists = counts.filter(F.col("m") <= SHORT).select("v")
@@ -231,10 +236,16 @@ def near_dups(docs: DataFrame) -> DataFrame:
     named = roots.join(nodes.select("node", "doc_id"), "node")
     labels = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
     alone = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(alone, "node", "left")
+    out = rows.select("doc_id", "row_key", "n", "node").join(alone, "node", "left")
     label = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"), "row_key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, with the columns it came with; repeated rows become one."""
+    kept = near_dups(docs).filter("kept").select(F.col("row_key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return near_dups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_dups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from warraq.llm import bpe, chat_format, decontaminate, hilbert_shards, near_dups, pairwise_quality, quality_rules, site_text, token_planes
+from warraq.llm import bpe, chat_format, decontaminate, hilbert_shards, near_dups, pairwise_quality, quality_rules, repeated_spans, site_text, token_planes
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5,
     "op6_decontamination": decontaminate.op6,
     "op7_pairwise_quality": pairwise_quality.op7,
+    "op8_repeated_spans": repeated_spans.op8,
     "op9_html_extraction": site_text.op9,
     "op10_minhash_near_dedup": near_dups.op10,
 }
