@@ -2,5 +2,533 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from warraq.functions import identity as I
+from warraq.functions import text as T
+from warraq.operators import dense, evaluate, fusion, ingest, lexical, present
+from warraq.plans import corpus
+from warraq.session import table
+from warraq.sources import store
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return put
+
+
+LEXICAL_SQL = f"WITH {corpus.CHUNKS_SQL}, {corpus.QUERIES_SQL}, {corpus.SCORED_SQL}"
+
+
+# Text and identity
+
+
+@query(f"SELECT doc_id, {corpus.NORMALIZED('text')} AS text_normalized FROM documents")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text"), composed=True).alias("text_normalized"))
+
+
+@query(f"SELECT doc_id, len(w)::INTEGER AS n_tokens, len(list_distinct(w))::INTEGER AS n_distinct FROM (SELECT doc_id, regexp_extract_all({corpus.NORMALIZED('text')}, '{T.WORD}') AS w FROM documents)")
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "documents").select("doc_id", T.tokens(T.normalize(F.col("text"), composed=True)).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
+
+
+@query(f"WITH {corpus.QUERIES_SQL} SELECT query_id, normalized, array_to_string(terms, '|') AS terms FROM queries")
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.analyze(corpus.queries(spark, d), composed=True).select("query_id", "normalized", F.array_join("terms", "|").alias("terms"))
+
+
+@query("SELECT * FROM (VALUES (0, 'الصلاة السفر'), (1, 'السفر الصلاة الصوم'), (2, 'في من')) AS t(query_id, terms)")
+def proclitic_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(0, "الصَّلَاة في الصلاة والسَّفَر"), (1, "والسفر بالصلاة للصوم"), (2, "في من")]
+    asked = spark.createDataFrame(rows, "query_id int, query string").withColumn("work_uri", F.lit(None).cast("string"))
+    return lexical.analyze(asked).select("query_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query("SELECT doc_id, ((length(text) - length(replace(text, 'on', ''))) // 2)::INTEGER AS n_on, ((length(text) - length(replace(text, 'thth', ''))) // 4)::INTEGER AS n_thth FROM documents")
+def occurrence_count(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.occurrences(x, F.lit("on")).alias("n_on"), T.occurrences(x, F.lit("thth")).alias("n_thth"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, sha256(lang || '|' || source) AS source_sha256 FROM documents")
+def sha_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", I.sha256(F.col("text")).alias("text_sha256"), I.sha256(F.concat_ws("|", "lang", "source")).alias("source_sha256"))
+
+
+@query(f"WITH {corpus.CHUNKS_SQL} SELECT doc_id, chunk_id FROM chunks")
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunks(spark, d).select("doc_id", "chunk_id")
+
+
+@query(
+    f"WITH {corpus.CHUNKS_SQL}, h AS (SELECT doc_id, sha1(unhex('{I.POINT_NAMESPACE}') || encode(chunk_id)) AS s FROM chunks) SELECT doc_id, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || translate(s[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || s[18:20] || '-' || s[21:32] AS point_id FROM h"
+)
+def point_uuid(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunks(spark, d).select("doc_id", I.point_uuid(F.col("chunk_id")).alias("point_id"))
+
+
+@query("""SELECT lang, source, sha256('{"provider": "' || lang || '", "release": ' || CASE WHEN source = 'src1' THEN 'null' ELSE '"' || source || '"' END || ', "source_url": "http://example.com/' || source || '"}') AS source_key FROM (SELECT DISTINCT lang, source FROM documents)""")
+def source_key(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "documents").select("lang", "source").distinct()
+    release = F.when(F.col("source") != "src1", F.col("source"))
+    return pairs.select("lang", "source", I.source_key(F.col("lang"), F.concat(F.lit("http://example.com/"), "source"), release).alias("source_key"))
+
+
+_FP = """'{"chunk_id":"' || chunk_id || '","quality_status":"' || quality_status || '","sequence_no":' || sequence_no || ',"text_hash":"' || text_hash || '","version_uri":"' || version_uri || '","work_uri":"' || work_uri || '"}' || chr(10)"""
+
+
+@query(f"WITH {corpus.CHUNKS_SQL} SELECT work_uri, sha256(string_agg({_FP}, '' ORDER BY version_uri, sequence_no, chunk_id)) AS fingerprint, count(*) AS n_chunks FROM chunks WHERE quality_status <> 'REJECTED' GROUP BY work_uri")
+def chunk_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return I.chunk_fingerprint(lexical.allowed(corpus.chunks(spark, d)), by=("work_uri",))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    rows = corpus.chunks(spark, d).groupBy("author_uri", "work_uri", "version_uri").agg(F.max("text_hash").alias("source_text_sha256"), F.max("quality_status").alias("quality_status"), F.min("sequence_no").alias("n"))
+    return rows.withColumns({"source_metadata_sha256": F.when(F.col("n") % 2 == 0, F.col("source_text_sha256")), "source_key": F.col("author_uri")})
+
+
+@query(
+    f"""WITH {corpus.CHUNKS_SQL}, v AS (SELECT author_uri, work_uri, version_uri, max(text_hash) AS h, max(quality_status) AS q, min(sequence_no) AS n FROM chunks GROUP BY ALL)
+SELECT sha256('[' || string_agg('{{"author_uri":"' || author_uri || '","quality_status":"' || q || '","source_key":"' || author_uri || '","source_metadata_sha256":' || CASE WHEN n % 2 = 0 THEN '"' || h || '"' ELSE 'null' END || ',"source_text_sha256":"' || h || '","version_uri":"' || version_uri || '","work_uri":"' || work_uri || '"}}', ',' ORDER BY version_uri) || ']') AS fingerprint, count(*) AS n_versions FROM v"""
+)
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return I.corpus_fingerprint(_versions(spark, d))
+
+
+@query(f"WITH {corpus.CHUNKS_SQL} SELECT doc_id, 'passage: ' || lang || ' / ' || source || chr(10) || text_normalized AS passage FROM chunks")
+def embedding_passage(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.chunks(spark, d).select("doc_id", dense.passage(F.col("text_normalized"), F.col("section_path"), composed=True).alias("passage"))
+
+
+# Lexical ranking
+
+_EN = "work_uri = 'en.src1' AND quality_status <> 'REJECTED'"
+
+
+def _analyzed(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.analyze(corpus.queries(spark, d), composed=True)
+
+
+def _searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    return lexical.search_batch(lexical.allowed(corpus.chunks(spark, d)), _analyzed(spark, d), limit)
+
+
+@query(f"{LEXICAL_SQL} SELECT query_id, doc_id, hits::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, ingest_order)::INTEGER AS candidate FROM scored WHERE quality_status <> 'REJECTED' QUALIFY candidate <= 20")
+def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
+    found = lexical.candidates(lexical.allowed(corpus.chunks(spark, d)), _analyzed(spark, d), 20)
+    return found.select("query_id", F.col("ingest_order").alias("doc_id"), "hits", "candidate")
+
+
+@query(f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored WHERE query_id < 5")
+def lexical_score(spark: SparkSession, d: str) -> DataFrame:
+    chunks, asked = corpus.chunks(spark, d), _analyzed(spark, d).filter("query_id < 5")
+    held = lexical.matches(chunks, asked).select("query_id", "chunk_id")
+    out = lexical.score(held.join(chunks, "chunk_id").join(F.broadcast(asked.drop("work_uri")), "query_id"))
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "phrase_hits", "term_hits", "section_hits")
+
+
+def _one(spark: SparkSession, d: str, work: str | None, rejected: bool) -> DataFrame:
+    asked = _analyzed(spark, d).filter("query_id = 1").limit(1)
+    terms = asked.first()["terms"]
+    out = lexical.search(lexical.allowed(corpus.chunks(spark, d), work, rejected), asked, terms, 10)
+    return out.select(F.col("rank"), "doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
+
+
+_ONE = "SELECT rank::INTEGER AS rank, doc_id, round(score, 6) AS score, round(matched_terms::DOUBLE / total_terms, 6) AS coverage FROM lexical WHERE query_id = 1"
+
+
+@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(500, 10, 'true')} {_ONE}")
+def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, d, None, True)
+
+
+@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(500, 10, _EN)} {_ONE}")
+def lexical_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _one(spark, d, "en.src1", False)
+
+
+@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(250, 5)} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM lexical")
+def lexical_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d, 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {corpus.CHUNKS_SQL} SELECT doc_id FROM chunks WHERE contains(lower(text_normalized), 'thhehe') OR contains(lower(section_text_normalized), 'thhehe')")
+def lexical_trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
+    chunks = corpus.chunks(spark, d)
+    return lexical.by_trigram(chunks, lexical.trigrams(chunks), "thhehe").select("doc_id")
+
+
+# Filters, joins and distinct
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%THEHE%' OR source ILIKE '%SRC1%'")
+def ilike_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(F.col("text").ilike("%THEHE%") | F.col("source").ilike("%SRC1%")).select("doc_id", "n_chars")
+
+
+@query(f"WITH {corpus.CHUNKS_SQL} SELECT quality_status, count(*) AS n FROM chunks WHERE quality_status <> 'REJECTED' GROUP BY ALL")
+def quality_filter(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.allowed(corpus.chunks(spark, d)).groupBy("quality_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT lang || '.' || source AS work_uri, lang || ' / ' || source AS section FROM documents")
+def distinct_locations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.concat_ws(".", "lang", "source").alias("work_uri"), F.concat_ws(" / ", "lang", "source").alias("section")).distinct()
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang || '.' || source IN ('en.src1', 'fr.src2', 'de.src3')")
+def any_membership(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter(F.concat_ws(".", "lang", "source").isin("en.src1", "fr.src2", "de.src3")).select("doc_id", "lang", "source")
+
+
+@query(
+    "SELECT r_name, n_name, o_orderstatus, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus <> 'P' GROUP BY ALL"
+)
+def star_join(spark: SparkSession, d: str) -> DataFrame:
+    orders, customer, nation, region = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    joined = orders.filter("o_orderstatus <> 'P'").join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name", "n_name", "o_orderstatus").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# Dense ranking and fusion
+
+VECTOR_SQL = f"{LEXICAL_SQL}, vectors AS (SELECT c.*, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM chunks c JOIN embeddings e ON c.doc_id = e.vec_id), probes AS (SELECT item_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM benchmark JOIN embeddings ON item_id = vec_id)"
+
+
+def _dense_sql(limit: int, where: str = "quality_status <> 'REJECTED'") -> str:
+    return f"{VECTOR_SQL}, semantic AS (SELECT query_id, chunk_id, doc_id, work_uri, list_cosine_similarity(v, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v, q) DESC, chunk_id) AS rank FROM vectors, probes WHERE {where} QUALIFY rank <= {limit})"
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.allowed(corpus.chunks(spark, d, vectors=True)).select("chunk_id", "doc_id", "work_uri", "embedding")
+
+
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(f"{_dense_sql(5)} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM semantic")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return dense.top_k(_vectors(spark, d), _probes(spark, d), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_dense_sql(5, _EN)} SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM semantic")
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return dense.top_k(_vectors(spark, d).filter("work_uri = 'en.src1'"), _probes(spark, d), 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+POOL = 25
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return _searched(spark, d, POOL).select("query_id", "chunk_id", "rank"), dense.top_k(_vectors(spark, d), _probes(spark, d), POOL).select("query_id", "chunk_id", "rank")
+
+
+RANKINGS_SQL = f"{_dense_sql(POOL)}, {corpus.ranked_sql(1250, POOL)}"
+MERGED_SQL = "merged AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.chunk_id, s.chunk_id) AS chunk_id, l.rank AS lexical_rank, s.rank AS semantic_rank FROM lexical l FULL JOIN semantic s ON l.query_id = s.query_id AND l.chunk_id = s.chunk_id)"
+
+
+def _fused_sql(a: float, b: float, merged: str = MERGED_SQL, limit: int = 10) -> str:
+    score = f"coalesce({a} / (60.0::DOUBLE + lexical_rank), 0) + coalesce({b} / (60.0::DOUBLE + semantic_rank), 0)"
+    return f"{RANKINGS_SQL}, {merged}, fused AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, coalesce(lexical_rank, 1000000000), coalesce(semantic_rank, 1000000000), chunk_id) AS rank FROM merged QUALIFY rank <= {limit}) SELECT query_id, rank::INTEGER AS rank, chunk_id, round(score, 9) AS score, lexical_rank::INTEGER AS lexical_rank, semantic_rank::INTEGER AS semantic_rank FROM fused"
+
+
+def _fused(spark: SparkSession, d: str, a: float, b: float) -> DataFrame:
+    out = fusion.fuse(*_both(spark, d), limit=10, lexical_weight=a, semantic_weight=b)
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "lexical_rank", "semantic_rank")
+
+
+@query(_fused_sql(0.5, 0.5))
+def rrf_equal(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d, 1, 1)
+
+
+@query(_fused_sql(0.2, 0.8))
+def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d, 0.2, 0.8)
+
+
+@query(_fused_sql(1.0, 0.0))
+def rrf_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d, 1, 0)
+
+
+# Evaluation and tuning
+
+CASES_SQL = "cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 3 = 0 THEN 'direct' WHEN item_id % 3 = 1 THEN 'paraphrase' ELSE 'broad' END AS query_type, CASE WHEN item_id % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, 5 AS k, CASE WHEN item_id % 4 = 0 THEN 1 ELSE 5 END AS max_rank FROM benchmark)"
+RELEVANT_SQL = "relevant AS (SELECT item_id AS query_id, chunk_id FROM benchmark, chunks WHERE contains(text_original, text))"
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    kind = F.when(i % 3 == 0, "direct").when(i % 3 == 1, "paraphrase").otherwise("broad")
+    return table(spark, d, "benchmark").select(i.alias("case_id"), kind.alias("query_type"), F.when(i % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.lit(5).alias("k"), F.when(i % 4 == 0, 1).otherwise(5).alias("max_rank"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    hits = _searched(spark, d, 5).select("query_id", "chunk_id", "rank").join(corpus.relevant(spark, d).withColumn("relevant", F.lit(True)), ["query_id", "chunk_id"])
+    return evaluate.case_results(_cases(spark, d), hits.withColumnRenamed("query_id", "case_id"))
+
+
+RESULTS_SQL = f"""{LEXICAL_SQL}, {corpus.ranked_sql(250, 5)}, {CASES_SQL}, {RELEVANT_SQL}, found AS (SELECT query_id AS case_id, rank FROM lexical JOIN relevant USING (query_id, chunk_id)),
+firsts AS (SELECT c.*, min(rank) FILTER (rank <= k)::INTEGER AS first_rank, count(*) FILTER (rank <= k)::INTEGER AS relevant_count FROM cases c LEFT JOIN found USING (case_id) GROUP BY ALL),
+results AS (SELECT *, first_rank IS NOT NULL AS hit, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= max_rank, false) AS passed, coalesce(1.0::DOUBLE / first_rank, 0) AS reciprocal_rank, relevant_count::DOUBLE / k AS precision_at_k FROM firsts)"""
+METRICS_SQL = "count(*) AS n_cases, count_if(passed)::BIGINT AS n_passed, round(avg(passed::INT), 6) AS pass_rate, round(avg(hit::INT), 6) AS hit_rate, round(avg(hit_at_1::INT), 6) AS hit_at_1_rate, round(avg(hit_at_3::INT), 6) AS hit_at_3_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(precision_at_k), 6) AS mean_precision_at_k, round(avg(first_rank), 6) AS mean_first_rank, bool_and(passed) AS all_passed"
+_RATES = ("pass_rate", "hit_rate", "hit_at_1_rate", "hit_at_3_rate", "mrr", "mean_precision_at_k", "mean_first_rank")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in _RATES})
+
+
+@query(f"{RESULTS_SQL} SELECT case_id, query_type, difficulty, first_rank, relevant_count, hit, hit_at_1, hit_at_3, passed, round(reciprocal_rank, 6) AS reciprocal_rank, round(precision_at_k, 6) AS precision_at_k FROM results")
+def eval_case_results(spark: SparkSession, d: str) -> DataFrame:
+    out = _evaluated(spark, d).drop("k", "max_rank")
+    return out.withColumns({c: F.round(c, 6) for c in ("reciprocal_rank", "precision_at_k")})
+
+
+@query(f"{RESULTS_SQL} SELECT {METRICS_SQL} FROM results")
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluate.summary(_evaluated(spark, d)))
+
+
+@query(f"{RESULTS_SQL} SELECT CASE WHEN grouping(query_type) = 0 THEN 'query_type' WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'all' END AS slice, coalesce(query_type, difficulty, 'all') AS value, {METRICS_SQL} FROM results GROUP BY GROUPING SETS ((), (query_type), (difficulty))")
+def eval_slices(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluate.slices(_evaluated(spark, d)))
+
+
+@query("SELECT lang, round(median(n_chars), 3) AS median, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY lang")
+def eval_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.groupBy("lang").agg(F.round(F.median("n_chars"), 3).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)").cast("long").alias("p95"))
+
+
+@query("WITH c AS (SELECT item_id AS case_id, 'en.src' || (item_id % 25) AS work_uri, 'src' || (item_id % 25) AS expected, CASE WHEN item_id % 2 = 0 THEN 500 END AS page_min FROM benchmark) SELECT case_id FROM c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang || '.' || d.source = c.work_uri AND contains(d.lang || ' / ' || d.source, expected) AND (page_min IS NULL OR d.doc_id % 1000 >= page_min))")
+def label_validation(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    name = F.concat(F.lit("src"), (i % 25).cast("string"))
+    none = F.lit(None).cast("int")
+    cases = table(spark, d, "benchmark").select(i.alias("case_id"), F.concat(F.lit("en."), name).alias("work_uri"), F.array(name).alias("expected_section_contains"), none.alias("expected_volume"), F.when(i % 2 == 0, 500).alias("expected_page_min"), none.alias("expected_page_max"))
+    places = table(spark, d, "documents").select(F.concat_ws(".", "lang", "source").alias("work_uri"), F.array("lang", "source").alias("section_path"), F.lit(1).alias("volume"), (F.col("doc_id") % 1000).cast("int").alias("page"))
+    return evaluate.unlabelled(cases, places).select("case_id")
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.sweep(_cases(spark, d), *_both(spark, d), corpus.relevant(spark, d))
+
+
+SWEEP_SQL = f"""{RANKINGS_SQL}, {MERGED_SQL}, {CASES_SQL}, {RELEVANT_SQL}, grid AS (SELECT * FROM (VALUES (0, 0.5::DOUBLE, 0.5::DOUBLE), (1, 0.4, 0.6), (2, 0.3, 0.7), (3, 0.2, 0.8), (4, 0.1, 0.9)) AS g(grid_position, lexical_w, semantic_w)),
+weighed AS (SELECT *, coalesce(lexical_w / (lexical_w + semantic_w) / (60.0::DOUBLE + lexical_rank), 0) + coalesce(semantic_w / (lexical_w + semantic_w) / (60.0::DOUBLE + semantic_rank), 0) AS score FROM merged, grid),
+fused AS (SELECT *, row_number() OVER (PARTITION BY grid_position, query_id ORDER BY score DESC, coalesce(lexical_rank, 1000000000), coalesce(semantic_rank, 1000000000), chunk_id) AS rank FROM weighed QUALIFY rank <= 5),
+found AS (SELECT grid_position, query_id AS case_id, rank FROM fused JOIN relevant USING (query_id, chunk_id)),
+firsts AS (SELECT c.*, g.*, min(rank) FILTER (rank <= k)::INTEGER AS first_rank, count(*) FILTER (rank <= k)::INTEGER AS relevant_count FROM cases c CROSS JOIN grid g LEFT JOIN found f ON f.case_id = c.case_id AND f.grid_position = g.grid_position GROUP BY ALL),
+results AS (SELECT *, first_rank IS NOT NULL AS hit, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= max_rank, false) AS passed, coalesce(1.0::DOUBLE / first_rank, 0) AS reciprocal_rank, relevant_count::DOUBLE / k AS precision_at_k FROM firsts),
+swept AS (SELECT grid_position, lexical_w AS lexical, semantic_w AS semantic, printf('lexical_%.2f_semantic_%.2f', lexical_w, semantic_w) AS label, {METRICS_SQL}, coalesce(string_agg(case_id::VARCHAR, ',' ORDER BY case_id::VARCHAR) FILTER (NOT passed), '') AS failed_case_ids FROM results GROUP BY grid_position, lexical_w, semantic_w)"""
+
+
+@query(f"{SWEEP_SQL} SELECT * FROM swept")
+def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_swept(spark, d))
+
+
+@query(f"{SWEEP_SQL} SELECT * FROM swept ORDER BY pass_rate DESC, hit_at_1_rate DESC, mrr DESC, mean_precision_at_k DESC, semantic, grid_position LIMIT 1")
+def best_weight(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluate.best(_swept(spark, d)))
+
+
+# Presentation
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    path = F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
+    return table(spark, d, "documents").select("doc_id", path.alias("section_path"), F.when(i % 5 == 0, "main_legacy_inferred").otherwise("main").alias("content_kind"), F.when(i % 7 == 0, "0595IbnRushdHafid.BidayatMujtahid").otherwise(F.col("source")).alias("work_uri"), F.when(i % 2 == 0, F.col("lang")).alias("work_title"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'legacy_pipe_inferred' WHEN doc_id % 3 <> 0 THEN 'openiti_explicit' ELSE 'none' END AS provenance, CASE WHEN doc_id % 5 = 0 THEN 'INFERRED' WHEN doc_id % 3 <> 0 THEN 'SOURCE_EXPLICIT' ELSE 'NONE' END AS status FROM documents")
+def structure_provenance(spark: SparkSession, d: str) -> DataFrame:
+    a, b = present.structure(F.col("content_kind"), F.col("section_path"))
+    return _kinds(spark, d).select("doc_id", a.alias("provenance"), b.alias("status"))
+
+
+_T = present.CATALOG[0]
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '{_T[1]}' WHEN doc_id % 2 = 0 THEN lang END AS work_display, CASE WHEN doc_id % 7 = 0 THEN 'VERIFIED_EXTERNAL_CATALOG' WHEN doc_id % 2 = 0 THEN 'SOURCE_METADATA' ELSE 'UNVERIFIED' END AS verification_status, CASE WHEN doc_id % 7 = 0 THEN '{_T[5]}' WHEN doc_id % 2 = 0 THEN source END AS source_record_id FROM documents")
+def bibliography_lookup(spark: SparkSession, d: str) -> DataFrame:
+    out = present.with_bibliography(_kinds(spark, d), present.catalog(spark))
+    return out.select("doc_id", "work_display", "bibliographic_provenance.verification_status", "bibliographic_provenance.source_record_id")
+
+
+@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(250, 3)} SELECT query_id, rank::INTEGER AS rank, round(score, 3) AS score, round(matched_terms::DOUBLE / total_terms, 3) AS coverage, lang AS author, 'SOURCE_METADATA' AS verification_status, 'SOURCE_EXPLICIT' AS structure_status, chunk_id, version_uri, substr(text_original, 1, 700) AS passage_original FROM lexical")
+def citation_payload(spark: SparkSession, d: str) -> DataFrame:
+    found = _searched(spark, d, 3).withColumns({"content_kind": F.lit("main"), "work_title": F.col("work_uri"), "author_name": F.col("author_uri")})
+    out = present.payload(found, present.catalog(spark), 700)
+    c = F.col("citation")
+    return out.select("query_id", "rank", "score", "coverage", c["author"].alias("author"), c["bibliographic_provenance"]["verification_status"].alias("verification_status"), c["structure_status"].alias("structure_status"), c["chunk_id"].alias("chunk_id"), c["version_uri"].alias("version_uri"), "passage_original")
+
+
+# Ingest over synthetic metadata and markup made of the driver's rows
+
+
+@query("SELECT doc_id, source || 'A' AS author_uri, source || 'A.' || lang AS work_uri, 'v' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '-ENG1' ELSE '' END AS version_id, CASE WHEN doc_id % 2 = 0 THEN 'eng1' END AS language_code FROM documents")
+def uri_parse(spark: SparkSession, d: str) -> DataFrame:
+    uri = F.concat(F.lit(" "), "source", F.lit("A."), "lang", F.lit(".v"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, "-ENG1").otherwise(""))
+    p = table(spark, d, "documents").select("doc_id", ingest.uri_parts(uri).alias("p"))
+    return p.select("doc_id", "p.author_uri", "p.work_uri", "p.version_id", "p.language_code")
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit("00#VERS#URI######: x."), "source", F.lit(".v"), i, F.lit("\n90#VERS#ISSUES###: "), F.when(F.col("doc_id") % 3 == 0, "formalized issues, see").otherwise(F.concat("lang", F.lit(", , NOTES"))),
+        F.lit("\n   more: text\n\n30#AUTH#DIED###AH:"), F.when(F.col("doc_id") % 4 != 0, " 0595-XX-XX").otherwise(" unknown"), F.lit("\n10#BOOK#TITLEB#AR: "), "lang", F.lit("\n10#BOOK#TITLEB#AR: "), "source"
+    )
+    files = table(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return ingest.metadata_maps(files, "doc_id", "raw")
+
+
+@query("SELECT doc_id, 'x.' || source || '.v' || doc_id AS uri, CASE WHEN doc_id % 3 = 0 THEN 'formalized issues, see' ELSE lang || ', , NOTES' END || chr(10) || 'more: text' AS issues, lang || chr(10) || source AS title, 4 AS n_keys FROM documents")
+def metadata_map(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("metadata")
+    return _metadata(spark, d).select("doc_id", m["00#VERS#URI######"].alias("uri"), m["90#VERS#ISSUES###"].alias("issues"), m["10#BOOK#TITLEB#AR"].alias("title"), F.size(m).alias("n_keys"))
+
+
+@query("SELECT doc_id, lang || chr(10) || source AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang || ', , NOTES' || chr(10) || 'more: text' END AS issues FROM documents")
+def metadata_value(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("metadata")
+    return _metadata(spark, d).select("doc_id", ingest.metadata_value(m, "10#BOOK#TITLEA#AR", "10#BOOK#TITLEB#AR", meaningful=True).alias("title"), ingest.metadata_value(m, "90#VERS#ISSUES###", meaningful=True).alias("issues"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || '|NOTES' || chr(10) || 'more: text' END AS issues FROM documents")
+def quality_issues(spark: SparkSession, d: str) -> DataFrame:
+    return _metadata(spark, d).select("doc_id", F.array_join(ingest.quality_issues(F.col("metadata")), "|").alias("issues"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 595 ELSE 700 + (doc_id % 100)::INTEGER END AS death_year FROM documents")
+def death_year(spark: SparkSession, d: str) -> DataFrame:
+    uri = F.concat(F.format_string("%04d", 700 + F.col("doc_id") % 100), F.lit("Name"))
+    return _metadata(spark, d).select("doc_id", ingest.death_year(F.col("metadata"), uri).alias("death_year"))
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Two numbered pages and a rest, with nested headings, of every document."""
+    body = F.concat(
+        F.lit("### | "), "lang", F.lit("\n# "), "text", F.lit("\nPageV01P"), F.format_string("%03d", F.col("doc_id") % 1000), F.lit("\n### ||| "), "source", F.lit("\nplain\n### |EDITOR|\n# note\nFolioV02P07A"),
+        F.when(F.col("doc_id") % 2 == 0, "\n# tail").otherwise(""),
+    )
+    return table(spark, d, "documents").select(F.col("doc_id").alias("version_uri"), body.alias("body"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, length(lang) + length(text) + 10 AS a, length(source) + 36 AS b FROM documents)
+SELECT doc_id, 0 AS page_no, 0 AS start, a::INTEGER AS n_chars, 1 AS volume, (doc_id % 1000)::INTEGER AS page, NULL AS side FROM p
+UNION ALL SELECT doc_id, 1, (a + 11)::INTEGER, b::INTEGER, 2, 7, 'A' FROM p
+UNION ALL SELECT doc_id, 2, (a + b + 23)::INTEGER, 7, NULL, NULL, NULL FROM p WHERE doc_id % 2 = 0"""
+)
+def page_spans(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.pages(_bodies(spark, d)).select(F.col("version_uri").alias("doc_id"), "page_no", "start", F.length("segment").alias("n_chars"), "volume", "page", "side")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.structural_blocks(ingest.headed_lines(ingest.pages(_bodies(spark, d)))).withColumnRenamed("version_uri", "doc_id")
+
+
+_BLOCKS_SQL = """blocks AS (
+  WITH p AS (SELECT doc_id, lang, source, length(lang) AS l, length(text) AS t, length(source) AS s, length(lang) + length(text) + 21 AS y FROM documents)
+  SELECT doc_id, 0 AS page_no, 0 AS start, l + 7 AS "end", lang AS path, 'main' AS kind FROM p
+  UNION ALL SELECT doc_id, 0, l + 7, l + t + 10, lang, 'main' FROM p
+  UNION ALL SELECT doc_id, 1, y, y + 1, lang, 'main' FROM p
+  UNION ALL SELECT doc_id, 1, y + 1, y + s + 16, lang || '||' || source, 'main' FROM p
+  UNION ALL SELECT doc_id, 1, y + s + 16, y + s + 29, 'EDITOR', 'editor' FROM p
+  UNION ALL SELECT doc_id, 1, y + s + 29, y + s + 36, 'EDITOR', 'editor' FROM p
+  UNION ALL SELECT doc_id, 2, y + s + 48, y + s + 49, 'EDITOR', 'editor' FROM p WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 2, y + s + 49, y + s + 55, 'EDITOR', 'editor' FROM p WHERE doc_id % 2 = 0)"""
+
+
+@query(f'WITH {_BLOCKS_SQL} SELECT doc_id, page_no, start::INTEGER AS start, "end"::INTEGER AS stop, path, kind FROM blocks')
+def structural_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("doc_id", "page_no", "start", F.col("end").alias("stop"), F.array_join("path", "|").alias("path"), "kind")
+
+
+@query(f"WITH {_BLOCKS_SQL} SELECT path, count(*) AS n FROM blocks GROUP BY ALL")
+def section_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).groupBy(F.array_join("path", "|").alias("path")).agg(F.count("*").alias("n"))
+
+
+@query(f'WITH {_BLOCKS_SQL} SELECT kind, count(*) AS n, sum("end" - start)::BIGINT AS n_chars FROM blocks GROUP BY ALL')
+def content_kind(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+
+
+def _chunked(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.chunk(_bodies(spark, d).withColumn("version_uri", F.col("version_uri").cast("string")), composed=True)
+
+
+@query()
+def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d).select("version_uri", "sequence_no", "source_start", "source_end", "volume", "page", "page_side", F.array_join("section_path", " / ").alias("section"), "content_kind", "text_hash", "chunk_id")
+
+
+@query()
+def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.summary(_chunked(spark, d))
+
+
+@query()
+def legacy_structure(spark: SparkSession, d: str) -> DataFrame:
+    body = F.concat(F.lit("# | كتاب "), "source", F.lit(" ms0067 ب\n# نص ms0007 "), "lang", F.lit("\n# | باب "), "lang", F.lit("\n"), F.substring("text", 1, 300), F.lit("\nPageV01P001"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("version_uri"), body.alias("body"))
+    out = ingest.chunk_all(rows, composed=True)
+    return out.select("version_uri", "sequence_no", "source_start", "source_end", "page", F.array_join("section_path", " / ").alias("section"), "content_kind", "text_hash")
+
+
+# The store's merge rules
+
+
+def _authors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i, docs = F.col("doc_id"), table(spark, d, "documents")
+    empty, held = F.create_map().cast("map<string,string>"), F.create_map(F.lit("k"), F.col("lang"))
+    row = lambda n, name, year, metadata: docs.filter(n).select(i.cast("string").alias("author_uri"), name.alias("name_display"), year.alias("death_year_ah"), metadata.alias("metadata"), F.col("source").alias("metadata_sha256"))
+    none = F.lit(None)
+    return (
+        row(i % 3 != 0, F.col("lang"), F.when(i % 2 == 0, 100), held),
+        row(i % 2 == 0, F.when(i % 4 == 0, F.concat("lang", F.lit("+"))), none.cast("int"), F.when(i % 8 == 0, F.create_map(F.lit("k"), F.lit("new"))).otherwise(empty)),
+    )
+
+
+@query(
+    """WITH o AS (SELECT doc_id, lang AS name, CASE WHEN doc_id % 2 = 0 THEN 100 END AS year, lang AS meta FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang || '+' END AS name, CASE WHEN doc_id % 8 = 0 THEN 'new' END AS meta FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS author_uri, coalesce(n.name, o.name) AS name_display, o.year AS death_year_ah, coalesce(n.meta, o.meta) AS meta FROM o FULL JOIN n USING (doc_id)"""
+)
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    out = store.upsert(*_authors(spark, d), "author_uri", store.AUTHOR_RULES)
+    return out.select("author_uri", "name_display", "death_year_ah", F.col("metadata")["k"].alias("meta"))
+
+
+@query("SELECT doc_id::VARCHAR AS version_uri FROM documents WHERE doc_id % 10 = 0")
+def version_guard(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    stored = docs.select(F.col("doc_id").cast("string").alias("version_uri"), I.sha256(F.col("text")).alias("source_text_sha256"))
+    again = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("version_uri"), I.sha256(F.concat("text", F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))).alias("source_text_sha256"))
+    return store.version_conflicts(stored, again).select("version_uri")
+
+
+@query("SELECT lang || source AS version_uri, doc_id, CASE WHEN source = 'src1' THEN 'new' ELSE 'old' END AS state FROM documents WHERE source <> 'src1' OR doc_id % 2 = 0")
+def chunk_replace(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat("lang", "source").alias("version_uri"), "doc_id", "source")
+    came = docs.filter("source = 'src1' and doc_id % 2 = 0").drop("source").withColumn("state", F.lit("new"))
+    versions = docs.filter("source = 'src1'").select("version_uri")
+    return store.replace_chunks(docs.drop("source").withColumn("state", F.lit("old")), came, versions)
