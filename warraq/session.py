@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED = "warraq.shipped"
+#: Spark drops an execution's shuffle files at its end; whatever is read again is in a written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -50,7 +52,12 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._warraq_path = path
     return out
