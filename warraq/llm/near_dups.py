@@ -6,13 +6,14 @@ union estimates the similarity, and what is not far below the threshold is verif
 as integers: ``100 * intersection >= 75 * union``. Links form components, labelled by their smallest
 doc_id.
 
-Scale. One pass hashes the texts; 16 values a class travel, not texts. Lists of at most ``SHORT``
+Scale. One pass hashes the texts; 16 values a class travel, not texts, and 128 for members of long lists. Lists of at most ``SHORT``
 classes are joined pairwise. A longer list, as a passage or a large family of near copies makes, is
 cut into blocks; each pair of blocks is compared inside one task as an incidence matrix, which first
 names the members that may have a partner and then, for those alone, verifies full sets and gives
 out the links that join them (a spanning forest), so no step gives out all pairs of a list. A pair
 is looked at only in the list of the smallest value that it shares. Nothing is capped: a pair at the
-threshold shares no value, or fewer than ``LEAST`` of them, once in about four million cases.
+threshold shares no value, or fewer than ``LEAST`` of them, once in about four million cases, and
+falls ``SLACK`` deviations below the threshold in a wide sketch once in a million.
 
 Edge cases: null or blank texts have an empty set and link with nothing; with fewer than five words
 the whole sequence is one shingle. Repeated rows fall into one class; a null doc_id takes its
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from warraq.llm.shingles import set_hash, sets
 from warraq.session import discard, materialize
 
-K, SHORT, BLOCK, PERCENT = 16, 48, 512, 75
+K, WIDE, SHORT, BLOCK, PERCENT = 16, 128, 48, 1024, 75
 #: Shared values among the K smallest of a union, below which a pair isn't verified.
 LEAST = 3
+#: Standard deviations below the threshold at which an estimate from wide sketches still goes on to be verified.
+SLACK = 4.75
 
 
 def row_key() -> Column:
@@ -44,21 +47,22 @@ def row_key() -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n, node, sketch): the size of the set, its hash and its K smallest hashes."""
+    """(doc_id, row_key, n, node, sketch, wide): the size of the set, its hash and its K and WIDE smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, sketch = [], [], []
+            n, node, sketch, wide = [], [], [], []
             for s in sets(batch.column("text")):
                 n.append(len(s))
                 node.append(set_hash(s) if len(s) else None)
                 sketch.append(s[:K])
+                wide.append(s[:WIDE].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "n", "node", "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
+                ["doc_id", "row_key", "n", "node", "sketch", "wide"],
             )
 
-    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, node bigint, sketch array<bigint>")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, node bigint, sketch array<bigint>, wide binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,12 +118,21 @@ def _across(side: np.ndarray) -> np.ndarray:
     return (side[:, None] != side[None, :]) if two else ~np.eye(len(side), dtype=bool)
 
 
-def _may_link(v: int, sketch: list[np.ndarray], n: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Pairs of a list that the sketches don't rule out, and whose smallest shared value is the list's."""
+def _may_link(v: int, wide: list[np.ndarray], n: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs of a list that the wide sketches don't rule out, and whose smallest shared value is the list's.
+
+    Up to the lesser of two sketches' ends both sets are known, so the shared part of their union there
+    estimates the similarity; where it ends both sets, it is the similarity."""
     pairs = _across(side) & (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * PERCENT)
-    pairs &= overlaps([s[s < v] for s in sketch]) == 0
-    shared = overlaps(sketch)
-    return pairs & ((shared >= LEAST) | (np.minimum.outer(n, n) < K))
+    pairs &= overlaps([s[s < v] for s in wide]) == 0
+    shared = overlaps(wide).astype(np.float64)
+    ends = np.array([s[-1] if k > WIDE else np.iinfo(np.int64).max for s, k in zip(wide, n.tolist(), strict=True)])
+    end = np.minimum.outer(ends, ends)
+    below = np.stack([np.searchsorted(s, row, "right") for s, row in zip(wide, end, strict=True)])
+    union = below + below.T - shared
+    whole = end == np.iinfo(np.int64).max
+    share = PERCENT / 100
+    return pairs & (shared >= share * union - np.where(whole, 0, SLACK * np.sqrt(share * (1 - share) * union)))
 
 
 def _members(frame: DataFrame) -> DataFrame:
@@ -130,13 +143,13 @@ def _members(frame: DataFrame) -> DataFrame:
 
 
 def _long_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    spread = _members(postings)
+    spread = _members(postings.join(nodes.select("node", "n", "wide"), "node"))
 
     def flag(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         v, i, j = keys
-        may = _may_link(v, list(frame["sketch"]), frame["n"].to_numpy(), frame["own"].to_numpy())
+        may = _may_link(v, [np.frombuffer(x, np.int64) for x in frame["wide"]], frame["n"].to_numpy(), frame["own"].to_numpy())
         kept = frame.loc[may.any(axis=1), ["node", "n", "own"]]
-        return kept.assign(v=v, i=i, j=j, sketch=frame["sketch"])[["v", "i", "j", "own", "node", "n"]]
+        return kept.assign(v=v, i=i, j=j)[["v", "i", "j", "own", "node", "n"]]
 
     flagged = materialize(spread.groupBy("v", "i", "j").applyInPandas(flag, "v bigint, i int, j int, own int, node bigint, n bigint"))
     wanted = flagged.select("node").distinct().join(nodes, "node").select("node", "row_key")
@@ -222,13 +235,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def near_dups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
     rows = materialize(sketches(docs))
-    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    posted = nodes.select(F.explode("sketch").alias("v"), "node", "n", "sketch")
+    nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
+    posted = nodes.select(F.explode("sketch").alias("v"), "node", "n")
     counts = nodes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     lists = counts.filter(F.col("m") <= SHORT).select("v")
     long_lists = counts.filter(F.col("m") > SHORT)
-    pairs, full, short = _short_lists(posted.drop("sketch").join(lists, "v"), nodes, docs)
-    flagged, long_edges = _long_lists(posted.join(long_lists, "v"), nodes, docs)
+    pairs, full, short = _short_lists(posted.join(lists, "v"), nodes, docs)
+    flagged, long_edges = _long_lists(posted.drop("n").join(long_lists, "v"), nodes, docs)
     edges = materialize(short.union(long_edges))
     for used in (pairs, full, flagged):
         discard(used)
