@@ -112,7 +112,8 @@ def search(chunks: DataFrame, query: DataFrame, terms: list[str], limit: int = 1
 def trigrams(chunks: DataFrame) -> DataFrame:
     """(trigram, chunk_id): the derived table that finds substring candidates without a scan."""
     both = F.lower(F.concat_ws("\n", "text_normalized", "section_text_normalized"))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(both) - 2, F.lit(1))), lambda i: F.substr(both, i, F.lit(3)))
+    letters = F.transform(F.array(F.split(both, "")), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
+    parts = letters[0]
     return chunks.select("chunk_id", F.explode(F.array_distinct(parts)).alias("trigram"))
 
 
