@@ -27,7 +27,6 @@ columns are ignored by ``repeated_spans`` and kept by ``cut_repeats``. An empty
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm.shingles import mix, powers
-from warraq.session import materialize
+from warraq.session import discard, materialize
 
 LENGTH, V = 200, 133
 #: A perfect difference set modulo 133 (fixed values).
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 TUPLE = LENGTH - V + 1
-BUCKET, TEXT_BUCKET, SLICE = 1_500_000, 16 << 20, 16 << 20
+BUCKET, TEXT_BUCKET, SLICE = 600_000, 8 << 20, 5 << 20
 _COVER = np.array(COVER)
 
 
@@ -87,14 +86,14 @@ class Lists:
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
         counts = np.diff(np.append(first, len(ids)))
         steps = np.diff(values.astype(np.int64), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
-        return {"ids": ids[first].astype("<i8").tobytes(), "counts": counts.astype("<u4").tobytes(), "at": compress(np.ascontiguousarray(steps).tobytes())}
+        return {"ids": ids[first].astype("<i8").tobytes(), "counts": compress(counts.astype("<u4").tobytes()), "at": compress(np.ascontiguousarray(steps).tobytes())}
 
     @staticmethod
     def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         _, decompress = _frames()
         ids, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b, c in zip(frame["ids"], frame["counts"], frame["at"], strict=True):
-            ids.append(np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(b, "<u4")))
+            ids.append(np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(decompress(b), "<u4")))
             steps = np.frombuffer(decompress(c), np.uint8).reshape(8, -1).T
             values.append(np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel()))
         return np.concatenate(ids), np.concatenate(values)
@@ -184,6 +183,7 @@ def _settle(anchors: DataFrame, texts: int) -> DataFrame:
     """Step 2: neighbours in order of name and context."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         ids, at = Lists.unpack(frame)
         name, ctx = (np.concatenate([np.frombuffer(x, np.uint64) for x in frame[k]]) for k in ("name", "context"))
         order = np.lexsort((ctx, name))
@@ -225,6 +225,7 @@ def _merge(packed: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
     """Step 3: the names of all strings over edge tuples, by bucket of the name."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         _, decompress = _frames()
         edges, done = _per_text(right, EDGE), []
         ids, ats, keys, seen, held = [], [], {"name": []}, set(), 0
@@ -256,6 +257,7 @@ def _pair(strings: DataFrame, texts: int) -> DataFrame:
     """Step 4: neighbours in order of the strings' names."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         ids, at = Lists.unpack(frame)
         name = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["name"]])
         order = np.argsort(name, kind="stable")
@@ -286,26 +288,18 @@ def spans(n: int, inside: np.ndarray | None, starts: np.ndarray | None) -> np.nd
     return turn.reshape(-1, 2)
 
 
-def _free(spark) -> None:
-    """Lets the driver's cleaner drop the shuffle files of finished phases before the next one fills the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> DataFrame:
-    """``result(row, raw bytes, spans)`` for every row, as the columns of ``schema``."""
-    spark = docs.sparkSession
+def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """``result(raw bytes, spans)`` for every row, as the columns of ``schema``; and the tables it reads."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = max(8, -(-n_bytes // TEXT_BUCKET))
     tuples = max(8, -(-n_bytes * len(COVER) // (V * BUCKET)))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid")).withColumn("home", F.pmod("uid", F.lit(texts)).cast("int"))
     lists = materialize(_settle(_anchors(rows, tuples), texts))
-    _free(spark)
-    strings = max(8, -(-n_bytes // (4 * BUCKET)))
+    strings = max(8, -(-n_bytes // (8 * BUCKET)))
     more = materialize(_pair(_merge(_packed(rows), lists, strings), texts))
-    _free(spark)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()
         _, decompress = _frames()
         inside, starts = _per_text(right, INSIDE), _per_text(right, STARTS)
         out = []
@@ -316,7 +310,7 @@ def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> DataFr
         return pd.DataFrame(out, columns=["doc_id", "uid", *carried])
 
     told = lists.filter(F.col("kind") == INSIDE).union(more)
-    return _packed(rows).groupBy("home").cogroup(told.groupBy("home")).applyInPandas(run, f"doc_id bigint, uid bigint, {schema}")
+    return _packed(rows).groupBy("home").cogroup(told.groupBy("home")).applyInPandas(run, f"doc_id bigint, uid bigint, {schema}"), [lists, more]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -331,7 +325,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return len(raw), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), kept.hexdigest()
 
     columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return _applied(docs, result, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", columns).drop("uid")
+    return _applied(docs, result, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", columns)[0].drop("uid")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -352,7 +346,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         parts.append(raw[last:])
         return b"".join(parts).decode(), True
 
-    changed = _applied(docs, result, "left string, cut boolean", ["left", "cut"]).filter("cut").select("uid", "left").dropDuplicates(["uid"])
+    every, read = _applied(docs, result, "left string, cut boolean", ["left", "cut"])
+    changed = materialize(every.filter("cut").select("uid", "left").dropDuplicates(["uid"]))
+    for used in read:
+        discard(used)
     joined = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(changed.withColumnsRenamed({"uid": "__uid", "left": "__left"}), "__uid", "left")
     text = F.coalesce("__left", "text")
     out = {"text": text} | ({"n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")} if "n_chars" in docs.columns else {})
