@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions.identity import chunk_fingerprint, point_uuid
 from warraq.functions.text import normalize, strip
+from warraq.operators.lexical import small
 
 SCHEMA_VERSION = 1
 STATES = ("BUILDING", "READY", "FAILED")
@@ -35,13 +36,13 @@ def query_text(query: Column, composed: bool = False) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, rank, score, vector columns): the nearest vectors of each query.
 
-    Queries (query_id, query_vector) go to the vectors, never the other way. Norms are taken once a
+    Queries (query_id, query_vector) go to the vectors, as a broadcast up to a checked size. Norms are taken once a
     row, and each task passes on no more than ``limit`` rows a query."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
     n = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     asked = queries.withColumn("__qn", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))))
-    pairs = vectors.withColumn("__n", n).crossJoin(F.broadcast(asked))
+    pairs = vectors.withColumn("__n", n).crossJoin(small(asked))
     scored = pairs.withColumn("score", dot(F.col("embedding"), F.col("query_vector")) / (F.col("__n") * F.col("__qn"))).drop("embedding", "query_vector", "__n", "__qn")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
