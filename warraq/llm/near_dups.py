@@ -6,8 +6,8 @@ union estimates the similarity, and what is not far below the threshold is verif
 as integers: ``100 * intersection >= 75 * union``. Links form components, labelled by their smallest
 doc_id.
 
-Scale. One pass hashes the texts; 16 values a class travel, not texts, and 128 for members of long lists. Lists of at most ``SHORT``
-classes are joined pairwise. A longer list, as a passage or a large family of near copies makes, is
+Scale. One pass hashes the texts; 16 values a class travel, not texts, and 128 for members of long
+lists. Lists of at most ``SHORT`` classes are joined pairwise. A longer list, as a passage or a large family of near copies makes, is
 cut into blocks; each pair of blocks is compared inside one task as an incidence matrix, which first
 names the members that may have a partner and then, for those alone, verifies full sets and gives
 out the links that join them (a spanning forest), so no step gives out all pairs of a list. A pair
@@ -251,7 +251,10 @@ def near_dups(docs: DataFrame) -> DataFrame:
     alone = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "row_key", "n", "node").join(alone, "node", "left")
     label = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"), "row_key")
+    told = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"), "row_key"))
+    for used in (rows, nodes, edges):
+        discard(used)
+    return told
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -262,3 +265,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_dups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row_key")
+
+
+#: The same by definition: all pairs with a shingle in common, and the closure of their links.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
