@@ -229,10 +229,10 @@ def documents(spark, path: str) -> DataFrame:
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
     before = sizes.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
     found = chunks.mapInArrow(checked, "part int, chunk int, ids_crc32 bigint, ids binary, ordinal bigint, doc_id bigint, start bigint, n int")
-    whole = found.filter("ids is null").select("part", "ordinal", "doc_id", "start", F.col("n").cast("long").alias("n_tokens"), "ids_crc32")
-    parts = found.filter("ids is not null").groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("chunk", F.hex("ids").alias("ids")))).alias("p"))
-    joined = parts.select("part", "ordinal", "doc_id", "start", "n_tokens", F.crc32(F.unhex(F.array_join(F.col("p.ids"), ""))).alias("ids_crc32"))
-    return whole.unionByName(joined).join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    piece = F.when(F.col("ids").isNotNull(), F.struct("chunk", F.hex("ids").alias("ids")))
+    joined = found.groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sum("n").alias("n_tokens"), F.max("ids_crc32").alias("whole"), F.sort_array(F.collect_list(piece)).alias("p"))
+    crc = F.coalesce("whole", F.crc32(F.unhex(F.array_join(F.col("p.ids"), ""))))
+    return joined.join(F.broadcast(before), "part").select("part", "ordinal", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
 
 
 _CHECKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
