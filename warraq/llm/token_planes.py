@@ -32,8 +32,8 @@ BLOCK = 1 << 16
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text in a part.
 PART_BYTES = 16 << 20
-#: Most words whose ids a worker keeps from one task to the next.
-CACHE = 1_500_000
+#: Words beyond which a worker starts its memory of ids anew.
+CACHE = 1_000_000
 LEVEL = 1
 
 #: White space that may join with a blank before it, and what marks the first word of a text.
@@ -51,19 +51,20 @@ def _tokenizer(path: str):
 
 
 @lru_cache(1)
-def _known(path: str) -> dict[str, bytes]:
+def _known(path: str, job: str) -> dict[str, bytes]:
+    """The words that a job's tasks have met in this worker; another job starts anew."""
     return {}
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once a worker.
+    """Ids of texts by the tokenizers library, which sees each distinct word once a worker and job.
 
     Every scan of the byte-level split pattern cuts before a blank that follows another character than
     white space, so a blank and the word after it may be encoded apart. A text where blanks meet other
     white space is encoded as a whole."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), _known(path)
+    def __init__(self, path: str, job: str = ""):
+        self.tokenizer, self.known = _tokenizer(path), _known(path, job)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -128,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), PieceEncoder(tokenizer_path)
+        part, encoder = TaskContext.get().partitionId(), PieceEncoder(tokenizer_path, path)
         held: list[np.ndarray] = []
         pieces: list[dict] = []
         state = {"held": 0, "chunk": 0, "first": 0, "ordinal": 0}
