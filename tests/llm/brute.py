@@ -39,6 +39,18 @@ def near_groups(rows):
     return [min((i for i in ids[root(k)] if i is not None), default=None) for k in range(len(rows))], [len(s) for s in sets]
 
 
+def alike(words, item, percent=75):
+    """Similarity of every window of the item's length that reaches the threshold, by start."""
+    size, out = min(len(item), 5), {}
+    runs = lambda w: collections.Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+    b = runs(item)
+    for s in range(max(0, len(words) - len(item)) + 1):
+        a = runs(words[s : s + len(item)])
+        if 100 * (a & b).total() >= percent * (a | b).total():
+            out[s] = (a & b).total() / (a | b).total()
+    return out
+
+
 def removed(rows, length=200):
     texts = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[s : s + length] for b in texts for s in range(len(b) - length + 1))

@@ -161,6 +161,34 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontaminate.contaminated(no_docs, items).count() == 0 and decontaminate.contaminated(edge_docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_reordered_items(spark):
+    q, other = [f"Q{i}" for i in range(40)], [f"o{i}" for i in range(100)]
+    swapped = " ".join(other[:50] + q[20:] + q[:20] + other[50:])
+    assert [tuple(r) for r in decontaminate.contaminated(spark.createDataFrame([(1, swapped)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(q))], "item_id long, text string")).collect()] == [(1, 7, 50, 0.8)]
+
+
+def test_decontamination_compares_all_windows(spark):
+    draw, letters = random.Random(6), [f"v{i}" for i in range(400)]
+    items = [(k, [draw.choice(letters) for _ in range(draw.choice([1, 3, 5, 9, 30, 60]))]) for k in range(25)]
+    docs = []
+    for i in range(60):
+        words = []
+        for _ in range(draw.randint(0, 3)):
+            w = list(draw.choice(items)[1])
+            cut = draw.randint(0, len(w))
+            w = w[cut:] + w[:cut] if draw.random() < 0.5 else w
+            for _ in range(draw.randint(0, 2)):
+                w[draw.randrange(len(w))] = "edit"
+            words += [*w[draw.randint(0, 1) :], *(draw.choice(letters) for _ in range(draw.randint(0, 9)))]
+        docs.append((i, words))
+    told = lambda rows: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(told(docs), told(items).withColumnRenamed("doc_id", "item_id")).collect()}
+    expected = {(i, k): windows for i, w in docs for k, item in items if (windows := brute.alike(w, item))}
+    assert len(expected) > 20 and found.keys() == expected.keys()
+    for pair, (start, similarity) in found.items():
+        assert similarity == pytest.approx(max(expected[pair].values())) == pytest.approx(expected[pair][start])
+
+
 # 7 quality scores
 
 
