@@ -261,6 +261,18 @@ def test_pages(spark):
     assert site_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 100])
+def test_recurrence_decides_in_and_around_articles(spark, monkeypatch, bound):
+    monkeypatch.setattr(site_text, "BROADCAST_ROWS", bound)
+    page = "<body><div><p>Bar</p></div><div><p>Outside {0}</p></div><article><div><p>Box</p></div><p>Inside {0}</p></article><article><p>Teaser {1}</p></article>"
+    made = [(i, "http://a.example/x", page.format(i, i % 2)) for i in range(10)]
+    copies = "<main><p>Heading</p><article><div><p>Copied one</p></div><p>Copied two</p></article></main><p>Own {0}</p>"
+    made += [(100 + i, "http://b.example/x", copies.format(i)) for i in range(10)]
+    by_id = {r.page_id: r.text.split("\n\n") for r in site_text.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert all(by_id[i] == [f"Outside {i}", f"Inside {i}", f"Teaser {i % 2}"] for i in range(10))
+    assert all(by_id[100 + i] == ["Heading", "Copied one", "Copied two", f"Own {i}"] for i in range(10))
+
+
 # 10 near duplicates
 
 

@@ -2,11 +2,13 @@
 
 Each page is read once into its text blocks. A block knows the hashes of the element subtrees around
 it; Spark counts on how many pages of a host each subtree occurs, and a second look drops the blocks
-under subtrees that recur on ``SHARE`` of a host's pages and on ``LEAST`` pages at least. An article
-or main element is its page's own and is kept whole: only what stands outside such an element, or on
-pages without one, is judged by recurrence, so copies of an article on one host do not delete each
-other. Elements that never hold main text (navigation, forms, scripts and so on, by tag, role or class
-words) are left out in any place.
+under subtrees that recur on ``SHARE`` of a host's pages and on ``LEAST`` pages at least. This decides
+inside and outside article and main elements alike; those only say what counts as one. A subtree inside
+counts once for each distinct text of its innermost such element, a subtree outside and the page itself
+once for each distinct text of the page's lead (of these elements the one with the most text of its
+own), so copies of an article on one host do not delete each other. Subtrees that hold such an element
+are not judged, as they recur only with all of it. Elements that never hold main text (navigation,
+forms, scripts and so on, by tag, role or class words) are left out in any place.
 
 Edge cases: null html is empty and gives an empty text. Unclosed and stray tags are tolerated, a cut
 tag at the end is no text. Repeated rows and repeated or null page_ids each give a row. A null url is
@@ -20,7 +22,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from warraq.session import materialize
 
 SHARE, LEAST = 0.4, 5
+#: Recurring subtrees that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -66,39 +69,51 @@ def _marked(attributes: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("name", "skip", "own", "parts", "hashes", "at")
+    __slots__ = ("name", "skip", "own", "at", "judged")
 
-    def __init__(self, name: str, skip: bool, own: bool, at: int):
-        self.name, self.skip, self.own, self.at, self.parts = name, skip, own, at, []
+    def __init__(self, name: str, skip: bool, own: bool, at: int, judged: int):
+        self.name, self.skip, self.own, self.at, self.judged = name, skip, own, at, judged
 
 
-def blocks(source: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """The page's text blocks in order, each with whether an article or main element holds it and the
-    hashes of the subtrees around it; and the hashes of all subtrees that recurrence may judge."""
-    root = _Element("", False, False, 0)
+def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int | None]], int | None]:
+    """The page's text blocks in order, each with the hashes of the subtrees around it; the hashes of all
+    subtrees that recurrence may judge, each with what it counts once for; the hash of the page's lead."""
+    root = _Element("", False, False, 0, 0)
     stack, found, text = [root], [], []
     around: list[list[int]] = []
-    subtrees: list[int] = []
+    subtrees: list[list] = []
+    lead: tuple[int, int | None] = (0, None)
 
     def end_block() -> None:
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined and not stack[-1].skip:
-                found.append((joined, any(e.own for e in stack)))
+                found.append((joined, next((e for e in reversed(stack) if e.own), None)))
                 around.append([])
 
     def close(upto: int) -> None:
+        nonlocal lead
         while len(stack) > upto:
             e = stack[-1]
             if e.name not in _INLINE:
                 end_block()
             stack.pop()
-            if e.name not in _INLINE and not e.skip and not e.own and not any(x.own for x in stack) and e.at < len(found):
-                inner = "\n".join(x[0] for x in found[e.at :])
-                h = xxhash.xxh64_intdigest(f"{e.name}\n{inner}") - (1 << 63)
-                if not any(x[1] for x in found[e.at :]):
-                    subtrees.append(h)
+            if e.name in _INLINE or e.skip or e.at == len(found):
+                continue
+            inner = found[e.at :]
+            h = xxhash.xxh64_intdigest("\n".join((e.name, *(x[0] for x in inner)))) - (1 << 63)
+            if e.own:
+                for x in subtrees[e.judged :]:
+                    if x[1] is None:
+                        x[1] = h
+                size = sum(len(x[0]) for x in inner if x[1] is e)
+                if size > lead[0]:
+                    lead = (size, h)
+            else:
+                holder = next((x for x in reversed(stack) if x.own), None)
+                if all(x[1] is holder for x in inner):
+                    subtrees.append([h, None])
                     for k in range(e.at, len(found)):
                         around[k].append(h)
 
@@ -143,13 +158,13 @@ def blocks(source: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         if name in _VOID or m[4].endswith("/") and name not in _CLOSES_P:
             continue
         skip = stack[-1].skip or name in _NEVER or (name not in ("html", "body") and name not in _OWN and bool(m[4]) and _marked(m[4]))
-        stack.append(_Element(name, skip, name in _OWN and not skip, len(found)))
+        stack.append(_Element(name, skip, name in _OWN and not skip, len(found), len(subtrees)))
     rest = source[at:]
     if rest and not stack[-1].skip:
         text.append(rest)
     close(1)
     end_block()
-    return [(x, own, a) for (x, own), a in zip(found, around, strict=True)], subtrees
+    return [(x, a) for (x, _), a in zip(found, around, strict=True)], [(h, lead[1] if once is None else once) for h, once in subtrees], lead[1]
 
 
 def host(url) -> object:
@@ -158,8 +173,9 @@ def host(url) -> object:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks, subtrees) of every page."""
-    struct = pa.struct([("text", pa.string()), ("own", pa.bool_()), ("around", pa.list_(pa.int64()))])
+    """(page_id, url, host, blocks, subtrees, lead) of every page."""
+    struct = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])
+    judged = pa.struct([("hash", pa.int64()), ("once", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,37 +185,40 @@ def parse(pages: DataFrame) -> DataFrame:
                     batch.column("page_id"),
                     batch.column("url"),
                     batch.column("host"),
-                    pa.array([[{"text": t, "own": o, "around": a} for t, o, a in b] for b, _ in done], pa.list_(struct)),
-                    pa.array([np.unique(s) for _, s in done], pa.list_(pa.int64())),
+                    pa.array([[{"text": t, "around": a} for t, a in b] for b, _, _ in done], pa.list_(struct)),
+                    pa.array([[{"hash": h, "once": o} for h, o in dict.fromkeys(s)] for _, s, _ in done], pa.list_(judged)),
+                    pa.array([x for _, _, x in done], pa.int64()),
                 ],
-                ["page_id", "url", "host", "blocks", "subtrees"],
+                ["page_id", "url", "host", "blocks", "subtrees", "lead"],
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host(F.col("url")).alias("host"), "html")
-    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<struct<text:string,own:boolean,around:array<bigint>>>, subtrees array<bigint>")
+    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<struct<hash:bigint,once:bigint>>, lead bigint")
 
 
 def templates(parsed: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(host, hash) of the subtrees that recur across a host's pages."""
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("n_pages"))
-    counts = parsed.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    # A null counts as often as it occurs: pages without article and main are each their own.
+    many = lambda once, n: (F.sum(F.when(F.col(once).isNull(), F.col(n)).otherwise(1))).alias("n")
+    sizes = parsed.groupBy("host", "lead").agg(F.count("*").alias("k")).groupBy("host").agg(many("lead", "k")).withColumnRenamed("n", "n_pages")
+    told = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.hash", "s.once")
+    counts = told.groupBy("host", "hash", "once").agg(F.count("*").alias("k")).groupBy("host", "hash").agg(many("once", "k")).filter(F.col("n") >= least)
     return counts.join(sizes, "host").filter(F.col("n") >= share * F.col("n_pages")).select("host", "hash")
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(page_id, url, text, n_chars): the blocks of article and main elements where a page has any,
-    else all its blocks, without those under a recurring subtree."""
+    """(page_id, url, text, n_chars): the blocks of each page without those under a recurring subtree."""
     parsed = materialize(parse(pages))
     recurring = materialize(templates(parsed, share, least))
-    # Which of its subtrees recur is looked up for a distinct (host, subtrees) pair, not for each page.
-    hits = parsed.select("host", F.explode("subtrees").alias("hash")).distinct().join(recurring, ["host", "hash"])
-    keyed = parsed.filter(F.size("subtrees") > 0).select("host", "subtrees").distinct()
-    looked = keyed.select("host", "subtrees", F.explode("subtrees").alias("hash")).join(hits, ["host", "hash"]).groupBy("host", "subtrees").agg(F.collect_set("hash").alias("gone"))
-    nothing = F.array().cast("array<bigint>")
-    judged = parsed.filter(F.size("subtrees") > 0).join(looked, ["host", "subtrees"], "left").withColumn("gone", F.coalesce("gone", nothing))
-    joined = judged.unionByName(parsed.filter(F.size("subtrees") == 0).withColumn("gone", nothing))
-    has_own = F.exists("blocks", lambda b: b["own"])
-    kept = F.filter("blocks", lambda b: F.when(has_own, b["own"]).otherwise(~F.arrays_overlap(b["around"], F.col("gone"))))
+    if recurring.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = parsed.join(F.broadcast(recurring.groupBy("host").agg(F.collect_list("hash").alias("gone"))), "host", "left")
+    else:
+        # Which of its subtrees recur is looked up for a distinct (host, subtrees) pair, not for each page.
+        keyed = parsed.withColumn("hashes", F.array_sort(F.array_distinct("subtrees.hash")))
+        looked = keyed.select("host", "hashes").distinct().select("host", "hashes", F.explode("hashes").alias("hash")).join(recurring, ["host", "hash"]).groupBy("host", "hashes").agg(F.collect_set("hash").alias("gone"))
+        joined = keyed.join(looked, ["host", "hashes"], "left")
+    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], gone))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
