@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warraq.operators import ingest
+from warraq.queries import QUERIES
 from warraq.sources import tagged
 from warraq.sources.store import Store
 from warraq.streaming.ingest import watch
@@ -124,3 +125,19 @@ def test_stream(spark, tmp_path):
 
     watch(spark, str(tmp_path / "in"), store, tables, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert store.read("text_versions").count() == 1 and store.read("chunks").count() > 0
+
+
+def test_legacy_structure_reads_whole_texts(spark, tmp_path):
+    words = [f"w{i % 97}" for i in range(3000)]
+    made = [(i, " ".join(words[: i * 1000]) or "x", "en", "src1") for i in range(4)]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in QUERIES["legacy_structure"](spark, str(tmp_path)).orderBy("version_uri", "sequence_no").collect():
+        found.setdefault(int(r.version_uri), []).append((r.source_start, r.source_end, r.text_hash))
+    for i, text, lang, source in made:
+        head = f"# | كتاب {source} ms0067 ب\n# نص ms0007 {lang}\n"
+        body, cuts = f"{head}# | باب {lang}\n{text}\n", [0, len(head)]
+        while len(body) - cuts[-1] > 1800:
+            cuts.append(max(body.rfind(x, cuts[-1], cuts[-1] + 1800) for x in " \n") + 1)
+        cuts.append(len(body))
+        assert found[i] == [(a, b, hashlib.sha256(body[a:b].encode()).hexdigest()) for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -488,7 +488,7 @@ def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def legacy_structure(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("# | كتاب "), "source", F.lit(" ms0067 ب\n# نص ms0007 "), "lang", F.lit("\n# | باب "), "lang", F.lit("\n"), F.substring("text", 1, 300), F.lit("\nPageV01P001"))
+    body = F.concat(F.lit("# | كتاب "), "source", F.lit(" ms0067 ب\n# نص ms0007 "), "lang", F.lit("\n# | باب "), "lang", F.lit("\n"), "text", F.lit("\nPageV01P001"))
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("version_uri"), body.alias("body"))
     out = ingest.chunk_all(rows, composed=True)
     return out.select("version_uri", "sequence_no", "source_start", "source_end", "page", F.array_join("section_path", " / ").alias("section"), "content_kind", "text_hash")
