@@ -132,9 +132,17 @@ def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored WHERE query_id < 5")
 def lexical_score(spark: SparkSession, d: str) -> DataFrame:
-    chunks, asked = corpus.chunks(spark, d), _analyzed(spark, d).filter("query_id < 5")
+    return _scores(corpus.chunks(spark, d), _analyzed(spark, d).filter("query_id < 5"))
+
+
+@query(f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored")
+def lexical_score_all(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(corpus.chunks(spark, d), _analyzed(spark, d))
+
+
+def _scores(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     held = lexical.matches(chunks, asked).select("query_id", "chunk_id")
-    out = lexical.score(held.join(chunks, "chunk_id").join(F.broadcast(asked.drop("work_uri")), "query_id"))
+    out = lexical.score(held.join(chunks, "chunk_id").join(lexical.small(asked.drop("work_uri")), "query_id"))
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "phrase_hits", "term_hits", "section_hits")
 
 
