@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.operators import dense, evaluate, fusion, lexical, present
+from warraq.operators import dense, evaluate, fusion, hybrid, lexical, present
 
 
 def test_score_of_terms_in_the_section_only(spark):
@@ -119,3 +119,17 @@ def test_bibliography(spark):
     found = {r.work_uri: r.bibliographic_provenance for r in out.collect()}
     assert [found[w].verification_status for w, _ in rows] == ["VERIFIED_EXTERNAL_CATALOG", "SOURCE_METADATA", "UNVERIFIED"]
     assert found[rows[0][0]].source_record_id == "cb32268155q"
+
+
+def test_hybrid_search_fuses_more_than_it_returns(spark):
+    """Chunk 29 is the 30th of both rankings, which have nothing else in common."""
+    order = [*range(50, 79), 29, *range(79, 99), *range(29), *range(30, 50)]
+    text = lambda i: "word" if i < 50 else "other"
+    chunks = spark.createDataFrame([(f"c{i:02}", i, i, text(i), "", "w") for i in range(99)], "chunk_id string, ingest_order long, sequence_no int, text_normalized string, section_text_normalized string, work_uri string")
+    vectors = spark.createDataFrame([(f"c{i:02}", [1.0, k / 100]) for k, i in enumerate(order)], "chunk_id string, embedding array<double>")
+    queries = lexical.analyze(spark.createDataFrame([(1, "word", None)], "query_id int, query string, work_uri string"))
+    probes = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    first = hybrid.search_batch(chunks, vectors, queries, probes).orderBy("rank").first()
+    assert (first.chunk_id, first.lexical_rank, first.semantic_rank, first.score) == ("c29", 30, 30, pytest.approx(1 / 90))
+    with pytest.raises(ValueError):
+        hybrid.search_batch(chunks, vectors, queries, probes, limit=101)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions import identity as I
 from warraq.functions import text as T
-from warraq.operators import dense, evaluate, fusion, ingest, lexical, present
+from warraq.operators import dense, evaluate, fusion, hybrid, ingest, lexical, present
 from warraq.plans import corpus
 from warraq.session import table
 from warraq.sources import store
@@ -247,9 +247,9 @@ RANKINGS_SQL = f"{_dense_sql(POOL)}, {corpus.ranked_sql(1250, POOL)}"
 MERGED_SQL = "merged AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.chunk_id, s.chunk_id) AS chunk_id, l.rank AS lexical_rank, s.rank AS semantic_rank FROM lexical l FULL JOIN semantic s ON l.query_id = s.query_id AND l.chunk_id = s.chunk_id)"
 
 
-def _fused_sql(a: float, b: float, merged: str = MERGED_SQL, limit: int = 10) -> str:
+def _fused_sql(a: float, b: float, merged: str = MERGED_SQL, limit: int = 10, rankings: str = RANKINGS_SQL) -> str:
     score = f"coalesce({a} / (60.0::DOUBLE + lexical_rank), 0) + coalesce({b} / (60.0::DOUBLE + semantic_rank), 0)"
-    return f"{RANKINGS_SQL}, {merged}, fused AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, coalesce(lexical_rank, 1000000000), coalesce(semantic_rank, 1000000000), chunk_id) AS rank FROM merged QUALIFY rank <= {limit}) SELECT query_id, rank::INTEGER AS rank, chunk_id, round(score, 9) AS score, lexical_rank::INTEGER AS lexical_rank, semantic_rank::INTEGER AS semantic_rank FROM fused"
+    return f"{rankings}, {merged}, fused AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, coalesce(lexical_rank, 1000000000), coalesce(semantic_rank, 1000000000), chunk_id) AS rank FROM merged QUALIFY rank <= {limit}) SELECT query_id, rank::INTEGER AS rank, chunk_id, round(score, 9) AS score, lexical_rank::INTEGER AS lexical_rank, semantic_rank::INTEGER AS semantic_rank FROM fused"
 
 
 def _fused(spark: SparkSession, d: str, a: float, b: float) -> DataFrame:
@@ -272,6 +272,30 @@ def rrf_one_sided(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d, 1, 0)
 
 
+#: What the hybrid driver takes of each ranking for ten results, and of lexical candidates for that.
+HYBRID_SQL = f"{_dense_sql(50)}, {corpus.ranked_sql(2500, 50)}"
+
+
+def _hybrid(spark: SparkSession, d: str, a: float, b: float) -> DataFrame:
+    out = hybrid.search_batch(lexical.allowed(corpus.chunks(spark, d)), _vectors(spark, d), _analyzed(spark, d), _probes(spark, d), lexical_weight=a, semantic_weight=b)
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "lexical_rank", "semantic_rank")
+
+
+@query(_fused_sql(0.5, 0.5, rankings=HYBRID_SQL))
+def hybrid_equal(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, 1, 1)
+
+
+@query(_fused_sql(0.2, 0.8, rankings=HYBRID_SQL))
+def hybrid_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, 0.2, 0.8)
+
+
+@query(_fused_sql(1.0, 0.0, rankings=HYBRID_SQL))
+def hybrid_one_sided(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d, 1, 0)
+
+
 # Evaluation and tuning
 
 CASES_SQL = "cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 3 = 0 THEN 'direct' WHEN item_id % 3 = 1 THEN 'paraphrase' ELSE 'broad' END AS query_type, CASE WHEN item_id % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, 5 AS k, CASE WHEN item_id % 4 = 0 THEN 1 ELSE 5 END AS max_rank FROM benchmark)"
