@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_formatting": chat_format.OP1_SQL,
+    "op4_hilbert_sharding": hilbert_shards.OP4_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op10_minhash_near_dedup": near_dups.OP10_SQL,
