@@ -5,6 +5,9 @@ its part and number, the first id's place in the part, and one zstandard frame f
 transposed block. ``index`` has a row for each document piece in a chunk, without the payload, so a
 reader finds a document's chunks without touching the others. Parts follow the order of doc_id.
 
+Ids are the library's defaults without its start and end tokens: a text that holds the string of an added
+token has that token's id there.
+
 Edge cases: null counts as empty, so the document is its end id alone. Repeated or null doc_ids are
 documents of their own (nulls first). A text of any length spans as many chunks as it needs and no
 buffer holds more than a chunk and an Arrow batch. An empty table gives empty files. Only the two
@@ -14,7 +17,7 @@ named columns are read.
 from __future__ import annotations
 
 import os
-import uuid
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,71 +29,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from warraq.session import shared_dir
+from warraq.session import materialize, new_path
 
 BLOCK = 1 << 16
 TOKENIZER = "byte_bpe_50k.json"
-#: Bytes of text in a part.
-PART_BYTES = 16 << 20
-#: Words beyond which a worker starts its memory of ids anew.
-CACHE = 1_000_000
+#: Bytes of text in a part, where a row counts for some of its own.
+PART_BYTES, ROW_BYTES = 16 << 20, 16
+#: How many totals are summed up at once.
+FAN = 1024
+#: Bytes of words and ids beyond which a worker starts its memory of them anew, what an entry takes besides, and
+#: the characters beyond which a word is not kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 200 << 20, 200, 64
 LEVEL = 1
 
 #: White space that may join with a blank before it, and what marks the first word of a text.
-_ODD = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Before a blank after what is white space to nobody.
+_CUT = re.compile("(?<=[^\\s\u180e])(?= )")
 
 
 @lru_cache(1)
 def _tokenizer(path: str):
+    """The library's tokenizer, as it is by default, and the strings that it takes for tokens wherever they stand."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content)
+
+
+class _Known:
+    """The words that a job's tasks have met in this worker, and their bytes in all."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.size = 0
 
 
 @lru_cache(1)
-def _known(path: str, job: str) -> dict[str, bytes]:
-    """The words that a job's tasks have met in this worker; another job starts anew."""
-    return {}
+def _known(path: str, job: str) -> _Known:
+    """Another job starts anew."""
+    return _Known()
 
 
 class PieceEncoder:
     """Ids of texts by the tokenizers library, which sees each distinct word once a worker and job.
 
     Every scan of the byte-level split pattern cuts before a blank that follows another character than
-    white space, so a blank and the word after it may be encoded apart. A text where blanks meet other
-    white space is encoded as a whole."""
+    white space, so a blank and what comes after it, up to the next such place, may be encoded apart. A text
+    that holds an added token's string is encoded as a whole. Short words are kept, up to ``CACHE_BYTES``; texts
+    and long words never are."""
 
     def __init__(self, path: str, job: str = ""):
-        self.tokenizer, self.known = _tokenizer(path), _known(path, job)
+        (self.tokenizer, self.added), self.known = _tokenizer(path), _known(path, job)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
+        if known.size > CACHE_BYTES:
+            known.ids.clear()
+            known.size = 0
         split = [self._split(x) for x in texts]
-        missing = list(set().union(*split).difference(known)) if split else []
+        missing = list(set().union(*split).difference(known.ids)) if split else []
+        passing = []
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            done = self.tokenizer.encode_batch_fast([x[1:] if x[:1] == "\0" else " " + x for x in part], add_special_tokens=False)
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in done), strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in split]
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words that stand for themselves with a blank before them; after a zero, for themselves alone."""
+            done = self.tokenizer.encode_batch_fast([_piece(x) for x in part], add_special_tokens=False)
+            for key, e in zip(part, done, strict=True):
+                ids = known.ids[key] = array("I", e.ids).tobytes()
+                if len(key) > LONGEST or key[:2] == "\0\0":
+                    passing.append(key)
+                else:
+                    known.size += len(key) + len(ids) + ENTRY_BYTES
+        out = [b"".join(map(known.ids.__getitem__, x)) for x in split]
+        for key in passing:
+            del known.ids[key]
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        """Words that stand for themselves with a blank before them; after a zero, for themselves alone; after
+        two, for themselves and not to be kept."""
         if not text:
             return []
+        if any(x in text for x in self.added):
+            return ["\0\0" + text]
         if any(x in text for x in _ODD) or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
-            return ["\0" + text]
+            return ["\0\0" + x if "\0" in x else x[1:] if x[0] == " " else "\0" + x for x in _CUT.split(text)]
         words = text.split(" ")
         words[0] = "\0" + words[0]
         return words
 
 
+def _piece(key: str) -> str:
+    return key[2:] if key[:2] == "\0\0" else key[1:] if key[:1] == "\0" else " " + key
+
+
 def pack(ids: np.ndarray, planes: str = "byte") -> list[bytes]:
     """One zstandard frame for each plane of the block: four byte planes, or 32 bit planes."""
     import zstandard
@@ -122,9 +155,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id:
     """Writes the ids of ``text``, each document ended by ``end_id``, in ascending doc_id order."""
     tokenizer_path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     docs = docs.select("doc_id", "text")
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     parts = max(1, -(-n_bytes // PART_BYTES))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -227,19 +261,30 @@ def documents(spark, path: str) -> DataFrame:
                 )
 
     chunks = spark.read.parquet(f"{path}/chunks")
-    sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
-    before = sizes.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
     found = chunks.mapInArrow(checked, "part int, chunk int, ids_crc32 bigint, ids binary, ordinal bigint, doc_id bigint, start bigint, n int")
     piece = F.when(F.col("ids").isNotNull(), F.struct("chunk", F.hex("ids").alias("ids")))
     joined = found.groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sum("n").alias("n_tokens"), F.max("ids_crc32").alias("whole"), F.sort_array(F.collect_list(piece)).alias("p"))
     crc = F.coalesce("whole", F.crc32(F.unhex(F.array_join(F.col("p.ids"), ""))))
-    return joined.join(F.broadcast(before), "part").select("part", "ordinal", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    before = starts(chunks.groupBy("part").agg(F.sum("n_ids").alias("n")))
+    return joined.join(before, "part").select("part", "ordinal", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+
+
+def starts(totals: DataFrame, fan: int = FAN) -> DataFrame:
+    """(part, before): the sum of ``n`` over all lesser parts. Runs of ``fan`` parts are summed first, and their
+    sums in the same way, so no task has more than ``fan`` rows of one run."""
+    totals = materialize(totals)
+    run = F.floor(F.col("part") / fan).cast("int")
+    inside = totals.withColumns({"run": run, "before": F.coalesce(F.sum("n").over(Window.partitionBy(run).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    if (totals.agg(F.max("part")).first()[0] or 0) < fan:
+        return inside.select("part", "before")
+    above = starts(totals.groupBy(run.alias("part")).agg(F.sum("n").alias("n")), fan)
+    return inside.join(above.select(F.col("part").alias("run"), F.col("before").alias("above")), "run").select("part", (F.col("before") + F.col("above")).alias("before"))
 
 
 _CHECKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/token-planes-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-planes")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
