@@ -168,9 +168,12 @@ def read_back(formatted_df: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -7; where the table has one of that number, the two rows
+    are further turns of it."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    made = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    planted = made.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
     back = read_back(render(to_turns(rows.unionByName(planted))).select("conv_id", "formatted", "loss_spans"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
