@@ -75,12 +75,25 @@ def test_round_trip(edge_docs, no_docs):
 # 3 token files
 
 
-def test_words_equal_whole():
-    path = public_tokenizers.path(token_planes.TOKENIZER)
-    tokenizer, encoder, draw = token_planes._tokenizer(path), token_planes.PieceEncoder(path), random.Random(2)
-    for _ in range(300):
-        texts = ["".join(draw.choice(ODD) for _ in range(draw.randint(0, 60))) for _ in range(5)]
-        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def library_ids(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_equal_whole(monkeypatch):
+    monkeypatch.setattr(token_planes, "CACHE_BYTES", 5000)
+    tokenizer, encoder, draw = library(), token_planes.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(2)
+    parts = [*ODD, "  ", "\0", " \0", "\u180e", "<|endoftext|>", "<|endof", "word", "don't", "x" * 90]
+    for _ in range(600):
+        texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 40))) for _ in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library_ids(tokenizer, x) for x in texts]
+    assert max(map(len, encoder.known.ids)) <= token_planes.LONGEST and encoder.known.size < 50_000
+    assert library_ids(tokenizer, "a <|endoftext|> b") == np.frombuffer(encoder.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -93,7 +106,7 @@ def test_planes(planes, n):
 def test_token_files(spark, edge_docs, no_docs, tmp_path):
     token_planes.write(edge_docs, str(tmp_path / "a"), planes="bit", block=64)
     found = token_planes.documents(spark, str(tmp_path / "a")).orderBy("part", "ordinal").collect()
-    tokenizer = token_planes._tokenizer(public_tokenizers.path(token_planes.TOKENIZER))
+    tokenizer = library()
     start, seen = 0, []
     for r in found:
         assert r.start == start
@@ -101,7 +114,7 @@ def test_token_files(spark, edge_docs, no_docs, tmp_path):
         seen.append((r.doc_id, r.n_tokens, r.ids_crc32))
     expected = []
     for i, t in edge_rows():
-        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        ids = [*library_ids(tokenizer, t), 0]
         expected.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     assert sorted(seen, key=str) == sorted(expected, key=str)
     assert [x[0] for x in seen] == sorted((x[0] for x in seen), key=lambda i: (i is not None, i))
@@ -110,6 +123,22 @@ def test_token_files(spark, edge_docs, no_docs, tmp_path):
     assert token_planes.documents(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_query_against_the_library(spark):
+    folder, tokenizer, start = "/root/testdata/sf0.001", library(), 0
+    found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_planes.op3(spark, folder).collect()}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*library_ids(tokenizer, r.text), 0]
+        assert found.pop(r.doc_id) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert not found
+
+
+def test_starts_of_parts(spark):
+    totals = spark.range(11).selectExpr("cast(id AS int) AS part", "id * id AS n")
+    for fan in (2, 3, 1024):
+        assert [r.before for r in token_planes.starts(totals, fan).orderBy("part").collect()] == [sum(k * k for k in range(i)) for i in range(11)]
+
+
 # 4 sharding
 
 
@@ -131,6 +160,31 @@ def test_shards(edge_docs, no_docs, shards):
     assert hilbert_shards.place(no_docs).count() == 0
 
 
+def test_equal_texts_stand_together(spark, tmp_path):
+    draw = random.Random(8)
+    made = [(i, f"text {draw.randint(0, 12)}" if i % 3 else "hot", draw.choice(["en", "fr", None]), f"s{draw.randint(0, 3)}", "clash", i) for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, shard string, place int")
+    placed = sorted(hilbert_shards.place(docs, 7).collect(), key=lambda r: (r.shard, r.slot))
+    seen = [(r.cell, r.text_crc32) for r in placed]
+    assert len({x for x, y in zip(seen, [None, *seen]) if x != y}) == sum(x != y for x, y in zip(seen, [None, *seen]))  # noqa: B905
+    hilbert_shards.write_shards(docs, str(tmp_path / "out"), 7)
+    written = spark.read.parquet(str(tmp_path / "out/rows"))
+    assert sorted((r.doc_id, r.text, r.place, r.shard, r.slot, r.cell) for r in written.collect()) == sorted((r.doc_id, made[r.doc_id][1], r.doc_id, r.shard, r.slot, r.cell) for r in placed)
+    for m in spark.read.parquet(str(tmp_path / "out/manifest")).collect():
+        rows = [r for r in placed if r.shard == m.shard]
+        ends = lambda c: ([*sorted(x for r in rows if (x := r[c]) is not None), None][0], ([None, *sorted(x for r in rows if (x := r[c]) is not None)])[-1])  # noqa: B023, E731
+        assert [(m[f"min_{c}"], m[f"max_{c}"]) for c in ("cell", "size", "lang", "source")] == [ends(c) for c in ("cell", "size", "lang", "source")]
+        assert (m.n_rows, m.n_bytes) == (len(rows), sum(r["size"] for r in rows))
+
+
+@pytest.mark.parametrize("n", [3, 4, 40])
+def test_steps_follow_the_order_of_values(spark, n):
+    df = spark.range(1000).select(F.format_string("v%03d", F.col("id") * F.col("id") % n).alias("c"))
+    least = hilbert_shards.steps(df, "c", 2)
+    values = sorted({r.c for r in df.collect()})
+    assert least == sorted(least) and set(least) <= set(values) and len(least) == (len(values) - 1 if len(values) <= 4 else len(least)) <= 3
+
+
 # 5 quality rules
 
 
@@ -209,6 +263,33 @@ def test_scores(spark, edge_docs, no_docs):
     assert {round(r.score, 9) for r in pairwise_quality.score(docs, flat).collect()} == {pairwise_quality.CUT}
 
 
+def test_features_and_fit_against_slow_versions(edge_docs):
+    import pyarrow as pa
+
+    texts = [t for _, t in edge_rows()] + ["Buy NOW!!! ### 123", "the cat sat. the cat sat.\nthe end"]
+    got = pairwise_quality.features(pa.array(texts, pa.string()))
+    assert got == pytest.approx(np.array([brute.quality_features(t or "", pairwise_quality.STOP_WORDS) for t in texts]))
+    draw = np.random.default_rng(1)
+    x, y = draw.normal(size=(60, 4)), draw.integers(0, 2, 60)
+    x[:, 0] += y
+    x[5] = x[6]
+    model = pairwise_quality.fit(x, y, float(y.mean()), pairs=200, steps=30)
+    weights, cut = brute.pairwise_fit(x.tolist(), y.tolist(), float(y.mean()), 200, 30)
+    assert model.weights == pytest.approx(weights, abs=1e-9) and model.cut == pytest.approx(cut, abs=1e-9)
+    scores = model.score(x)
+    assert scores[5] == scores[6] and model.score(np.array([x[0]])) == pytest.approx([1 / (1 + np.exp(-(model.raw(x[:1])[0] - cut) - np.log(0.3 / 0.7)))])
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    rows = [(i, "the good text of words" if i % 2 else "bad ### !!", i) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(3, f"copy {k}", 0) for k in range(30)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(40)], "doc_id long, quality int, text string")
+    model = pairwise_quality.train(docs, labels)
+    assert pairwise_quality.score(docs, model).count() == 70
+    found = {r.doc_id: r.score for r in pairwise_quality.score(docs.filter("doc_id <> 3"), model).collect()}
+    assert all((found[i] >= pairwise_quality.CUT) == (i % 2 == 1) for i in found)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     rated = pairwise_quality.op7(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()

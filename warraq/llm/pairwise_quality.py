@@ -8,8 +8,8 @@ score quantile that separates the sample best, weighted by how often each label
 labelled rows; scores are shifted so that the cut stands at ``CUT``.
 
 Edge cases: null and empty texts are scored by their (zero) features like any other. A row with a null
-label is not learned from; without rows of both labels every score is ``CUT``. Repeated ids are learned
-from and scored row by row. Labels, language, source and ids are no features. Extra columns are ignored.
+label is not learned from; without rows of both labels every score is ``CUT``. Repeated ids are scored row
+by row and learned from once a label. Ties: equal texts have equal scores, and a score at the cut is predicted 1. Labels, language, source and ids are no features. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -121,14 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Pai
     for y in (0, 1):
         part = known.filter(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = part if picked is None else picked.union(part)
-    # At most 2 * per_label ids: small whatever the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality")
+    # At most 2 * per_label ids: small whatever the input. Of repeated ids one row is learned from, the one of the least hash.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(features(batch.column("text"))), pa.list_(pa.float64())), batch.column("quality").cast(pa.int32())], ["x", "y"])
+            x = pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), batch.column("h"), x], ["doc_id", "y", "h", "x"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").toArrow()
+    told = rows.mapInArrow(run, "doc_id bigint, y int, h bigint, x array<double>")
+    got = told.groupBy("doc_id", "y").agg(F.min_by("x", "h").alias("x")).select("x", "y").toArrow()
     x, y = np.array(got.column("x").to_pylist(), np.float64).reshape(got.num_rows, WIDTH), got.column("y").to_numpy()
     order = np.lexsort((*x.T, y)) if len(y) else slice(None)
     return fit(x[order], y[order], float(share)) if len(y) else fit(np.zeros((0, WIDTH)), np.zeros(0, int), 0.0)
