@@ -52,6 +52,11 @@ def alike(words, item, percent=75):
     return out
 
 
+def weighted(a, b):
+    a, b = collections.Counter(a), collections.Counter(b)
+    return (a & b).total() / (a | b).total()
+
+
 def removed(rows, length=200):
     texts = [(t or "").encode() for _, t in rows]
     seen = collections.Counter(b[s : s + length] for b in texts for s in range(len(b) - length + 1))

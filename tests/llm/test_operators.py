@@ -243,6 +243,48 @@ def test_decontamination_compares_all_windows(spark):
         assert similarity == pytest.approx(max(expected[pair].values())) == pytest.approx(expected[pair][start])
 
 
+def test_decontamination_of_rows_without_an_id_and_of_edits_at_ends(spark):
+    q = [f"Q{i}" for i in range(73)]
+    edited = ["x1", "x2", *q[2:20], *(f"n{i}" for i in range(5)), *q[20:71], "y1", "y2"]
+    item = spark.createDataFrame([(7, " ".join(q), "clash")], "item_id long, text string, w string")
+    made = [(1, "a b " + " ".join(edited) + " c"), (None, " ".join(q)), (None, "nothing " * 80), (2, " ".join(q)), (2, "other words"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in made], "doc_id long, text string, row string, length int")
+    best = brute.alike(made[0][1].split(), q)
+    assert 0.75 < max(best.values()) < 0.8
+    found = {r.doc_id: (r.item_id, r.start, r.similarity) for r in decontaminate.contaminated(docs, item).collect()}
+    assert found == {1: (7, min(k for k in best if best[k] == max(best.values())), pytest.approx(max(best.values()))), None: (7, 0, 1.0), 2: (7, 0, 1.0)}
+    left = decontaminate.clean(docs, item)
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([made[2], made[4], made[5], made[6]], key=str)
+    assert decontaminate.clean(docs, item.limit(0)).count() == len(made) and decontaminate.clean(docs.limit(0), item).count() == 0
+
+
+def test_recall_of_fingerprints_near_the_threshold(spark):
+    """Pairs of lists with similarity 0.75 to 0.8, and unrelated ones."""
+    draw, made = random.Random(9), []
+    while len(made) < 1500:
+        n = draw.randint(7, 60)
+        a = [draw.randint(0, 10**9) for _ in range(n)]
+        if draw.random() < 0.3:
+            a[: n // 3] = [1] * (n // 3)
+        b = list(a)
+        for _ in range(draw.randint(1, n // 4 + 1)):
+            b[draw.randrange(n)] = draw.randint(0, 10**9)
+        if 0.75 <= brute.weighted(a, b) <= 0.8:
+            made.append((len(made), a, b))
+    pairs = spark.createDataFrame(made, "i long, a array<long>, b array<long>")
+    windows = pairs.select(F.lit(1).alias("length"), F.col("i").alias("key"), F.transform("a", lambda x: F.xxhash64(x)).alias("win"))
+    items = pairs.select(F.col("i").alias("item_id"), F.lit(1).alias("length"), F.transform("b", lambda x: F.xxhash64(x)).alias("item"))
+    near = decontaminate._near_pairs(windows, items)
+    both = near.filter("key = item_id").count()
+    assert both >= 0.99 * len(made) and near.count() - both < 0.001 * len(made) ** 2
+
+
+def test_fingerprints_of_long_lists_agree_with_those_of_short_ones(spark):
+    df = spark.range(1).select(F.expr("transform(sequence(1, 400), x -> xxhash64(x % 390))").alias("x"))
+    out = df.select(F.expr(decontaminate.fingerprint("x").replace("65536", "1")).alias("slow"), F.expr(decontaminate.fingerprint("x")).alias("fast")).first()
+    assert out.slow == out.fast
+
+
 # 7 quality scores
 
 
