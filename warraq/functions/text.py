@@ -42,6 +42,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def trimmed(text: str) -> str:
+    """``strip`` for a string on the driver."""
+    return text.strip()
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+$", "")
 
@@ -97,4 +102,5 @@ def query_terms(normalized: Column) -> Column:
 
 def occurrences(text: Column, part: Column) -> Column:
     """How often ``part`` stands in ``text`` without overlap; 0 for an empty part."""
-    return F.when(F.length(part) == 0, F.lit(0)).otherwise(((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int"))
+    # Lengths in bytes are known without a look at the text.
+    return F.when(F.octet_length(part) == 0, F.lit(0)).otherwise(((F.octet_length(text) - F.octet_length(F.replace(text, part, F.lit("")))) / F.octet_length(part)).cast("int"))

@@ -2,18 +2,33 @@
 
 Chunks carry chunk_id, ingest_order, sequence_no, text_normalized, section_path and
 section_text_normalized; queries carry query_id and query, and a work_uri that may be null.
+
+A term consists of word characters, so it can stand in a text only within one of the text's words. Substring
+search thus runs over the distinct words of the corpus, by joins on three-letter parts, and reaches chunks by
+joins on words (``word_index``); no text is scanned for terms.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions import text as T
+from warraq.session import materialize
 
 SMALL_ROWS = 100_000
+#: Bounds of a request.
+MAX_QUERY, MAX_URI, MAX_RESULTS = 500, 255, 50
+
+
+def check_request(query: str, limit: int = 10, work_uri: str | None = None) -> str:
+    """The query of a request without blanks around it, after the bounds that requests have."""
+    for name, value, least, most in (("query", len(query), 1, MAX_QUERY), ("limit", limit, 1, MAX_RESULTS), ("work_uri", len(work_uri or ""), 0, MAX_URI)):
+        if not least <= value <= most:
+            raise ValueError(f"{name} must be between {least} and {most}" + " characters long" * (name != "limit"))
+    if not T.trimmed(query):
+        raise ValueError("the query is blank")
+    return T.trimmed(query)
 
 
 def limits(limit: int, candidate_limit: int | None = None) -> tuple[int, int]:
@@ -41,32 +56,66 @@ def allowed(chunks: DataFrame, work_uri: str | None = None, include_rejected: bo
     return chunks if include_rejected else chunks.filter(F.col("quality_status") != "REJECTED")
 
 
-def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk columns, hits) of the chunks that hold a term of a query, in any case.
+def word_index(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, work_uri, ingest_order, words): the distinct words of each chunk and its section in lower case.
+    A table to be stored with the chunks; whoever has none gets one made for a search."""
+    words = F.array_distinct(F.concat(*[T.tokens(F.lower(F.coalesce(c, F.lit("")))) for c in ("text_normalized", "section_text_normalized")]))
+    return chunks.select("chunk_id", "work_uri", "ingest_order", words.alias("words"))
 
-    Each distinct term is looked for once in a chunk, and hits go back to queries by term; a chunk's
-    text is in lower case once for all terms."""
-    terms = queries.select("query_id", "work_uri", F.explode("terms").alias("term")).withColumn("low", F.lower("term"))
-    wanted = terms.select("low").distinct()
-    lowered = chunks.withColumns({"__text": F.lower("text_normalized"), "__section": F.lower("section_text_normalized")})
-    found = lowered.join(small(wanted), F.contains("__text", "low") | F.contains("__section", "low")).select("chunk_id", F.col("work_uri").alias("__work"), "ingest_order", "low")
-    by_query = found.join(small(terms), "low").filter(F.col("work_uri").isNull() | (F.col("work_uri") == F.col("__work")))
-    return by_query.groupBy("query_id", "chunk_id", "ingest_order").agg(F.countDistinct("term").alias("hits"))
 
+def _parts(word: Column) -> Column:
+    """The distinct runs of three letters of a word, the word itself where it has fewer."""
+    letters = F.split(word, "")
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.slice(c, i + 1, 3)))
+    return F.array_distinct(F.transform(F.array(letters), runs)[0])
 
-def candidates(chunks: DataFrame, queries: DataFrame, candidate_limit: int) -> DataFrame:
+
+def words_holding(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(low, word) of the ``words`` that hold a term ``low``. A term of three letters or more is looked up by its
+    rarest part, a shorter one by itself among all letters and pairs of letters."""
+    short = lambda w: F.array_distinct(F.transform(F.array(F.split(w, "")), lambda c: F.concat(c, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat_ws("", F.slice(c, i, 2)))))[0])
+    long_terms, short_terms = terms.filter(F.length("low") >= 3), terms.filter(F.length("low") < 3)
+    asked = materialize(long_terms.select("low", F.explode(_parts(F.col("low"))).alias("part")))
+    held = materialize(words.select("word", F.explode(_parts(F.col("word"))).alias("part")).join(small(asked.select("part").distinct()), "part"))
+    rare = asked.join(held.groupBy("part").agg(F.count("*").alias("n")), "part").groupBy("low").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    # A term with a part that no word has is in no word.
+    whole = asked.join(held.select("part").distinct(), "part").groupBy("low").agg(F.count("*").alias("k")).join(asked.groupBy("low").agg(F.count("*").alias("of")), "low").filter("k = of").select("low")
+    found = held.join(small(rare.join(whole, "low")), "part").filter(F.contains("word", "low")).select("low", "word")
+    if short_terms.isEmpty():
+        return found
+    return found.union(words.select("word", F.explode(short(F.col("word"))).alias("low")).join(small(short_terms), "low").select("low", "word"))
+
+
+def matches(chunks: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, ingest_order, hits) of the chunks that hold a term of a query, in any case.
+
+    ``index``: the stored ``word_index`` of these chunks. Each distinct term is looked for once among the distinct
+    words, and hits go back to queries by term."""
+    index = materialize(word_index(chunks)) if index is None else index
+    terms = queries.select("query_id", "work_uri", F.explode("terms").alias("term")).withColumn("low", F.lower("term"))
+    words = materialize(index.select(F.explode("words").alias("word")).distinct())
+    held = materialize(words_holding(words, materialize(terms.select("low").distinct())))
+    lows = held.groupBy("word").agg(F.collect_list("low").alias("lows"))
+    # Dealt by chunk once, so that the words, the terms and the queries of a chunk are counted where they are.
+    words_of = index.repartition("chunk_id").select("chunk_id", F.col("work_uri").alias("__work"), "ingest_order", F.explode("words").alias("word"))
+    found = words_of.join(small(lows), "word").select("chunk_id", "__work", "ingest_order", F.explode("lows").alias("low")).distinct()
+    asked = terms.groupBy("low", "query_id", "work_uri").agg(F.countDistinct("term").alias("n"))
+    by_query = found.join(small(asked), "low").filter(F.col("work_uri").isNull() | (F.col("work_uri") == F.col("__work")))
+    return by_query.groupBy("query_id", "chunk_id", "ingest_order").agg(F.sum("n").alias("hits"))
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, candidate_limit: int, index: DataFrame | None = None) -> DataFrame:
     """The first chunks of each query by coverage, then by order of ingest."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "ingest_order"))
-    return matches(chunks, queries).withColumn("candidate", place).filter(F.col("candidate") <= candidate_limit)
+    return matches(chunks, queries, index).withColumn("candidate", place).filter(F.col("candidate") <= candidate_limit)
 
 
 def score_columns(text: Column, section: Column, normalized: Column, terms: Column) -> dict[str, Column]:
     """Score and its parts; all tests are case-sensitive here."""
-    one = lambda held: F.size(F.filter(terms, held)).cast("int")
     total = F.size(terms)
-    matched = one(lambda t: F.contains(text, t) | F.contains(section, t))
-    term_hits = F.aggregate(terms, F.lit(0), lambda n, t: n + T.occurrences(text, t))
-    section_hits = one(lambda t: F.contains(section, t))
+    told = F.transform(F.array(F.transform(terms, lambda t: F.struct(T.occurrences(text, t).alias("n"), F.contains(section, t).alias("s")))), lambda of: F.struct(
+        F.size(F.filter(of, lambda x: (x["n"] > 0) | x["s"])).alias("matched"), F.aggregate(of, F.lit(0), lambda n, x: n + x["n"]).alias("hits"), F.size(F.filter(of, lambda x: x["s"])).alias("sections")))[0]
+    matched, term_hits, section_hits = told["matched"], told["hits"], told["sections"]
     phrase, section_phrase = T.occurrences(text, normalized), T.occurrences(section, normalized)
     score = (
         100.0 * matched / total + 25.0 * F.least(phrase, F.lit(3)) + 2.0 * F.least(term_hits, F.lit(20)) + 8.0 * section_hits + 35.0 * section_hits / total + 20.0 * F.least(section_phrase, F.lit(2))
@@ -84,26 +133,28 @@ def ranking(*ties: str) -> list[Column]:
     return [F.desc("score"), F.desc("matched_terms"), F.desc("phrase_hits"), F.desc("term_hits"), F.asc("sequence_no"), *[F.desc(x) if x == "hits" else F.asc(x) for x in ties]]
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 10, candidate_limit: int | None = None) -> DataFrame:
+def search_batch(chunks: DataFrame, queries: DataFrame, limit: int = 10, candidate_limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """The ranking of every query in one plan: (query_id, rank, score and parts, chunk columns).
-    ``queries`` is analyzed."""
+    ``queries`` is analyzed. Only candidates are scored, and where they are few by count they go to the
+    chunks, so texts stay where they are read."""
     limit, most = limits(limit, candidate_limit)
-    held = candidates(chunks, queries, most).drop("ingest_order")
-    scored = score(held.join(chunks, "chunk_id").join(small(queries.drop("work_uri")), "query_id"))
+    held = materialize(candidates(chunks, queries, most, index).drop("ingest_order"))
+    scored = score(chunks.join(small(held), "chunk_id").join(small(queries.drop("work_uri")), "query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking("hits", "ingest_order")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
 def search(chunks: DataFrame, query: DataFrame, terms: list[str], limit: int = 10, candidate_limit: int | None = None) -> DataFrame:
-    """The ranking of one analyzed query, whose terms are known: its tests are unrolled into the scan's
-    filter, and both cuts are top-k without a shuffle of the corpus."""
+    """The ranking of one analyzed query, whose terms are known: a chunk's text is in lower case once for all
+    terms, and both cuts are top-k without a shuffle of the corpus."""
     if not terms:
         raise ValueError("The search query does not contain any searchable terms")
     limit, most = limits(limit, candidate_limit)
-    text, section = F.lower("text_normalized"), F.lower("section_text_normalized")
-    held = [F.contains(text, F.lit(t.lower())) | F.contains(section, F.lit(t.lower())) for t in terms]
-    hits = reduce(lambda a, b: a + b, [h.cast("int") for h in held])
-    cut = chunks.filter(reduce(lambda a, b: a | b, held)).withColumn("hits", hits).orderBy(F.desc("hits"), "ingest_order").limit(most)
+    wanted = F.array(*[F.lit(t.lower()) for t in terms])
+    both = F.struct(F.lower("text_normalized").alias("text"), F.lower("section_text_normalized").alias("section"))
+    hits = F.transform(F.array(both), lambda c: F.size(F.filter(wanted, lambda t: F.contains(c["text"], t) | F.contains(c["section"], t))))[0]
+    # The filter stands after the cut, where it changes nothing and asks for no second count.
+    cut = chunks.withColumn("hits", hits).orderBy(F.desc("hits"), "ingest_order").limit(most).filter("hits > 0")
     scored = score(cut.crossJoin(F.broadcast(query.drop("work_uri").limit(1))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking("hits", "ingest_order")))
     return scored.orderBy(*ranking("hits", "ingest_order")).limit(limit).withColumn("rank", rank)

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from warraq.functions import text as T
 from warraq.functions.identity import chunk_id, sha256
-from warraq.session import table
-
-QUERY_WORDS = 6
+from warraq.operators.lexical import small
+from warraq.session import materialize, spread, table
 
 
 def chunks(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = spread(table(spark, folder, "documents")), table(spark, folder, "labels")
     status = F.when(F.col("toxic") == 1, "REJECTED").when(F.col("quality") == 1, "ACCEPTED").when(F.col("quality") == 0, "REVIEW_REQUIRED").otherwise("UNREVIEWED")
     held = docs.join(labels, "doc_id", "left")
     version = F.concat_ws(".", "lang", "source", F.lit("V1"))
@@ -30,16 +29,34 @@ def chunks(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame
     return out
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunk table as a store holds it, with its search texts, so that no search derives them anew."""
+    return materialize(chunks(spark, folder))
+
+
 def queries(spark: SparkSession, folder: str) -> DataFrame:
-    """(query_id, query, work_uri): the first words of each benchmark item."""
-    first = F.array_join(F.slice(F.split("text", " "), 1, QUERY_WORDS), " ")
-    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"), F.lit(None).cast("string").alias("work_uri"))
+    """(query_id, query, work_uri): the benchmark's items."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("work_uri"))
+
+
+def holding(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks whose original text holds a passage (query_id, passage) as a whole.
+
+    A word inside a passage is a word of every text that holds it, so pairs meet by the longest such word and
+    are then checked; a passage of fewer than three words is looked for in every chunk."""
+    inner = F.filter(T.tokens(F.col("passage")), lambda w, i: (i > 0) & (i < F.size(T.tokens(F.col("passage"))) - 1))
+    keyed = passages.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    held = F.contains("text_original", "passage")
+    words = chunks.select("chunk_id", "text_original", F.explode(F.array_distinct(T.tokens(F.col("text_original")))).alias("word"))
+    found = words.join(small(keyed.filter("word is not null")), "word").filter(held).select("query_id", "chunk_id")
+    rest = keyed.filter("word is null and passage is not null").drop("word")
+    return found if rest.isEmpty() else found.union(chunks.join(small(rest), held).select("query_id", "chunk_id"))
 
 
-def relevant(spark: SparkSession, folder: str) -> DataFrame:
+def relevant(spark: SparkSession, folder: str, held: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id): documents that hold a whole item."""
-    items = F.broadcast(table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    return chunks(spark, folder).join(items, F.contains("text_original", "passage")).select("query_id", "chunk_id")
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return holding(chunks(spark, folder) if held is None else held, items)
 
 
 #: The same model as DuckDB SQL, to stand after WITH.
@@ -61,7 +78,7 @@ CHUNKS_SQL = f"""chunks AS (
       lang, source, text AS text_original, n_chars, sha256(text) AS text_hash, {_normalized("text")} AS text_normalized, lang || ' ' || source AS section_text_normalized
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id))"""
 QUERIES_SQL = f"""raw_queries AS (
-  SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:{QUERY_WORDS}], ' ') AS query FROM benchmark
+  SELECT item_id AS query_id, text AS query FROM benchmark
 ), tokens AS (
   SELECT query_id, query, {_normalized("query")} AS normalized, regexp_extract_all({_normalized("query")}, '{T.WORD}') AS found FROM raw_queries
 ), queries AS (

@@ -121,35 +121,30 @@ def _analyzed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return lexical.search_batch(lexical.allowed(corpus.chunks(spark, d)), _analyzed(spark, d), limit)
+    return lexical.search_batch(lexical.allowed(corpus.stored(spark, d)), _analyzed(spark, d), limit)
 
 
 @query(f"{LEXICAL_SQL} SELECT query_id, doc_id, hits::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, ingest_order)::INTEGER AS candidate FROM scored WHERE quality_status <> 'REJECTED' QUALIFY candidate <= 20")
 def lexical_candidates(spark: SparkSession, d: str) -> DataFrame:
-    found = lexical.candidates(lexical.allowed(corpus.chunks(spark, d)), _analyzed(spark, d), 20)
+    found = lexical.candidates(lexical.allowed(corpus.stored(spark, d)), _analyzed(spark, d), 20)
     return found.select("query_id", F.col("ingest_order").alias("doc_id"), "hits", "candidate")
 
 
-@query(f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored WHERE query_id < 5")
-def lexical_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(corpus.chunks(spark, d), _analyzed(spark, d).filter("query_id < 5"))
-
+_SCORES = f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored"
 
-@query(f"{LEXICAL_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_terms::INTEGER AS matched_terms, phrase_hits::INTEGER AS phrase_hits, term_hits::INTEGER AS term_hits, section_hits::INTEGER AS section_hits FROM scored")
-def lexical_score_all(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(corpus.chunks(spark, d), _analyzed(spark, d))
 
-
-def _scores(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+@query(_SCORES)
+def lexical_score(spark: SparkSession, d: str) -> DataFrame:
+    chunks, asked = corpus.stored(spark, d), _analyzed(spark, d)
     held = lexical.matches(chunks, asked).select("query_id", "chunk_id")
-    out = lexical.score(held.join(chunks, "chunk_id").join(lexical.small(asked.drop("work_uri")), "query_id"))
+    out = lexical.score(chunks.join(held, "chunk_id").join(lexical.small(asked.drop("work_uri")), "query_id"))
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched_terms", "phrase_hits", "term_hits", "section_hits")
 
 
 def _one(spark: SparkSession, d: str, work: str | None, rejected: bool) -> DataFrame:
     asked = _analyzed(spark, d).filter("query_id = 1").limit(1)
     terms = asked.first()["terms"]
-    out = lexical.search(lexical.allowed(corpus.chunks(spark, d), work, rejected), asked, terms, 10)
+    out = lexical.search(lexical.allowed(corpus.stored(spark, d), work, rejected), asked, terms, 10)
     return out.select(F.col("rank"), "doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -173,7 +168,7 @@ def lexical_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus.CHUNKS_SQL} SELECT doc_id FROM chunks WHERE contains(lower(text_normalized), 'thhehe') OR contains(lower(section_text_normalized), 'thhehe')")
 def lexical_trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus.chunks(spark, d)
+    chunks = corpus.stored(spark, d)
     return lexical.by_trigram(chunks, lexical.trigrams(chunks), "thhehe").select("doc_id")
 
 
@@ -277,7 +272,7 @@ HYBRID_SQL = f"{_dense_sql(50)}, {corpus.ranked_sql(2500, 50)}"
 
 
 def _hybrid(spark: SparkSession, d: str, a: float, b: float) -> DataFrame:
-    out = hybrid.search_batch(lexical.allowed(corpus.chunks(spark, d)), _vectors(spark, d), _analyzed(spark, d), _probes(spark, d), lexical_weight=a, semantic_weight=b)
+    out = hybrid.search_batch(lexical.allowed(corpus.stored(spark, d)), _vectors(spark, d), _analyzed(spark, d), _probes(spark, d), lexical_weight=a, semantic_weight=b)
     return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "lexical_rank", "semantic_rank")
 
 

@@ -22,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out anew where it has fewer splits than there are cores, as one small file has; a
+    scan of many splits stays as it is, so no large table is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.select(df.columns[:1]).rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, so Python workers can import it."""
     context = spark.sparkContext
