@@ -17,8 +17,9 @@ tuple of 200 - V + 1 = 68 bytes at the same distance from their starts.
 Texts are split only at 3. and 4., and travel there compressed. All buckets have a size of their own
 that does not grow with the input (``BUCKET`` entries or ``TEXT_BUCKET`` bytes; there are more of them
 instead). A name that occurs everywhere is 20 bytes an occurrence in one bucket, never a text, and step 3
-spreads its strings over buckets by their own names. Names are 64-bit hashes, contexts are compared by
-128 bits: over n strings, chance equality is expected n**2 / 2**65 times.
+spreads its strings over buckets by their own names. Removal is decided by 128 bits inside repeats (name and
+context) and by 96 at their edges (name and check): over 10**12 strings, chance equality is expected 6 times in a
+million runs.
 
 Edge cases: null counts as empty, and what is shorter than 200 bytes has no string. Matches never cross
 texts. Repeated rows are found in each other; rows that agree in doc_id and text share one result. Extra
@@ -54,6 +55,10 @@ def _frames():
     return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
+#: A permutation of the byte values, by which the same sums name a string anew.
+_OTHER = (mix(np.arange(256, dtype=np.uint64) + np.uint64(1)).argsort() * 257 + 1).astype(np.uint64)
+
+
 def prefix_names(raw: np.ndarray) -> np.ndarray:
     """Running sums from which ``names`` takes the name of any string of the text."""
     total = np.empty(len(raw) + 1, np.uint64)
@@ -66,6 +71,12 @@ def names(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * powers(len(total))[1][start])
 
 
+def checks(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second name of 32 bits for strings of the text, from another function of its bytes."""
+    other = prefix_names(_OTHER[raw])
+    return (names(other, start, end) >> np.uint64(32)).astype(np.uint32)
+
+
 def context(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the 200-byte strings over a sampled tuple begin and end at most."""
     return np.maximum(at - (V - 1), 0), np.minimum(at + LENGTH, n)
@@ -228,7 +239,7 @@ def _merge(packed: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
         pa.default_memory_pool().release_unused()
         _, decompress = _frames()
         edges, done = _per_text(right, EDGE), []
-        ids, ats, keys, seen, held = [], [], {"name": []}, set(), 0
+        ids, ats, keys, seen, held = [], [], {"name": [], "check": []}, set(), 0
         for uid, body in zip(left["uid"].tolist(), left["body"], strict=True):
             if uid not in edges or uid in seen:
                 continue
@@ -241,16 +252,17 @@ def _merge(packed: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
             starts = np.flatnonzero(np.cumsum(covered)[: len(raw) - LENGTH + 1] > 0)
             with np.errstate(over="ignore"):
                 keys["name"].append(names(prefix_names(raw), starts, starts + LENGTH))
+                keys["check"].append(checks(raw, starts, starts + LENGTH))
             ids.append(np.full(len(starts), uid, np.int64))
             ats.append(starts)
             held += len(starts)
             if held > BUCKET:
                 done += _named(ids, ats, keys, buckets, "name")
-                ids, ats, keys, held = [], [], {"name": []}, 0
+                ids, ats, keys, held = [], [], {"name": [], "check": []}, 0
         done += _named(ids, ats, keys, buckets, "name")
-        return pd.DataFrame(done, columns=["bucket", "ids", "counts", "at", "name"])
+        return pd.DataFrame(done, columns=["bucket", "ids", "counts", "at", "name", "check"])
 
-    return packed.groupBy("home").cogroup(lists.filter(F.col("kind") == EDGE).groupBy("home")).applyInPandas(run, _NAMED)
+    return packed.groupBy("home").cogroup(lists.filter(F.col("kind") == EDGE).groupBy("home")).applyInPandas(run, _NAMED + ", check binary")
 
 
 def _pair(strings: DataFrame, texts: int) -> DataFrame:
@@ -259,10 +271,10 @@ def _pair(strings: DataFrame, texts: int) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
         ids, at = Lists.unpack(frame)
-        name = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["name"]])
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        same = name[1:] == name[:-1]
+        name, check = (np.concatenate([np.frombuffer(x, t) for x in frame[k]]) for k, t in (("name", np.uint64), ("check", np.uint32)))
+        order = np.lexsort((check, name))
+        name, check = name[order], check[order]
+        same = (name[1:] == name[:-1]) & (check[1:] == check[:-1])
         twice = np.zeros(len(name), bool)
         twice[1:] |= same
         twice[:-1] |= same
