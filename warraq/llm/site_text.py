@@ -11,8 +11,8 @@ are not judged, as they recur only with all of it. Elements that never hold main
 forms, scripts and so on, by tag, role or class words) are left out in any place.
 
 Edge cases: null html is empty and gives an empty text. Unclosed and stray tags are tolerated, a cut
-tag at the end is no text. Repeated rows and repeated or null page_ids each give a row. A null url is
-a host of its own. A page of any length is read in one pass; its counts are sums made map-side, so a
+tag at the end is no text, and deep nesting costs no more than as many tags side by side. Repeated rows and repeated or null page_ids each give a row. A null url is
+a host of its own. Extra columns are ignored. A page of any length is read in one pass; its counts are sums made map-side, so a
 host with a third of all pages is no hot key.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,19 +70,40 @@ def _marked(attributes: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("name", "skip", "own", "at", "judged")
+    __slots__ = ("name", "skip", "own", "at", "size", "pending", "holds")
 
-    def __init__(self, name: str, skip: bool, own: bool, at: int, judged: int):
-        self.name, self.skip, self.own, self.at, self.judged = name, skip, own, at, judged
+    def __init__(self, name: str, skip: bool, own: bool, at: int):
+        self.name, self.skip, self.own, self.at = name, skip, own, at
+        #: Of an article or main: the length of its own text, and the subtrees in it that wait for its hash.
+        self.size, self.pending = 0, []
+        #: Whether an article or main with text stands inside.
+        self.holds = False
 
 
-def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, int | None]], int | None]:
-    """The page's text blocks in order, each with the hashes of the subtrees around it; the hashes of all
-    subtrees that recurrence may judge, each with what it counts once for; the hash of the page's lead."""
-    root = _Element("", False, False, 0, 0)
-    stack, found, text = [root], [], []
-    around: list[list[int]] = []
+class _Prefixes:
+    """Hashes of any run of blocks in constant time, from a polynomial over the blocks' own hashes."""
+
+    PRIME, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E68
+
+    def __init__(self):
+        self.totals, self.powers = [0], [1]
+
+    def add(self, text: str) -> None:
+        self.totals.append((self.totals[-1] * self.BASE + xxhash.xxh64_intdigest(text)) % self.PRIME)
+        self.powers.append(self.powers[-1] * self.BASE % self.PRIME)
+
+    def of(self, name: str, a: int, z: int) -> int:
+        run = (self.totals[z] - self.totals[a] * self.powers[z - a]) % self.PRIME
+        return xxhash.xxh64_intdigest(f"{name} {z - a} {run}") - (1 << 63)
+
+
+def blocks(source: str) -> tuple[list[str], list[tuple[int, int | None, int, int]], int | None]:
+    """The page's text blocks in order; the subtrees that recurrence may judge, each as its hash, what it counts
+    once for, and the blocks it spans (from, to); the hash of the page's lead. One pass, whatever the nesting."""
+    root = _Element("", False, False, 0)
+    stack, found, text, holders = [root], [], [], []
     subtrees: list[list] = []
+    hashes, opened = _Prefixes(), Counter()
     lead: tuple[int, int | None] = (0, None)
 
     def end_block() -> None:
@@ -89,8 +111,10 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, in
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined and not stack[-1].skip:
-                found.append((joined, next((e for e in reversed(stack) if e.own), None)))
-                around.append([])
+                found.append(joined)
+                hashes.add(joined)
+                if holders:
+                    holders[-1].size += len(joined)
 
     def close(upto: int) -> None:
         nonlocal lead
@@ -99,23 +123,22 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, in
             if e.name not in _INLINE:
                 end_block()
             stack.pop()
+            opened[e.name] -= 1
+            if e.own:
+                holders.pop()
+            stack[-1].holds |= e.holds or (e.own and e.at < len(found))
             if e.name in _INLINE or e.skip or e.at == len(found):
                 continue
-            inner = found[e.at :]
-            h = xxhash.xxh64_intdigest("\n".join((e.name, *(x[0] for x in inner)))) - (1 << 63)
+            h = hashes.of(e.name, e.at, len(found))
             if e.own:
-                for x in subtrees[e.judged :]:
-                    if x[1] is None:
-                        x[1] = h
-                size = sum(len(x[0]) for x in inner if x[1] is e)
-                if size > lead[0]:
-                    lead = (size, h)
-            else:
-                holder = next((x for x in reversed(stack) if x.own), None)
-                if all(x[1] is holder for x in inner):
-                    subtrees.append([h, None])
-                    for k in range(e.at, len(found)):
-                        around[k].append(h)
+                for x in e.pending:
+                    x[1] = h
+                if e.size > lead[0]:
+                    lead = (e.size, h)
+            elif not e.holds:
+                subtrees.append([h, None, e.at, len(found)])
+                if holders:
+                    holders[-1].pending.append(subtrees[-1])
 
     at = 0
     for m in _TOKEN.finditer(source):
@@ -126,7 +149,7 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, in
         if not name:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1 if opened[name] > 0 else 0, 0, -1):
                 if stack[k].name == name:
                     close(k)
                     break
@@ -141,7 +164,7 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, in
                 text.append(" ")
         else:
             end_block()
-            if name in _CLOSES_P:
+            if name in _CLOSES_P and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == "p":
                         close(k)
@@ -158,13 +181,16 @@ def blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[int, in
         if name in _VOID or m[4].endswith("/") and name not in _CLOSES_P:
             continue
         skip = stack[-1].skip or name in _NEVER or (name not in ("html", "body") and name not in _OWN and bool(m[4]) and _marked(m[4]))
-        stack.append(_Element(name, skip, name in _OWN and not skip, len(found), len(subtrees)))
+        stack.append(_Element(name, skip, name in _OWN and not skip, len(found)))
+        opened[name] += 1
+        if stack[-1].own:
+            holders.append(stack[-1])
     rest = source[at:]
     if rest and not stack[-1].skip:
         text.append(rest)
     close(1)
     end_block()
-    return [(x, a) for (x, _), a in zip(found, around, strict=True)], [(h, lead[1] if once is None else once) for h, once in subtrees], lead[1]
+    return found, [(h, lead[1] if once is None else once, a, z) for h, once, a, z in subtrees], lead[1]
 
 
 def host(url) -> object:
@@ -174,8 +200,7 @@ def host(url) -> object:
 
 def parse(pages: DataFrame) -> DataFrame:
     """(page_id, url, host, blocks, subtrees, lead) of every page."""
-    struct = pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])
-    judged = pa.struct([("hash", pa.int64()), ("once", pa.int64())])
+    judged = pa.struct([("hash", pa.int64()), ("once", pa.int64()), ("a", pa.int32()), ("z", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,15 +210,15 @@ def parse(pages: DataFrame) -> DataFrame:
                     batch.column("page_id"),
                     batch.column("url"),
                     batch.column("host"),
-                    pa.array([[{"text": t, "around": a} for t, a in b] for b, _, _ in done], pa.list_(struct)),
-                    pa.array([[{"hash": h, "once": o} for h, o in dict.fromkeys(s)] for _, s, _ in done], pa.list_(judged)),
+                    pa.array([b for b, _, _ in done], pa.list_(pa.string())),
+                    pa.array([[dict(zip(("hash", "once", "a", "z"), x, strict=True)) for x in s] for _, s, _ in done], pa.list_(judged)),
                     pa.array([x for _, _, x in done], pa.int64()),
                 ],
                 ["page_id", "url", "host", "blocks", "subtrees", "lead"],
             )
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host(F.col("url")).alias("host"), "html")
-    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<struct<hash:bigint,once:bigint>>, lead bigint")
+    return rows.mapInArrow(run, "page_id bigint, url string, host string, blocks array<string>, subtrees array<struct<hash:bigint,once:bigint,a:int,z:int>>, lead bigint")
 
 
 def templates(parsed: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -201,7 +226,8 @@ def templates(parsed: DataFrame, share: float = SHARE, least: int = LEAST) -> Da
     # A null counts as often as it occurs: pages without article and main are each their own.
     many = lambda once, n: (F.sum(F.when(F.col(once).isNull(), F.col(n)).otherwise(1))).alias("n")
     sizes = parsed.groupBy("host", "lead").agg(F.count("*").alias("k")).groupBy("host").agg(many("lead", "k")).withColumnRenamed("n", "n_pages")
-    told = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.hash", "s.once")
+    each = F.array_distinct(F.transform("subtrees", lambda s: F.struct(s["hash"].alias("hash"), s["once"].alias("once"))))
+    told = parsed.select("host", F.explode(each).alias("s")).select("host", "s.hash", "s.once")
     counts = told.groupBy("host", "hash", "once").agg(F.count("*").alias("k")).groupBy("host", "hash").agg(many("once", "k")).filter(F.col("n") >= least)
     return counts.join(sizes, "host").filter(F.col("n") >= share * F.col("n_pages")).select("host", "hash")
 
@@ -217,9 +243,11 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataF
         keyed = parsed.withColumn("hashes", F.array_sort(F.array_distinct("subtrees.hash")))
         looked = keyed.select("host", "hashes").distinct().select("host", "hashes", F.explode("hashes").alias("hash")).join(recurring, ["host", "hash"]).groupBy("host", "hashes").agg(F.collect_set("hash").alias("gone"))
         joined = keyed.join(looked, ["host", "hashes"], "left")
-    gone = F.coalesce("gone", F.array().cast("array<bigint>"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], gone))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+    here = F.array_intersect("subtrees.hash", F.coalesce("gone", F.array().cast("array<bigint>")))
+    spans = F.filter("subtrees", lambda s: F.array_contains(F.col("here"), s["hash"]))
+    kept = F.filter("blocks", lambda b, i: ~F.exists(F.col("spans"), lambda s: (s["a"] <= i) & (i < s["z"])))
+    joined = joined.withColumn("here", here).withColumn("spans", spans)
+    text = F.array_join(kept, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
