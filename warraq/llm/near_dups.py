@@ -10,10 +10,13 @@ Scale. One pass hashes the texts; 16 values a class travel, not texts, and 128 f
 lists. Lists of at most ``SHORT`` classes are joined pairwise. A longer list, as a passage or a large family of near copies makes, is
 cut into blocks; each pair of blocks is compared inside one task as an incidence matrix, which first
 names the members that may have a partner and then, for those alone, verifies full sets and gives
-out the links that join them (a spanning forest), so no step gives out all pairs of a list. A pair
+out links that join them (a tree of small fan-out for each group), so no step gives out all pairs of a list. A pair
 is looked at only in the list of the smallest value that it shares. Nothing is capped: a pair at the
 threshold shares no value, or fewer than ``LEAST`` of them, once in about four million cases, and
-falls ``SLACK`` deviations below the threshold in a wide sketch once in a million.
+falls ``SLACK`` deviations below the threshold in a wide sketch once in a million. A list of M classes is sent
+out M / ``BLOCK`` times, which is the price of an exact answer where M different texts share a value.
+
+Sets count as equal if two 64-bit hashes of them are.
 
 Edge cases: null or blank texts have an empty set and link with nothing; with fewer than five words
 the whole sequence is one shingle. Repeated rows fall into one class; a null doc_id takes its
@@ -35,6 +38,8 @@ from warraq.llm.shingles import set_hash, sets
 from warraq.session import discard, materialize
 
 K, WIDE, SHORT, BLOCK, PERCENT = 16, 128, 48, 1024, 75
+#: Edges below a member of a group's tree.
+FAN = 32
 #: Shared values among the K smallest of a union, below which a pair isn't verified.
 LEAST = 3
 #: Standard deviations below the threshold at which an estimate from wide sketches still goes on to be verified.
@@ -47,22 +52,32 @@ def row_key() -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n, node, sketch, wide): the size of the set, its hash and its K and WIDE smallest hashes."""
+    """(doc_id, row_key, n, node, check, sketch, wide): the size of the set, two hashes of it and its K and WIDE smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, sketch, wide = [], [], [], []
+            n, node, check, sketch, wide = [], [], [], [], []
             for s in sets(batch.column("text")):
                 n.append(len(s))
                 node.append(set_hash(s) if len(s) else None)
+                check.append(set_hash(s, other=True) if len(s) else None)
                 sketch.append(s[:K])
                 wide.append(s[:WIDE].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
-                ["doc_id", "row_key", "n", "node", "sketch", "wide"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.binary())],
+                ["doc_id", "row_key", "n", "node", "check", "sketch", "wide"],
             )
 
-    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, node bigint, sketch array<bigint>, wide binary")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(run, "doc_id bigint, row_key bigint, n bigint, node bigint, check bigint, sketch array<bigint>, wide binary")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows whose sets differ though their first hash is the same: all but one kind take their second as node."""
+    seen = rows.filter("node is not null").groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most"))
+    clash = materialize(seen.filter("least <> most").select("node", "least"))
+    if clash.isEmpty():
+        return rows
+    return rows.join(clash, "node", "left").withColumn("node", F.when(F.col("check") != F.col("least"), F.col("check")).otherwise(F.col("node"))).drop("least")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -72,7 +87,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             node, hashes = [], []
             for want, s in zip(batch.column("node").to_pylist(), sets(batch.column("text")), strict=True):
-                if len(s) and set_hash(s) == want:
+                if len(s) and want in (set_hash(s), set_hash(s, other=True)):
                     node.append(want)
                     hashes.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(hashes, pa.binary())], ["node", "hashes"])
@@ -160,17 +175,16 @@ def _long_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple
         n, node = np.fromiter(map(len, members), np.int64, len(members)), frame["node"].to_numpy()
         both = overlaps(members).astype(np.int64)
         linked = _across(frame["own"].to_numpy()) & (both * 100 >= (n[:, None] + n[None, :] - both) * PERCENT)
-        # A spanning forest: each member under the smallest place it can reach in a sweep.
+        # What is linked, directly or not, is given out as a tree in which no member has many edges.
         left, edges = set(range(len(members))), []
         while left:
-            wave = [left.pop()]
-            while wave:
-                at = wave.pop()
-                for k in np.flatnonzero(linked[at]).tolist():
-                    if k in left:
-                        left.discard(k)
-                        wave.append(k)
-                        edges.append((node[at], node[k]))
+            group = [left.pop()]
+            for at in group:
+                near = [k for k in np.flatnonzero(linked[at]).tolist() if k in left]
+                left.difference_update(near)
+                group += near
+            held = sorted(node[group].tolist())
+            edges += [(held[(k - 1) // FAN], held[k]) for k in range(1, len(held))]
         return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
 
     return flagged, full.groupBy("v", "i", "j").applyInPandas(verify, "a bigint, b bigint")
@@ -201,40 +215,47 @@ def _short_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tupl
     return pairs, full, checked
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, the root being the smallest node it can reach, by
-    alternating large-star and small-star steps; each step is one shuffle of the edges."""
+    alternating large-star and small-star steps until nothing changes (some log2(n)**2 rounds at most; each
+    lowers the sum of the edges' ends or is the last).
+
+    A node's least neighbour is a written table, so both sides of the join are plain shuffles and Spark's skew
+    join splits a hub's edges over tasks; what is summed up per node is summed before it travels."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tables: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        tables.append(materialize(df))
+        return tables[-1]
 
     def large(e: DataFrame) -> DataFrame:
         near = both(e)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return near.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = kept(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        # Only a neighbour above the node moves.
+        return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = kept(down.groupBy("a").agg(F.min("b").alias("m")))
         return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = state(now)
-    for _ in range(most):
+    seen = None
+    while (after := state(now)) != seen:
+        seen = after
         then = materialize(small(large(now)))
-        after = state(then)
-        discard(now)
+        for used in (now, *tables):
+            discard(used)
+        tables.clear()
         now = then
-        if after == seen:
-            break
-        seen = after
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
 def near_dups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
-    rows = materialize(sketches(docs))
+    rows = told_apart(materialize(sketches(docs)))
     nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
     posted = nodes.select(F.explode("sketch").alias("v"), "node", "n")
     counts = nodes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")

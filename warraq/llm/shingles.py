@@ -131,9 +131,10 @@ def sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.unique(x)
 
 
-def set_hash(hashes: np.ndarray) -> int:
-    """One hash of a whole set."""
+def set_hash(hashes: np.ndarray, other: bool = False) -> int:
+    """One hash of a whole set, or another one."""
     with np.errstate(over="ignore"):
         x = hashes.view(np.uint64)
-        total = np.add.reduce(mix(x * _SALTS[3] + _SALTS[4])) + np.uint64(len(x)) * _SALTS[2]
+        a, b = (_SALTS[1], _SALTS[0]) if other else (_SALTS[3], _SALTS[4])
+        total = np.add.reduce(mix(x * a + b)) + np.uint64(len(x)) * _SALTS[2]
         return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
