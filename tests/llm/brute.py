@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import math
 import re
 
@@ -57,15 +58,36 @@ def weighted(a, b):
     return (a & b).total() / (a | b).total()
 
 
-def removed(rows, length=200):
-    texts = [(t or "").encode() for _, t in rows]
-    seen = collections.Counter(b[s : s + length] for b in texts for s in range(len(b) - length + 1))
+def removed_marks(rows, length=200):
+    """A byte for each byte of (id, text): 1 where a string of that length that starts elsewhere too covers it."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = collections.Counter(b[s : s + length] for _, b in texts for s in range(len(b) - length + 1))
     out = []
-    for (i, _), b in zip(rows, texts, strict=True):
+    for i, b in texts:
         gone = bytearray(len(b))
         for s in range(len(b) - length + 1):
             if seen[b[s : s + length]] > 1:
                 gone[s : s + length] = b"\1" * length
+        out.append((i, gone))
+    return dict(out) if len(dict(out)) == len(out) else out
+
+
+def left_of(text, gone):
+    """The text without the characters of which every byte is marked."""
+    at, out = 0, []
+    for c in text or "":
+        n = len(c.encode())
+        if not all(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
+def removed(rows, length=200):
+    marks = removed_marks([(k, t) for k, (_, t) in enumerate(rows)], length)
+    out = []
+    for k, (i, t) in enumerate(rows):
+        b, gone = (t or "").encode(), marks[k]
         runs = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
@@ -118,5 +140,79 @@ def pairwise_fit(x, y, share_good, pairs, steps, l2=1e-3):
     return w, (raw[k][0] + raw[min(k + 1, rows - 1)][0]) / 2
 
 
+class _Tree(html.parser.HTMLParser):
+    """Elements as [name, parent, children], texts as strings; well-formed input only."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.root = self.at = ["", None, []]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        e = [tag, self.at, []]
+        self.at[2].append(e)
+        self.at = e
+
+    def handle_endtag(self, tag):
+        self.at = self.at[1]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.at[2].append(data.strip())
+
+
+def _texts(e):
+    return [e] if isinstance(e, str) else [t for c in e[2] for t in _texts(c)]
+
+
+def _own_text(e):
+    """The text of an article or main outside of those inside it."""
+    return sum(len(c) if isinstance(c, str) else 0 if c[0] in ("article", "main") else _own_text(c) for c in e[2])
+
+
+def _all(e):
+    yield e
+    for c in e[2]:
+        if not isinstance(c, str):
+            yield from _all(c)
+
+
+def main_texts(pages, share, least):
+    """Text by page_id of (page_id, host, html) rows: what isn't under a subtree that recurs on its host."""
+    once, trees = collections.defaultdict(set), {}
+    sizes = collections.defaultdict(set)
+    for i, host, source in pages:
+        root = _Tree(source).root
+        trees[i] = (host, root)
+        owns = [e for e in _all(root) if e[0] in ("article", "main") and _texts(e)]
+        closed = [e for e in _after(root) if e in owns]
+        best = max((_own_text(e) for e in closed), default=0)
+        lead = next(((e[0], tuple(_texts(e))) for e in closed if best and _own_text(e) == best), ("page", i))
+        sizes[host].add(lead)
+        for e in _all(root):
+            if e[0] and e[0] not in ("article", "main") and _texts(e) and not any(x[0] in ("article", "main") and _texts(x) for x in _all(e)):
+                up = e[1]
+                while up is not None and up[0] not in ("article", "main"):
+                    up = up[1]
+                once[host, e[0], tuple(_texts(e))].add(lead if up is None else (up[0], tuple(_texts(up))))
+
+    def kept(host, e):
+        if isinstance(e, str):
+            return [e]
+        n = len(once.get((host, e[0], tuple(_texts(e))), ()))
+        judged = e[0] and e[0] not in ("article", "main") and not any(x[0] in ("article", "main") and _texts(x) for x in _all(e))
+        return [] if judged and n >= least and n >= share * len(sizes[host]) else [t for c in e[2] for t in kept(host, c)]
+
+    return {i: "\n\n".join(kept(*trees[i])) for i, _, _ in pages}
+
+
+def _after(e):
+    """Elements in the order in which they close."""
+    for c in e[2]:
+        if not isinstance(c, str):
+            yield from _after(c)
+    yield e
+
+
 def key(row):
     return str(tuple(row))

@@ -396,6 +396,40 @@ def test_recurrence_decides_in_and_around_articles(spark, monkeypatch, bound):
     assert all(by_id[100 + i] == ["Heading", "Copied one", "Copied two", f"Own {i}"] for i in range(10))
 
 
+def test_template_counts_against_a_slow_version(spark):
+    """Random well-formed pages of nested elements, some shared by many pages of a host; no marks."""
+    draw, made = random.Random(10), []
+    boxes = {h: [f"<div><p>{h} box {i}</p><section><p>more {i}</p></section></div>" for i in range(4)] for h in "ab"}
+
+    def part(h, i, depth):
+        kind = draw.random()
+        if kind < 0.45:
+            return draw.choice(boxes[h])
+        if kind < 0.75 or not depth:
+            return f"<p>page {i} says {draw.randint(0, 30)}</p>"
+        name = draw.choice(["div", "section", "article", "main"])
+        return f"<{name}>" + "".join(part(h, i, depth - 1) for _ in range(draw.randint(1, 3))) + f"</{name}>"
+
+    for i in range(60):
+        h = draw.choice("ab")
+        made.append((i, f"http://{h}.example/{i}", "<html><body>" + "".join(part(h, i, 3) for _ in range(draw.randint(1, 4))) + "</body></html>", "clash", 1))
+    made.append((99, None, "<body><p>alone</p></body>", "clash", 1))
+    out = site_text.extract(spark.createDataFrame(made, "page_id long, url string, html string, host string, blocks int"))
+    expected = brute.main_texts([(i, (u or "").split("/")[2] if u else "", x) for i, u, x, _, _ in made], site_text.SHARE, site_text.LEAST)
+    assert {r.page_id: r.text for r in out.collect()} == expected
+    assert sum(x != y for x, y in zip(expected.values(), brute.main_texts([(i, str(i), x) for i, _, x, _, _ in made], 0.4, 5).values(), strict=True)) > 20
+
+
+def test_deep_and_long_pages_take_one_pass():
+    import time
+
+    began = time.perf_counter()
+    deep = site_text.blocks("<div>" * 50_000 + "<p>" + "word " * 200_000 + "</p>" + "</div>" * 50_000)
+    stray = site_text.blocks("<div>x" * 20_000 + "</i>" * 20_000 + "</article>" * 20_000)
+    assert len(deep[0]) == 1 and len(deep[1]) == 50_001 and len(stray[0]) == 20_000
+    assert time.perf_counter() - began < 20
+
+
 # 10 near duplicates
 
 
@@ -418,3 +452,45 @@ def test_near_groups(spark, edge_docs, no_docs, monkeypatch, short, block):
     assert near_dups.near_dups(no_docs).count() == 0
     kept = near_dups.keep_one(df).collect()
     assert len({r.doc_id for r in kept}) == len(kept)
+
+
+def test_components_of_chains_stars_and_trees(spark):
+    chain = [(i, i + 1) for i in range(700)]
+    star = [(1000, 1000 + i) for i in range(1, 400)]
+    draw = random.Random(11)
+    tangle = [(draw.randint(3000, 3300), draw.randint(3000, 3300)) for _ in range(200)]
+    roots = {r.node: r.root for r in near_dups.components(spark.createDataFrame(chain + star + tangle, "a long, b long")).collect()}
+    at = {}
+
+    def root(x):
+        while at.setdefault(x, x) != x:
+            x = at[x]
+        return x
+
+    for a, b in chain + star + tangle:
+        a, b = root(a), root(b)
+        at[max(a, b)] = min(a, b)
+    assert roots == {x: root(x) for x in at if any(y != x for y in at if root(y) == root(x))}
+    assert near_dups.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_with_one_hash_are_told_apart(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 7, 70), (4, 8, 80), (5, None, None)], "doc_id int, node long, check long")
+    assert {r.doc_id: r.node for r in near_dups.told_apart(rows).collect()} == {1: 7, 2: 71, 3: 7, 4: 8, 5: None}
+
+
+def test_recall_of_sketches_near_the_threshold(spark):
+    """Pairs of texts with similarity 0.75 to 0.77, and as many just below it."""
+    draw, made, linked = random.Random(12), [], 0
+    while len(made) < 800:
+        n = draw.randint(20, 200)
+        a = [f"p{len(made)}x{k}" for k in range(n)]
+        b = list(a)
+        for _ in range(max(1, round(n * draw.uniform(0.02, 0.05)))):
+            b[draw.randrange(n)] = f"y{draw.randint(0, 10**9)}"
+        x, y = brute.shingle_set(" ".join(a)), brute.shingle_set(" ".join(b))
+        if 0.73 <= len(x & y) / len(x | y) <= 0.77:
+            linked += 100 * len(x & y) >= 75 * len(x | y)
+            made += [(len(made), " ".join(a)), (len(made) + 1, " ".join(b))]
+    found = near_dups.near_dups(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert 50 < linked == sum(r.component_id != r.doc_id for r in found)

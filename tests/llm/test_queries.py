@@ -1,10 +1,15 @@
 """Queries with SQL against DuckDB, and the pipeline against slow versions of its stages."""
 
+import base64
 import glob
+import hashlib
 import os
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from tests.llm import brute
@@ -43,16 +48,47 @@ def test_pipeline(spark, connection):
     rows = [(r.doc_id, r.text) for r in after["quality_rules"]]
     groups, _ = brute.near_groups(rows)
     assert sorted(r.doc_id for r in after["near_dedup"]) == sorted(i for (i, _), g in zip(rows, groups, strict=True) if i == g)
-    spans = {r[0]: r for r in brute.removed([(r.doc_id, r.text) for r in after["near_dedup"]])}
-    texts = {r.doc_id: r.text for r in after["near_dedup"]}
+    before = {r.doc_id: r.text for r in after["near_dedup"]}
+    gone = brute.removed_marks(list(before.items()))
     for r in after["span_dedup"]:
-        assert r.n_chars == len(r.text) and (spans[r.doc_id][2] or r.text == texts[r.doc_id])
-        assert 0 <= len(r.text.encode()) - (spans[r.doc_id][1] - spans[r.doc_id][2]) <= 6 * spans[r.doc_id][3]
-    assert {r.doc_id for r in after["byte_bpe"]} == {r.doc_id for r in after["decontamination"]}
+        assert r.n_chars == len(r.text) and r.text == brute.left_of(before[r.doc_id], gone[r.doc_id])
+    items = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    words = lambda text: brute.WORD.findall((text or "").lower())
+    clean = {r.doc_id: r.text for r in after["span_dedup"] if not any(brute.alike(words(r.text), words(x)) for x in items)}
+    assert {r.doc_id: r.text for r in after["decontamination"]} == clean
+    assert {r.doc_id: encoded(r) for r in after["byte_bpe"]} == {i: by_library(t) for i, t in clean.items()}
+
+
+def encoded(r):
+    return r.n_tokens, bytes(r.ids), r.ids_sha256, r.decoded_sha256
+
+
+def by_library(text):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))} if not ENCODING else None
+    if ranks:
+        ENCODING.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    ids = np.array(ENCODING[0].encode_ordinary(text or ""), "<u4").tobytes()
+    return len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+ENCODING = []
 
 
 def test_pipeline_on_edge_cases(spark, edge_docs, no_docs):
-    for docs in (edge_docs.drop("shard"), no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, FOLDER)
-        docs.collect()
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    clean = " ".join(f"the word{i} of text{i % 7} and line{i % 11}" for i in range(40))
+    more = [(50, clean), (50, clean), (51, clean + " x"), (None, clean), (None, "the end of and " + item + " " + clean[:400]), (52, "the start of and " + item + " the end of and " + clean[300:900])]
+    docs = edge_docs.unionByName(spark.createDataFrame([(i, t, "en", None, "h", "clash") for i, t in more], edge_docs.schema))
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, FOLDER).cache()
+        after[name] = [(r.doc_id, r.text if name != "byte_bpe" else None) for r in docs.collect()]
+        assert name == "byte_bpe" or docs.columns == before.columns
+    assert sorted(i for i, _ in after["quality_rules"] if i and i >= 50) == [50, 50, 51, 52] and sum(i is None for i, _ in after["quality_rules"]) >= 2
+    assert [i for i, _ in after["near_dedup"] if i in (50, 51)] == [50]
+    assert not any(item in t for _, t in after["decontamination"])
+    assert sorted(after["byte_bpe"], key=str) == sorted(((i, None) for i, _ in after["decontamination"]), key=str)
+    empty = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, FOLDER)
+    assert empty.collect() == []
