@@ -243,10 +243,9 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataF
         keyed = parsed.withColumn("hashes", F.array_sort(F.array_distinct("subtrees.hash")))
         looked = keyed.select("host", "hashes").distinct().select("host", "hashes", F.explode("hashes").alias("hash")).join(recurring, ["host", "hash"]).groupBy("host", "hashes").agg(F.collect_set("hash").alias("gone"))
         joined = keyed.join(looked, ["host", "hashes"], "left")
-    here = F.array_intersect("subtrees.hash", F.coalesce("gone", F.array().cast("array<bigint>")))
-    spans = F.filter("subtrees", lambda s: F.array_contains(F.col("here"), s["hash"]))
-    kept = F.filter("blocks", lambda b, i: ~F.exists(F.col("spans"), lambda s: (s["a"] <= i) & (i < s["z"])))
-    joined = joined.withColumn("here", here).withColumn("spans", spans)
+    # What is named by an arrow is evaluated once a page.
+    kept = F.expr("""transform(array(array_intersect(subtrees.hash, coalesce(gone, cast(array() AS array<bigint>)))), here ->
+      transform(array(filter(subtrees, s -> array_contains(here, s.hash))), spans -> filter(blocks, (b, i) -> not exists(spans, s -> s.a <= i and i < s.z)))[0])[0]""")
     text = F.array_join(kept, "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
