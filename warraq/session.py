@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,6 +64,10 @@ _writers: dict = {"n": 0, "before": None}
 _written: set[tuple[str, str]] = set()
 
 
+#: Of each thread, the paths made inside its open calls of ``settled``.
+_scopes = threading.local()
+
+
 class _dropping_shuffles:
     """Turns the setting on while any thread writes a table; the last one to end puts back what was set."""
 
@@ -86,6 +91,8 @@ class _dropping_shuffles:
 def new_path(spark: SparkSession, name: str = "table") -> str:
     """A path of its own in the shared folder, which ``release`` deletes."""
     path = f"{shared_dir(spark).rstrip('/')}/warraq-{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_scopes, "open", []):
+        paths.append(path)
     _written.add((spark.sparkContext.applicationId, path))
     return path
 
@@ -118,6 +125,20 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives as a written table, without the tables that this thread wrote for it meanwhile."""
+    paths: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), paths]
+    try:
+        out = materialize(make())
+    finally:
+        _scopes.open = _scopes.open[:-1]
+    for path in paths:
+        if path != out._warraq_path:
+            _delete(spark, path)
+    return out
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all tables this application has left in the shared folder, and says how many. For the time
     when every result that reads them has been written; the end of the program calls it, too."""
