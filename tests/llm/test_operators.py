@@ -198,9 +198,19 @@ def test_quality_edges(edge_docs, no_docs):
         assert not (r.base_failed and r.kept)
     by_id = {r.doc_id: r for r in found}
     assert by_id[5].base_failed and by_id[16].n_dup_lines == 49 and by_id[13].base_failed
+    assert sorted(str(r.doc_id) for r in quality_rules.keep(edge_docs).collect()) == sorted(str(r.doc_id) for r in found if r.kept)
     assert quality_rules.keep(edge_docs).columns == edge_docs.columns and quality_rules.keep(no_docs).count() == 0
 
 
+def test_languages_without_stop_words_here_are_not_held_to_them(spark):
+    text = " ".join(f"slovo{i} " for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "cs"), (3, text, None), (4, "the " + text + " of and to a in", "en"), (5, "slovo", "cs"), (6, "slovo " * 60, "cs")], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r.kept for r in quality_rules.annotate(docs).collect()}
+    assert judged == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False}
+    assert sorted(r.doc_id for r in quality_rules.keep(docs).collect()) == [2, 4]
+    assert not quality_rules.annotate(docs.drop("lang")).filter("doc_id = 2").first().kept
+
+
 # 6 decontamination
 
 
@@ -357,6 +367,21 @@ def test_spans_against_slow_version(spark, edge_docs, no_docs):
     assert repeated_spans.repeated_spans(no_docs).count() == 0
 
 
+def test_hot_spans_against_slow_version(spark, monkeypatch):
+    """Passages in most texts, alone, with different surroundings and as whole copies, with buckets of a few entries."""
+    monkeypatch.setattr(repeated_spans, "BUCKET", 40)
+    monkeypatch.setattr(repeated_spans, "SAMPLE", 2)
+    draw, letters = random.Random(13), "abcdefgh ij"
+    some = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    short, long, copy = some(230), some(700), some(500)
+    made = [(i, [some(90) + short + some(draw.randint(0, 99)), some(50) + long + some(60), copy, some(300), some(20) + long[: draw.randint(190, 210)] + some(20)][i % 5]) for i in range(150)]
+    seen = []
+    plain = repeated_spans._hot
+    monkeypatch.setattr(repeated_spans, "_hot", lambda *a: seen.append(plain(*a)) or seen[-1])
+    assert rows(repeated_spans.repeated_spans(spark.createDataFrame(made, "doc_id long, text string"))) == sorted(brute.removed(made), key=brute.key)
+    assert len(seen) == 2 and all(x.extra > 3 for x in seen)
+
+
 def test_cover_is_complete():
     assert {(a - b) % repeated_spans.V for a in repeated_spans.COVER for b in repeated_spans.COVER} == set(range(repeated_spans.V))
 

@@ -3,6 +3,9 @@
 Every measure is a built-in expression over the whole text of one row, so the plan is a scan and a
 projection: no shuffle, no user function, nothing that grows with the number of rows.
 
+Stop words are those of four languages; a row whose ``lang`` names another one is not held to their ratio, and a
+null or missing ``lang`` is.
+
 Edge cases: a null or blank text has no words, so every count is 0 and ``base_failed`` is true.
 Repeated rows are judged each on its own. Extra columns pass through ``annotate`` untouched unless
 they carry the name of a measure, which then is replaced.
@@ -26,6 +29,7 @@ STOP_WORDS = (
     "auf", "das", "dem", "den", "der", "die", "ein", "eine", "ist", "mit", "nicht", "sich", "und", "von", "zu",
     "con", "de", "del", "el", "en", "las", "los", "no", "o", "para", "se", "su", "una", "y",
 )
+STOP_LANGS = ("en", "fr", "de", "es")
 #: A stop word that stands as a word of its own, whatever its case.
 _STOP_PATTERN = r"(?<![^\x20\x09-\x0D])(?iu:" + "|".join(STOP_WORDS) + r")(?![^\x20\x09-\x0D])"
 
@@ -40,12 +44,14 @@ class Threshold:
     whole: str
     low: float | None = None
     high: float | None = None
+    #: The languages that the rule can judge; a row said to be in another one isn't held to it.
+    langs: tuple[str, ...] = ()
 
 
 THRESHOLDS = (
     Threshold("word_length", "word_chars", "n_words", 2.0, 15.0),
     Threshold("symbol_ratio", "n_symbols", "n_words", None, 0.3),
-    Threshold("stop_word_ratio", "n_stop_words", "n_words", 0.06, None),
+    Threshold("stop_word_ratio", "n_stop_words", "n_words", 0.06, None, STOP_LANGS),
     Threshold("dup_line_ratio", "n_dup_lines", "n_lines", None, 0.5),
     Threshold("upper_ratio", "n_upper_words", "n_words", None, 0.5),
     Threshold("shout_ratio", "n_shouts", "n_words", None, 0.3),
@@ -122,25 +128,29 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def verdict(m: Column, thresholds=THRESHOLDS) -> Column:
+def verdict(m: Column, thresholds=THRESHOLDS, lang: Column | None = None) -> Column:
     """The table as one boolean expression over a struct of measures."""
     held = F.lit(True)
     for t in thresholds:
         ratio = F.coalesce(m[t.part] / F.nullif(m[t.whole], F.lit(0)), F.lit(0.0))
+        fits = F.lit(True)
         if t.low is not None:
-            held = held & (ratio >= t.low)
+            fits = fits & (ratio >= t.low)
         if t.high is not None:
-            held = held & (ratio <= t.high)
+            fits = fits & (ratio <= t.high)
+        if t.langs and lang is not None:
+            fits = fits | F.coalesce(~lang.isin(*t.langs), F.lit(False))
+        held = held & fits
     return held
 
 
-def judgement(text: Column, thresholds=THRESHOLDS) -> Column:
+def judgement(text: Column, thresholds=THRESHOLDS, lang: Column | None = None) -> Column:
     """One struct of all measures, ``base_failed`` and ``kept``. Words, and then measures, are bound
     to lambda variables, so that no optimizer rule can copy their evaluation."""
 
     def judge(m: Column) -> Column:
         failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
-        return F.struct(*[m[c].alias(c) for c in MEASURES], failed.alias("base_failed"), (~failed & verdict(m, thresholds)).alias("kept"))
+        return F.struct(*[m[c].alias(c) for c in MEASURES], failed.alias("base_failed"), (~failed & verdict(m, thresholds, lang)).alias("kept"))
 
     def measured(words: Column) -> Column:
         return F.struct(*[c.alias(k) for k, c in measures(text, words).items()])
@@ -148,22 +158,37 @@ def judgement(text: Column, thresholds=THRESHOLDS) -> Column:
     return _let(words_of(text), lambda w: _let(measured(w), judge))
 
 
+def passes(text: Column, thresholds=THRESHOLDS, lang: Column | None = None) -> Column:
+    """``kept`` of the judgement; repeated windows, the dearest measure, are counted only where all else holds."""
+
+    def rest(words: Column) -> Column:
+        cheap = {k: c for k, c in measures(text, words).items() if k != "n_repeat_words"}
+        few = lambda m: 100 * _repeat_words(words) <= MAX_REPEAT_PERCENT * m["n_words"]
+        return _let(F.struct(*[c.alias(k) for k, c in cheap.items()]), lambda m: F.when(verdict(m, thresholds, lang), few(m)).otherwise(F.lit(False)))
+
+    return _let(words_of(text), lambda w: F.when(F.size(w) >= MIN_WORDS, rest(w)).otherwise(F.lit(False)))
+
+
+def _lang(docs: DataFrame) -> Column | None:
+    return F.col("lang") if "lang" in docs.columns else None
+
+
 def annotate(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept``."""
     out = (*MEASURES, "base_failed", "kept")
     others = [F.col(c) for c in docs.columns if c not in out]
-    return docs.select(*others, judgement(F.col(text), thresholds).alias("__judgement")).select(
+    return docs.select(*others, judgement(F.col(text), thresholds, _lang(docs)).alias("__judgement")).select(
         *others, *[F.col(f"__judgement.{c}").alias(c) for c in out]
     )
 
 
 def keep(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return docs.filter(judgement(F.col(text), thresholds)["kept"])
+    return docs.filter(passes(F.col(text), thresholds, _lang(docs)))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return annotate(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -172,14 +197,15 @@ def _in_list(names) -> str:
 
 
 def judged_sql(source: str) -> str:
-    """DuckDB SQL for ``annotate`` over a relation with distinct doc_id and text."""
+    """DuckDB SQL for ``annotate`` over a relation with distinct doc_id, text and lang."""
     conditions = []
     for t in THRESHOLDS:
         ratio = f"coalesce({t.part}::DOUBLE / nullif({t.whole}, 0), 0)"
-        conditions += [f"{ratio} >= {t.low}"] * (t.low is not None) + [f"{ratio} <= {t.high}"] * (t.high is not None)
+        fits = [f"{ratio} >= {t.low}"] * (t.low is not None) + [f"{ratio} <= {t.high}"] * (t.high is not None)
+        conditions.append(f"({' AND '.join(fits)}{f' OR coalesce(lang NOT IN ({_in_list(t.langs)}), false)' * bool(t.langs)})")
     return f"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM {source}
 ), windows AS (
@@ -190,7 +216,7 @@ WITH split AS (
 ), repeated AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM found, (VALUES (0), (1), (2)) AS d(k) GROUP BY doc_id
 ), counted AS (
-  SELECT s.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  SELECT s.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
     len(list_filter(w, lambda x: lower(x) IN ({_in_list(STOP_WORDS)}))) AS n_stop_words,

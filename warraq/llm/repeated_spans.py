@@ -16,8 +16,9 @@ tuple of 200 - V + 1 = 68 bytes at the same distance from their starts.
 
 Texts are split only at 3. and 4., and travel there compressed. All buckets have a size of their own
 that does not grow with the input (``BUCKET`` entries or ``TEXT_BUCKET`` bytes; there are more of them
-instead). A name that occurs everywhere is 20 bytes an occurrence in one bucket, never a text, and step 3
-spreads its strings over buckets by their own names. Removal is decided by 128 bits inside repeats (name and
+instead). A name that a sample of the texts shows to be hot is dealt over many buckets by text (``Hot``): a part of a
+class that stands alone in its bucket goes on as an edge, and a hot string, seen twice in the sample, needs no
+neighbour. So a passage in a third of all texts is split like any other load. Removal is decided by 128 bits inside repeats (name and
 context) and by 96 at their edges (name and check): over 10**12 strings, chance equality is expected 6 times in a
 million runs.
 
@@ -135,41 +136,90 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def _named(ids, ats, keys: dict[str, list], buckets: int, key: str) -> Iterator[dict]:
-    """Rows of one slice, dealt by the name ``key``."""
+class Hot:
+    """Names that a sample shows to fill more than a quarter of a bucket: their entries are dealt over ``extra``
+    buckets of their own by text. Which names are here changes where work is done, never its result."""
+
+    def __init__(self, names: list[int], counts: list[int], checks: list[int] | None = None):
+        order = np.argsort(np.array(names, np.int64).view(np.uint64))
+        self.names = np.array(names, np.int64).view(np.uint64)[order]
+        self.checks = None if checks is None else np.array(checks, np.int64).astype(np.uint32)[order]
+        self.extra = -(-sum(counts) // (BUCKET // 4)) if names else 0
+
+    def holds(self, cols: dict[str, np.ndarray]) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(cols["name"]), bool)
+        at = np.minimum(np.searchsorted(self.names, cols["name"]), len(self.names) - 1)
+        found = self.names[at] == cols["name"]
+        return found if self.checks is None else found & (self.checks[at] == cols["check"])
+
+
+#: One text in so many is looked at for hot names; of these, so many are told apart at most, the most frequent first.
+SAMPLE, HOT_NAMES = 64, 100_000
+
+
+def _hot(named: DataFrame, share: int, keys: list[str]) -> Hot:
+    """The hot ones of a sample's names (rows of ``keys``), of which one in ``share`` is seen."""
+    counts = named.groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") * share > BUCKET // 4) & (F.col("n") > 1))
+    found = counts.orderBy(F.desc("n"), *keys).limit(HOT_NAMES).collect()
+    return Hot([r["name"] for r in found], [r["n"] * share for r in found], [r["check"] for r in found] if "check" in keys else None)
+
+
+def _named(ids, ats, keys: dict[str, list], buckets: int, hot: Hot) -> Iterator[dict]:
+    """Rows of one slice, dealt by name; hot names go to buckets beyond the others."""
     if not ids:
         return
     ids, ats = np.concatenate(ids), np.concatenate(ats)
     cols = {k: np.concatenate(v) for k, v in keys.items()}
-    for b, pick in _by_bucket(_bucket_of(cols[key], buckets), buckets):
+    bucket = _bucket_of(cols["name"], buckets)
+    if hot.extra:
+        held = hot.holds(cols)
+        with np.errstate(over="ignore"):
+            bucket[held] = buckets + (mix(ids[held].view(np.uint64) + cols["name"][held]) % np.uint64(hot.extra)).astype(np.int64)
+    for b, pick in _by_bucket(bucket, buckets + hot.extra):
         yield {"bucket": b} | Lists.pack(ids[pick], ats[pick]) | {k: v[pick].tobytes() for k, v in cols.items()}
 
 
 _NAMED = "bucket int, ids binary, counts binary, at binary, name binary"
 
 
-def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
+def _tuples(batch: pa.RecordBatch) -> Iterator[tuple[list, list, dict[str, list]]]:
+    """Ids, places, names and contexts of all sampled tuples, slice by slice."""
+    for lo, hi in _slices(batch.column("text")):
+        ids, ats, keys = [], [], {"name": [], "context": []}
+        for uid, x in zip(batch.column("uid")[lo:hi].to_pylist(), batch.column("text")[lo:hi], strict=True):
+            raw = np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.empty(0, np.uint8)
+            n = len(raw)
+            if n < LENGTH:
+                continue
+            with np.errstate(over="ignore"):
+                total, at = prefix_names(raw), sampled(n)
+                a, z = context(at, n)
+                keys["name"].append(names(total, at, at + TUPLE))
+                keys["context"].append(mix(names(total, a, z) + (at - a).astype(np.uint64) * np.uint64(1 << 32) + (z - a).astype(np.uint64)))
+            ids.append(np.full(len(at), uid, np.int64))
+            ats.append(at)
+        if ids:
+            yield ids, ats, keys
+
+
+def _hot_tuples(rows: DataFrame) -> Hot:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, keys in _tuples(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys["name"]).view(np.int64))], ["name"])
+
+    return _hot(rows.filter(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0).select("uid", "text").mapInArrow(run, "name bigint"), SAMPLE, ["name"])
+
+
+def _anchors(rows: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Step 1: the names and contexts of all sampled tuples, by bucket of the name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in _slices(batch.column("text")):
-                ids, ats, keys = [], [], {"name": [], "context": []}
-                for uid, x in zip(batch.column("uid")[lo:hi].to_pylist(), batch.column("text")[lo:hi], strict=True):
-                    raw = np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else np.empty(0, np.uint8)
-                    n = len(raw)
-                    if n < LENGTH:
-                        continue
-                    with np.errstate(over="ignore"):
-                        total, at = prefix_names(raw), sampled(n)
-                        a, z = context(at, n)
-                        keys["name"].append(names(total, at, at + TUPLE))
-                        keys["context"].append(mix(names(total, a, z) + (at - a).astype(np.uint64) * np.uint64(1 << 32) + (z - a).astype(np.uint64)))
-                    ids.append(np.full(len(at), uid, np.int64))
-                    ats.append(at)
-                done = list(_named(ids, ats, keys, buckets, "name"))
-                if done:
-                    yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32())] + [(k, pa.binary()) for k in ("ids", "counts", "at", "name", "context")]))
+            for ids, ats, keys in _tuples(batch):
+                done = list(_named(ids, ats, keys, buckets, hot))
+                yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32())] + [(k, pa.binary()) for k in ("ids", "counts", "at", "name", "context")]))
 
     return rows.select("uid", "text").mapInArrow(run, _NAMED + ", context binary")
 
@@ -190,8 +240,9 @@ _DEALT = "home int, kind int, ids binary, counts binary, at binary"
 _DEALT_COLUMNS = ["home", "kind", "ids", "counts", "at"]
 
 
-def _settle(anchors: DataFrame, texts: int) -> DataFrame:
-    """Step 2: neighbours in order of name and context."""
+def _settle(anchors: DataFrame, texts: int, buckets: int) -> DataFrame:
+    """Step 2: neighbours in order of name and context. A hot name is in several buckets, so there one place of each
+    class counts as an edge: if its like are in other buckets, step 4 finds its strings beside theirs."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
@@ -204,7 +255,7 @@ def _settle(anchors: DataFrame, texts: int) -> DataFrame:
         of_class, of_name = np.cumsum(new_class) - 1, np.cumsum(new_name) - 1
         inside = np.bincount(of_class)[of_class] > 1
         classes = np.bincount(of_name[new_class])
-        edge = new_class & (classes[of_name] > 1)
+        edge = new_class & ((classes[of_name] > 1) | (int(frame["bucket"].iloc[0]) >= buckets))
         picked = np.concatenate((order[inside], order[edge]))
         kind = np.concatenate((np.full(inside.sum(), INSIDE), np.full(edge.sum(), EDGE)))
         return pd.DataFrame(_dealt(ids[picked], at[picked], kind, texts), columns=_DEALT_COLUMNS)
@@ -232,7 +283,7 @@ def _per_text(lists: pd.DataFrame, kind: int) -> dict[int, np.ndarray]:
     return dict(zip(ids[first].tolist(), np.split(at, first[1:]), strict=True)) if len(ids) else {}
 
 
-def _merge(packed: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
+def _merge(packed: DataFrame, lists: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Step 3: the names of all strings over edge tuples, by bucket of the name."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -257,20 +308,35 @@ def _merge(packed: DataFrame, lists: DataFrame, buckets: int) -> DataFrame:
             ats.append(starts)
             held += len(starts)
             if held > BUCKET:
-                done += _named(ids, ats, keys, buckets, "name")
+                done += _named(ids, ats, keys, buckets, hot)
                 ids, ats, keys, held = [], [], {"name": [], "check": []}, 0
-        done += _named(ids, ats, keys, buckets, "name")
+        done += _named(ids, ats, keys, buckets, hot)
         return pd.DataFrame(done, columns=["bucket", "ids", "counts", "at", "name", "check"])
 
     return packed.groupBy("home").cogroup(lists.filter(F.col("kind") == EDGE).groupBy("home")).applyInPandas(run, _NAMED + ", check binary")
 
 
-def _pair(strings: DataFrame, texts: int) -> DataFrame:
-    """Step 4: neighbours in order of the strings' names."""
+def _hot_strings(packed: DataFrame, lists: DataFrame, share: int) -> Hot:
+    """Strings that a sample of the texts holds so often that all of them would fill a good part of a bucket."""
+    sample = lambda df: df.filter(F.col("home") % share == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, check in zip(batch.column("name"), batch.column("check"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(name.as_buffer(), np.int64)), pa.array(np.frombuffer(check.as_buffer(), np.uint32).astype(np.int64))], ["name", "check"])
+
+    some = _merge(sample(packed), sample(lists), 8, Hot([], [])).select("name", "check")
+    return _hot(some.mapInArrow(run, "name bigint, check bigint"), share, ["name", "check"])
+
+
+def _pair(strings: DataFrame, texts: int, buckets: int) -> DataFrame:
+    """Step 4: neighbours in order of the strings' names. A hot string was seen twice before."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
         ids, at = Lists.unpack(frame)
+        if int(frame["bucket"].iloc[0]) >= buckets:
+            return pd.DataFrame(_dealt(ids, at, np.full(len(ids), STARTS), texts), columns=_DEALT_COLUMNS)
         name, check = (np.concatenate([np.frombuffer(x, t) for x in frame[k]]) for k, t in (("name", np.uint64), ("check", np.uint32)))
         order = np.lexsort((check, name))
         name, check = name[order], check[order]
@@ -306,9 +372,12 @@ def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> tuple[
     texts = max(8, -(-n_bytes // TEXT_BUCKET))
     tuples = max(8, -(-n_bytes * len(COVER) // (V * BUCKET)))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid")).withColumn("home", F.pmod("uid", F.lit(texts)).cast("int"))
-    lists = materialize(_settle(_anchors(rows, tuples), texts))
+    hot = _hot_tuples(rows)
+    lists = materialize(_settle(_anchors(rows, tuples, hot), texts, tuples))
     strings = max(8, -(-n_bytes // (8 * BUCKET)))
-    more = materialize(_pair(_merge(_packed(rows), lists, strings), texts))
+    # No string is more frequent than a tuple in it.
+    frequent = _hot_strings(_packed(rows), lists, min(SAMPLE, max(1, texts // 8))) if hot.extra else Hot([], [])
+    more = materialize(_pair(_merge(_packed(rows), lists, strings, frequent), texts, strings))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
