@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from warraq.llm import bpe, decontaminate, near_dups, quality_rules, repeated_spans
-from warraq.session import materialize
+from warraq.session import discard, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(spark, lambda f=stage, d=docs: f(spark, d, sf_dir))
+        discard(before)
     return docs
