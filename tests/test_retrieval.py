@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.operators import dense, evaluate, fusion, hybrid, lexical, present
+from warraq.operators import dense, evaluate, fusion, hybrid, lexical, present, runner
 
 
 def test_score_of_terms_in_the_section_only(spark):
@@ -42,10 +42,10 @@ def test_fusion(spark):
     assert [r.score for r in fusion.fuse(a, b, lexical_weight=1, semantic_weight=3).collect()] == [r.score for r in fusion.fuse(a, b, lexical_weight=0.25, semantic_weight=0.75).collect()]
 
 
-@pytest.mark.parametrize(("weights", "said"), [((-0.1, 1.1), "non-negative"), ((0, 0), "At least one"), ((float("nan"), 1), "finite")])
+@pytest.mark.parametrize(("weights", "said"), [((-0.1, 1.1), "below zero"), ((0, 0), "no ranking"), ((float("nan"), 1), "finite")])
 def test_bad_weights(weights, said):
     with pytest.raises(ValueError, match=said):
-        fusion.weights(*weights)
+        fusion.shares([weights])
 
 
 def test_metrics(spark):
@@ -66,16 +66,18 @@ def test_metrics(spark):
 
 @pytest.mark.parametrize(
     ("rows", "winner"),
-    [([(0.1, 0.9, 0.98, 0.98, 0.99, 0.90), (0.4, 0.6, 1.0, 0.94, 0.96, 0.87)], 1), ([(0.4, 0.6, 1.0, 0.96, 0.97, 0.88), (0.2, 0.8, 1.0, 0.98, 0.96, 0.86)], 1), ([(0.2, 0.8, 1.0, 1.0, 1.0, 1.0), (0.4, 0.6, 1.0, 1.0, 1.0, 1.0)], 1)],
+    [([(0.6, 0.4, 0.5, 0.9, 0.9, 0.9), (0.7, 0.3, 0.6, 0.1, 0.2, 0.1)], 1), ([(0.6, 0.4, 0.7, 0.3, 0.8, 0.2), (0.5, 0.5, 0.7, 0.4, 0.1, 0.1)], 1), ([(0.5, 0.5, 0.7, 0.7, 0.7, 0.7), (0.9, 0.1, 0.7, 0.7, 0.7, 0.7)], 1), ([(0.5, 0.5, 0.7, 0.7, 0.7, 0.7), (1.0, 1.0, 0.7, 0.7, 0.7, 0.6)], 0)],
 )
 def test_best_weights(spark, rows, winner):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "grid_position int, lexical double, semantic double, pass_rate double, hit_at_1_rate double, mrr double, mean_precision_at_k double")
     assert evaluate.best(df).first().grid_position == winner
+    full = df.withColumns({c: F.lit(1) for c in ("label", "hit_rate", "hit_at_3_rate", "mean_first_rank", "failed_case_ids")})
+    assert "grid_position" not in evaluate.compact(full).columns and evaluate.compact(full).count() == df.count()
 
 
 def test_grid():
     assert evaluate.parse_weights("0.5,0.4") == ((0.5, 0.5), (0.4, 0.6))
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="shares of its own"):
         evaluate.checked_grid([(1, 1), (0.5, 0.5)])
 
 
@@ -88,6 +90,13 @@ def test_benchmark_file(spark, tmp_path):
     path.write_text(json.dumps({"dataset_id": "d", "description": "d", "label_provenance": "l", "cases": [case, case | {"k": 51}]}))
     with pytest.raises(ValueError):
         evaluate.load_benchmark(spark, str(path))
+    good = {"dataset_id": "d", "description": "d", "label_provenance": "l", "schema_version": 2, "cases": [case]}
+    for field, value in (("dataset_id", " "), ("description", 3), ("label_provenance", None), ("schema_version", True), ("schema_version", 0), ("schema_version", "1"), ("schema_version", 1.5), ("cases", []), ("cases", {})):
+        path.write_text(json.dumps(good | {field: value}))
+        with pytest.raises(ValueError, match=field):
+            evaluate.load_benchmark(spark, str(path))
+    path.write_text(json.dumps(good))
+    assert evaluate.load_benchmark(spark, str(path)).count() == 1
 
 
 def test_pages_must_be_known(spark):
@@ -97,9 +106,51 @@ def test_pages_must_be_known(spark):
     assert [ask(p) for p in (120, 125, 130, 131, None)] == [False, True, True, False, False]
 
 
+def placed_chunks(spark):
+    rows = [(f"c{i}", f"h{i}", "w", "v", "REJECTED" if i == 3 else "ACCEPTED", i, i, ["p"], "p", 1, i, None, "s", [1.0, float(i)], f"word{i} text", "p") for i in range(4)]
+    return spark.createDataFrame(rows, "chunk_id string, text_hash string, work_uri string, version_uri string, quality_status string, sequence_no int, ingest_order int, section_path array<string>, section_title string, volume int, page int, page_side string, source_text_sha256 string, embedding array<float>, text_normalized string, section_text_normalized string")
+
+
+def test_benchmarks_run_by_retriever(spark, tmp_path):
+    chunks, path = placed_chunks(spark), str(tmp_path)
+    dense.build(chunks, F.col("embedding"), path, "c", "m", 2)
+    cases = spark.createDataFrame([(0, "b", "word2", "w", ["p"], None, 2, 2, 1, 1, "direct", "easy"), (1, "a", "word1", None, ["p"], 1, 1, 1, 2, 2, "direct", "hard")], "position int, case_id string, query string, work_uri string, expected_section_contains array<string>, expected_volume int, expected_page_min int, expected_page_max int, k int, max_rank int, query_type string, difficulty string")
+    probes = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [1.0, 2.0])], "query_id string, query_vector array<float>")
+    corpus = runner.Corpus(chunks, path, "c", "m", 2, probes)
+    ranks = {}
+    for name in runner.RETRIEVERS:
+        told = runner.run_benchmark(cases, corpus, name)
+        ranks[name] = {r.case_id: r.first_rank for r in told["cases"].collect()}
+        assert runner.report(told["cases"]).count() == 1 + 4 + 2 and runner.report(told["cases"], failures_only=True).filter("part = 'case'").count() == 0 and runner.report(told["cases"], summary_only=True).count() == 5
+        assert told["elapsed_seconds"] > 0 and told["summary"]["n_cases"] == 2 and told["retrieval_id"] == runner.RETRIEVERS[name][0]
+    assert ranks == {"lexical": {"a": 1, "b": 1}, "semantic": {"a": 2, "b": 1}, "hybrid": {"a": 1, "b": 1}}
+    with pytest.raises(ValueError, match="no retriever"):
+        runner.run_benchmark(cases, corpus, "x")
+    with pytest.raises(ValueError, match="no place"):
+        runner.run_benchmark(cases.withColumn("expected_page_min", F.lit(9)), corpus, "lexical")
+    stale = runner.Corpus(chunks.filter("sequence_no > 0"), path, "c", "m", 2, probes)
+    with pytest.raises(ValueError, match="stale"):
+        runner.run_benchmark(cases, stale, "semantic")
+    with pytest.raises(Exception, match="expected results of 3"):
+        evaluate.summary(told["cases"], 3).collect()
+
+
+def test_failed_cases_stand_in_their_order(spark):
+    cases = spark.createDataFrame([(i, i, "direct", "easy", 1, 1) for i in (10, 9, 2)], "case_id int, position int, query_type string, difficulty string, k int, max_rank int")
+    none = spark.createDataFrame([], "query_id int, chunk_id string, rank int")
+    sweep = lambda c: evaluate.sweep(c, none, none, none.select("query_id", "chunk_id"), [(1, 1)]).first().failed_case_ids
+    assert sweep(cases.drop("position")) == "2,9,10" and sweep(cases.withColumn("position", -F.col("position"))) == "10,9,2"
+
+
+def test_embedding_in_batches(spark):
+    seen = dense.embed(spark.createDataFrame([("ab",), (None,), ("c",)], "t string").coalesce(1), "t", lambda: lambda texts: [[float(len(x)), float(len(texts))] for x in texts], batch=2)
+    assert [list(r.embedding) for r in seen.collect()] == [[2.0, 2.0], [0.0, 2.0], [1.0, 1.0]]
+    with pytest.raises(ValueError, match="batch"):
+        dense.embed(seen, "t", None, batch=257)
+
+
 def test_index_and_manifest(spark, tmp_path):
-    rows = [(f"c{i}", f"h{i}", "w", "v", "REJECTED" if i == 3 else "ACCEPTED", i, [1.0, float(i)]) for i in range(4)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, text_hash string, work_uri string, version_uri string, quality_status string, sequence_no int, embedding array<float>")
+    chunks = placed_chunks(spark)
     path = str(tmp_path)
     assert dense.build(chunks, F.col("embedding"), path, "c", "m", 2) == 3
     dense.check_ready(spark, path, "c", "m", 2)
@@ -110,6 +161,12 @@ def test_index_and_manifest(spark, tmp_path):
     with pytest.raises(ValueError, match="stale"):
         dense.check_fresh(chunks.filter("sequence_no > 0"), path, "c")
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, query_vector array<float>")
+    hits = dense.search(spark, path, "c", asked, "m", 2, 2, work_uri="w").orderBy("rank").collect()
+    assert [(r.chunk_id, r.embedding_model, r.embedding_schema_version, r.section_path) for r in hits] == [("c2", "m", 1, ["p"]), ("c1", "m", 1, ["p"])]
+    with pytest.raises(ValueError, match="not ready"):
+        dense.search(spark, path, "c", asked, "other", 2)
+    with pytest.raises(ValueError, match="have no"):
+        dense.points(chunks.drop("page"), F.col("embedding"), "m")
     assert [r.chunk_id for r in dense.top_k(chunks, asked, 2).orderBy("rank").collect()] == ["c2", "c3"]
 
 

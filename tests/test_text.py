@@ -27,13 +27,39 @@ def test_legacy_normalize_drops_milestones_and_lone_pipes(spark):
 
 
 def test_query_terms(spark):
-    rows = [("الصَّلَاة في الصلاة والسَّفَر",), ("والسفر بالصلاة للصوم",), ("Word word WORD other",), ("في من",)]
-    asked = spark.createDataFrame(rows, "query string").withColumn("query_id", F.monotonically_increasing_id())
-    found = {r.query: r.terms for r in lexical.analyze(asked).collect()}
-    assert found[rows[0][0]] == ["الصلاة", "السفر"]
-    assert found[rows[1][0]] == ["السفر", "الصلاة", "الصوم"]
-    assert found[rows[2][0]] == ["Word", "other"]
-    assert found[rows[3][0]] == ["في", "من"]
+    expected = {"النَّهْر في النهر والجِسر": ["النهر", "الجسر"], "والجسر بالنهر للوادي": ["الجسر", "النهر", "الوادي"], "Word word WORD other": ["Word", "other"], "من في": ["من", "في"]}
+    asked = spark.createDataFrame([(x,) for x in expected], "query string").withColumn("query_id", F.monotonically_increasing_id())
+    assert {r.query: r.terms for r in lexical.analyze(asked).collect()} == expected
+
+
+@pytest.mark.parametrize(("query", "limit", "uri"), [("", 10, None), ("x" * 501, 10, None), (" \t", 10, None), ("x", 0, None), ("x", 51, None), ("x", 10, "u" * 256)])
+def test_requests_have_bounds(query, limit, uri):
+    with pytest.raises(ValueError, match="must be between|blank"):
+        lexical.check_request(query, limit, uri)
+    assert lexical.check_request(" x ", 50, "u" * 255) == "x"
+
+
+def test_half_even(spark):
+    values = [0.0, 2.675, 0.0005, 0.0625, 0.1875, 0.3125, 0.4375, 1.0005, 2.5e-7, 151.0, 100 / 3, 123456.7895, -0.3125, -2.675, 1e15 + 0.5] + [k / 16 for k in range(200)] + [k / 37 for k in range(200)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [r[0] for r in df.select(text.half_even(F.col("x"))).collect()] == [round(x, 3) for x in values]
+
+
+def test_tree_fingerprint(spark):
+    names = "chunk_id string, quality_status string, sequence_no int, text_hash string, version_uri string, work_uri string"
+    rows = [(f"c{i}", "ACCEPTED", i, f"h{i}", f"v{i % 3}", f"w{i % 2}") for i in range(50)]
+    told = [hashlib.sha256("".join(f'{{"chunk_id":"{c}","quality_status":"{q}","sequence_no":{n},"text_hash":"{h}","version_uri":"{v}","work_uri":"{w}"}}\n' for c, q, n, h, v, w in part).encode()).hexdigest() for part in [sorted(rows, key=lambda r: (r[5], r[4], r[2], r[0]))[k : k + 4] for k in range(0, 50, 4)]]
+    while len(told) > 1:
+        told = [hashlib.sha256("".join(told[k : k + 4]).encode()).hexdigest() for k in range(0, len(told), 4)]
+    found = identity.tree_fingerprint(spark.createDataFrame(rows[::-1], names), 4)
+    assert (found.fingerprint, found.n_chunks) == (told[0], 50)
+    assert identity.tree_fingerprint(spark.createDataFrame([], names)).n_chunks == 0
+    with pytest.raises(ValueError, match="tree_fingerprint"):
+        identity.EXACT_ROWS, before = 10, identity.EXACT_ROWS
+        try:
+            identity.chunk_fingerprint(spark.createDataFrame(rows, names))
+        finally:
+            identity.EXACT_ROWS = before
 
 
 def test_query_without_terms_is_an_error(spark):

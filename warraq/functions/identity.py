@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from warraq.session import materialize, ranked
+
 # Fixed value: the namespace of index points.
 POINT_NAMESPACE = "df7db06bc9f74ecfae4c759ea9e51b6b"
 
@@ -40,18 +44,51 @@ def source_key(provider: Column, source_url: Column, release: Column) -> Column:
 FINGERPRINT_FIELDS = ("chunk_id", "quality_status", "sequence_no", "text_hash", "version_uri", "work_uri")
 
 
+#: Rows that an exact digest takes at most: some 300 bytes a row in one value.
+EXACT_ROWS = 1_000_000
+#: Lines, or digests of lines, that a digest of the tree covers.
+FAN = 4096
+
+
+def _line() -> Column:
+    return F.concat(F.to_json(F.struct(*[F.col(f) for f in FINGERPRINT_FIELDS])), F.lit("\n"))
+
+
+def _bounded(df: DataFrame, by: tuple[str, ...] = ()) -> None:
+    most = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 if by else df.count()
+    if most > EXACT_ROWS:
+        raise ValueError(f"an exact fingerprint of {most} rows is one value by definition; take tree_fingerprint")
+
+
 def chunk_fingerprint(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One digest over all chunks in the order of work, version, sequence number and chunk id (or of
-    each group of ``by``). An ordered digest is one string by definition: 300 bytes a chunk."""
-    line = F.concat(F.to_json(F.struct(*[F.col(f) for f in FINGERPRINT_FIELDS])), F.lit("\n"))
-    row = F.struct("work_uri", "version_uri", "sequence_no", "chunk_id", line.alias("line"))
+    each group of ``by``), of ``EXACT_ROWS`` chunks at most."""
+    _bounded(chunks, by)
+    row = F.struct("work_uri", "version_uri", "sequence_no", "chunk_id", _line().alias("line"))
     grouped = chunks.groupBy(*by) if by else chunks
     return grouped.agg(sha256(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "")).alias("fingerprint"), F.count("*").alias("n_chunks"))
 
 
+def tree_fingerprint(chunks: DataFrame, fan: int = FAN) -> Row:
+    """(fingerprint, n_chunks) of any number of chunks: the lines of ``chunk_fingerprint`` in its order, ``fan`` of
+    them to a digest, then ``fan`` digests to a digest, up to a single one. No task holds more of one run."""
+    order = ("work_uri", "version_uri", "sequence_no", "chunk_id")
+    level = ranked(chunks.select(*order, _line().alias("line")), *order, "line").select("__place", "line")
+    n = level.count()
+    left = n
+    while True:
+        runs = level.groupBy(F.floor(F.col("__place") / fan).alias("run")).agg(sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "line"))), lambda x: x["line"]), "")).alias("line"))
+        level, left = materialize(runs.withColumnRenamed("run", "__place")), -(-left // fan)
+        if left <= 1:
+            break
+    top = level.first()
+    return Row(fingerprint=top["line"] if top else hashlib.sha256(b"").hexdigest(), n_chunks=n)
+
+
 def corpus_fingerprint(versions: DataFrame) -> DataFrame:
     """One digest over (author, work, version, text hash, metadata hash, status, source) rows as a JSON
-    array, nulls included."""
+    array, nulls included; of ``EXACT_ROWS`` versions at most."""
+    _bounded(versions)
     fields = sorted(("author_uri", "work_uri", "version_uri", "source_text_sha256", "source_metadata_sha256", "quality_status", "source_key"))
     line = F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"})
     row = F.struct("version_uri", line.alias("line"))

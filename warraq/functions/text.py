@@ -104,3 +104,21 @@ def occurrences(text: Column, part: Column) -> Column:
     """How often ``part`` stands in ``text`` without overlap; 0 for an empty part."""
     # Lengths in bytes are known without a look at the text.
     return F.when(F.octet_length(part) == 0, F.lit(0)).otherwise(((F.octet_length(text) - F.octet_length(F.replace(text, part, F.lit("")))) / F.octet_length(part)).cast("int"))
+
+
+def half_even(value: Column, digits: int = 3) -> Column:
+    """A double to some decimal digits, ties to the even one, where a tie is one of the binary value itself.
+
+    The value is taken apart into whole numbers exactly, as ``n / 2**66``, and rounded as such (magnitudes up to
+    2**30; others are left to the built-in function)."""
+    scale, unit = 10**digits, F.lit(str(1 << 66)).cast("decimal(38,0)")
+    high = F.floor(F.abs(value) * float(1 << 13))
+    low = F.floor((F.abs(value) * float(1 << 13) - high) * float(1 << 53))
+    whole = lambda c: c.cast("decimal(20,0)")
+    n = (whole(high) * F.lit(1 << 53).cast("decimal(17,0)") + whole(low)).cast("decimal(33,0)")
+    scaled = (n * F.lit(scale).cast("decimal(5,0)")).cast("decimal(38,0)")
+    down = F.floor(scaled / unit).cast("long")
+    rest = (scaled - (down.cast("decimal(18,0)") * F.lit(str(1 << 66)).cast("decimal(20,0)")).cast("decimal(38,0)")) * 2
+    exact = down + F.when((rest > unit) | ((rest == unit) & (down % 2 == 1)), 1).otherwise(0)
+    rounded = F.when(value < 0, -exact).otherwise(exact) / float(scale)
+    return F.when(F.abs(value) < float(1 << 30), rounded).otherwise(F.bround(value, digits))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from warraq.functions.identity import chunk_fingerprint, point_uuid
+from warraq.functions.identity import point_uuid, tree_fingerprint
 from warraq.functions.text import normalize, strip
 from warraq.operators.lexical import small
 
@@ -33,25 +36,48 @@ def query_text(query: Column, composed: bool = False) -> Column:
     return F.concat(F.lit("query: "), normalize(query, composed))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, limit: int = 10, held: Column | None = None) -> DataFrame:
     """(query_id, rank, score, vector columns): the nearest vectors of each query.
 
     Queries (query_id, query_vector) go to the vectors, as a broadcast up to a checked size. Norms are taken once a
-    row, and each task passes on no more than ``limit`` rows a query."""
+    row, and each task passes on no more than ``limit`` rows a query. ``held``: a condition on the pairs to be ranked."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
     n = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     asked = queries.withColumn("__qn", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))))
     pairs = vectors.withColumn("__n", n).crossJoin(small(asked))
+    pairs = pairs if held is None else pairs.filter(held)
     scored = pairs.withColumn("score", dot(F.col("embedding"), F.col("query_vector")) / (F.col("__n") * F.col("__qn"))).drop("embedding", "query_vector", "__n", "__qn")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def points(chunks: DataFrame, embedding: Column) -> DataFrame:
-    """Index rows: a stable id, the vector, and the payload that a hit carries."""
-    payload = ["chunk_id", "text_hash", "work_uri", "version_uri", "quality_status", "sequence_no", "section_path", "section_title", "volume", "page", "page_side"]
-    held = F.struct(*[F.col(c) for c in payload if c in chunks.columns])
+def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 8, to: str = "embedding") -> DataFrame:
+    """Adds the vectors of a text column. ``load`` gives a function from texts to vectors, such as a model's; it is
+    called once a task, and what it gives sees ``batch`` texts at a time."""
+    if not 1 <= batch <= 256:
+        raise ValueError("batch must be between 1 and 256")
+
+    @F.pandas_udf("array<float>")
+    def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for column in columns:
+            texts = column.fillna("").tolist()
+            yield pd.Series([v for k in range(0, len(texts), batch) for v in model(texts[k : k + batch])], dtype=object)
+
+    return df.withColumn(to, vectors(F.col(text)))
+
+
+PAYLOAD = ("chunk_id", "work_uri", "version_uri", "quality_status", "sequence_no", "volume", "page", "page_side", "section_path", "section_title", "text_hash", "source_text_sha256")
+
+
+def points(chunks: DataFrame, embedding: Column, model: str) -> DataFrame:
+    """Index rows: a stable id, the vector, and the payload that a hit carries. A column that is not there is an error."""
+    lost = [c for c in PAYLOAD if c not in chunks.columns]
+    if lost:
+        raise ValueError(f"chunks have no {', '.join(lost)}")
+    path = F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path")
+    held = F.struct(*[path if c == "section_path" else F.col(c) for c in PAYLOAD], F.lit(model).alias("embedding_model"), F.lit(SCHEMA_VERSION).alias("embedding_schema_version"))
     return chunks.filter(F.col("quality_status") != "REJECTED").select(point_uuid(F.col("chunk_id")).alias("point_id"), embedding.alias("embedding"), held.alias("payload"))
 
 
@@ -75,11 +101,11 @@ def build(chunks: DataFrame, embedding: Column, path: str, collection: str, mode
     if not recreate and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         raise ValueError(f"collection {collection} already exists")
     kept = chunks.filter(F.col("quality_status") != "REJECTED")
-    told = kept.transform(chunk_fingerprint).first()
+    told = tree_fingerprint(kept)
     state = {"collection_name": collection, "embedding_model": model, "embedding_dimension": dimension, "corpus_fingerprint": told["fingerprint"], "point_count": told["n_chunks"]}
     write_manifest(spark, path, **state, status="BUILDING")
     try:
-        points(chunks, embedding).write.mode("overwrite").parquet(f"{path}/{collection}")
+        points(chunks, embedding, model).write.mode("overwrite").parquet(f"{path}/{collection}")
         written = spark.read.parquet(f"{path}/{collection}").count()
         if written != told["n_chunks"]:
             raise ValueError(f"index holds {written} points, expected {told['n_chunks']}")
@@ -99,7 +125,16 @@ def check_ready(spark: SparkSession, path: str, collection: str, model: str, dim
 def check_fresh(chunks: DataFrame, path: str, collection: str) -> None:
     """The index must stand for exactly the chunks there are now."""
     spark = chunks.sparkSession
-    row, now = read_manifest(spark, path, collection).first(), chunk_fingerprint(chunks.filter(F.col("quality_status") != "REJECTED")).first()
+    row, now = read_manifest(spark, path, collection).first(), tree_fingerprint(chunks.filter(F.col("quality_status") != "REJECTED"))
     held = spark.read.parquet(f"{path}/{collection}").count()
     if row["corpus_fingerprint"] != now["fingerprint"] or row["point_count"] != now["n_chunks"] or held != row["point_count"]:
         raise ValueError(f"index {collection} is stale")
+
+
+def search(spark: SparkSession, path: str, collection: str, queries: DataFrame, model: str, dimension: int, limit: int = 10, work_uri: str | None = None, include_rejected: bool = False) -> DataFrame:
+    """The nearest points of a written index that is READY for this model: (query_id, rank, score, payload columns)."""
+    check_ready(spark, path, collection, model, dimension)
+    held = spark.read.parquet(f"{path}/{collection}").select("embedding", "payload.*")
+    if work_uri is not None:
+        held = held.filter(F.col("work_uri") == work_uri)
+    return top_k(held if include_rejected else held.filter(F.col("quality_status") != "REJECTED"), queries, limit)

@@ -5,13 +5,11 @@ Cases carry case_id, query_type, difficulty, k and max_rank; hits carry case_id,
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.functions.text import normalize
-from warraq.operators.fusion import merge, rank_fused, weights
+from warraq.functions.text import half_even, normalize
+from warraq.operators.fusion import merge, rank_fused, shares
 
 DIFFICULTIES = ("easy", "medium", "hard")
 CASE = (
@@ -23,7 +21,11 @@ BENCHMARK = f"schema_version int, dataset_id string, description string, label_p
 def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """The cases of a JSON benchmark with defaults filled in and the hash of the file's bytes; every
     rule a case breaks is an error."""
-    raw = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("benchmark_sha256"), F.from_json(F.decode("content", "UTF-8"), BENCHMARK, {"mode": "FAILFAST"}).alias("b"))
+    told = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("benchmark_sha256"), F.decode("content", "UTF-8").alias("json"))
+    broken = header_violations(told)
+    if broken:
+        raise ValueError(f"benchmark {path}: {broken[0]}")
+    raw = told.select("benchmark_sha256", F.from_json("json", BENCHMARK, {"mode": "FAILFAST"}).alias("b"))
     cases = raw.select("benchmark_sha256", "b.dataset_id", F.posexplode_outer("b.cases").alias("position", "c")).select("benchmark_sha256", "dataset_id", "position", "c.*")
     k = F.coalesce("k", F.lit(5))
     filled = cases.withColumns({"query_type": F.coalesce("query_type", F.lit("direct")), "difficulty": F.coalesce("difficulty", F.lit("medium")), "k": k, "max_rank": F.coalesce("max_first_relevant_rank", k)}).withColumnRenamed("id", "case_id")
@@ -33,6 +35,22 @@ def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return filled.drop("max_first_relevant_rank")
 
 
+def header_violations(told: DataFrame) -> list[str]:
+    """The rules that a benchmark's fields outside its cases break; one row, of text ``json``."""
+    value = F.try_parse_json("json")
+    kind = lambda name: F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")), r"^\w+", 0)
+    as_text = lambda name: F.try_variant_get(value, f"$.{name}", "string")
+    rules = {f"{name} must be a string with more than blanks": (kind(name) != "STRING") | (F.trim(as_text(name)) == "") for name in ("dataset_id", "description", "label_provenance")}
+    version = as_text("schema_version")
+    rules |= {
+        "schema_version must be a whole number from 1 on": version.isNotNull() & ((kind("schema_version") != "BIGINT") | (version.cast("long") < 1)) | (kind("schema_version") == "VOID"),
+        "cases must be an array with a case": (kind("cases") != "ARRAY") | (F.try_variant_get(value, "$.cases[0]", "variant").isNull()),
+    }
+    optional = {"schema_version must be a whole number from 1 on": False}
+    row = told.select(F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(optional.get(rule, True))), F.lit(rule)) for rule, broken in rules.items()])).alias("broken")).first()
+    return list(row["broken"]) if row else ["the file is not there"]
+
+
 def violations(cases: DataFrame) -> DataFrame:
     """(case_id, broken rules) of the cases that break any."""
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
@@ -73,7 +91,7 @@ def case_results(cases: DataFrame, hits: DataFrame, also: tuple[str, ...] = ())
     and precision at k, whose denominator is k however few results came back."""
     joined = cases.join(hits.filter("relevant").select("case_id", *also, "rank"), ["case_id", *also], "left")
     inside = F.col("rank") <= F.col("k")
-    keys = ["case_id", *also, "query_type", "difficulty", "k", "max_rank"]
+    keys = ["case_id", *also, "query_type", "difficulty", "k", "max_rank", *[c for c in ("position",) if c in cases.columns]]
     seen = joined.groupBy(*keys).agg(F.min(F.when(inside, F.col("rank"))).alias("first_rank"), F.count_if(F.coalesce(inside, F.lit(False))).cast("int").alias("relevant_count"))
     first = F.col("first_rank")
     within = lambda n: F.coalesce(first <= n, F.lit(False))
@@ -93,8 +111,13 @@ def _metrics() -> list[Column]:
     ]
 
 
-def summary(results: DataFrame) -> DataFrame:
-    return results.agg(*_metrics())
+def summary(results: DataFrame, n_cases: int | None = None) -> DataFrame:
+    """The metrics over all cases; with ``n_cases``, results of more or fewer cases are an error."""
+    out = results.agg(*_metrics())
+    if n_cases is None:
+        return out
+    lost = F.raise_error(F.concat(F.lit(f"expected results of {n_cases} cases, got "), F.col("n_cases").cast("string"))).cast("long")
+    return out.withColumn("n_cases", F.when(F.col("n_cases") == n_cases, F.col("n_cases")).otherwise(lost))
 
 
 def slices(results: DataFrame) -> DataFrame:
@@ -107,7 +130,8 @@ def slices(results: DataFrame) -> DataFrame:
 
 def latency(results: DataFrame, ms: str) -> DataFrame:
     """Median and nearest-rank 95th percentile."""
-    return results.agg(F.round(F.median(ms), 3).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})").alias("p95"))
+    told = results.agg(F.median(ms).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {ms})").alias("p95"))
+    return told.select(half_even(F.col("median")).alias("median"), half_even(F.col("p95")).alias("p95"))
 
 
 def failed_gates(row, **minimum: float) -> list[str]:
@@ -131,21 +155,12 @@ def parse_weights(text: str) -> tuple[tuple[float, float], ...]:
 
 
 def checked_grid(grid) -> tuple[tuple[float, float], ...]:
-    items, seen = tuple(grid), set()
-    if not items:
-        raise ValueError("At least one fusion weight configuration is required")
-    for lexical, semantic in items:
-        if not (math.isfinite(lexical) and math.isfinite(semantic)):
-            raise ValueError("Fusion weights must be finite")
-        if lexical < 0 or semantic < 0:
-            raise ValueError("Fusion weights must be non-negative")
-        if lexical + semantic <= 0:
-            raise ValueError("At least one fusion weight must be positive")
-        key = tuple(round(w, 8) for w in weights(lexical, semantic))
-        if key in seen:
-            raise ValueError("Duplicate normalized fusion weight configuration")
-        seen.add(key)
-    return items
+    """A grid with at least one pair, none of them the same as another but for scale."""
+    pairs = tuple(grid)
+    apart = {tuple(round(w, 8) for w in pair) for pair in shares(pairs)}
+    if not pairs or len(apart) < len(pairs):
+        raise ValueError("a grid needs pairs of weights, each with shares of its own")
+    return pairs
 
 
 def label(lexical: Column, semantic: Column) -> Column:
@@ -156,13 +171,17 @@ def sweep(cases: DataFrame, lexical: DataFrame, semantic: DataFrame, relevant: D
     """One summary row a weight pair. Both rankings, which carry case_id as query_id, are merged once;
     only the fusion is done anew. ``relevant``: (query_id, chunk_id) pairs."""
     spark = cases.sparkSession
-    rows = [(i, float(a), float(b), *weights(a, b)) for i, (a, b) in enumerate(checked_grid(grid))]
+    pairs = checked_grid(grid)
+    rows = [(i, float(a), float(b), *share) for i, ((a, b), share) in enumerate(zip(pairs, shares(pairs), strict=True))]
     pairs = spark.createDataFrame(rows, "grid_position int, lexical double, semantic double, lexical_weight double, semantic_weight double")
     most = cases.agg(F.max("k")).first()[0] or 1
     fused = rank_fused(merge(lexical, semantic).crossJoin(F.broadcast(pairs)), most, by=("grid_position", "query_id"))
     hits = fused.join(relevant.withColumn("relevant", F.lit(True)), ["query_id", "chunk_id"]).withColumnRenamed("query_id", "case_id").select("case_id", "grid_position", "rank", "relevant")
     results = case_results(cases.crossJoin(F.broadcast(pairs.select("grid_position"))), hits, also=("grid_position",))
-    failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("case_id").cast("string")))), ",")
+    # In the order of the benchmark file where there is one, else of the ids themselves.
+    order = "position" if "position" in cases.columns else "case_id"
+    told = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct(F.col(order).alias("o"), F.col("case_id").cast("string").alias("id")))))
+    failed = F.array_join(F.transform(told, lambda x: x["id"]), ",")
     return results.groupBy("grid_position").agg(*_metrics(), failed.alias("failed_case_ids")).join(F.broadcast(pairs.select("grid_position", "lexical", "semantic")), "grid_position").withColumn("label", label(F.col("lexical"), F.col("semantic")))
 
 
@@ -170,3 +189,8 @@ def best(candidates: DataFrame) -> DataFrame:
     """The best pair: pass rate, hit@1, MRR, precision, then the lesser semantic weight, then the first."""
     order = F.struct("pass_rate", "hit_at_1_rate", "mrr", "mean_precision_at_k", (-F.col("semantic")).alias("a"), (-F.col("grid_position")).alias("b"))
     return candidates.agg(F.max_by(F.struct(*candidates.columns), order).alias("best")).select("best.*")
+
+
+def compact(candidates: DataFrame) -> DataFrame:
+    """A sweep's rows without what only a full report has."""
+    return candidates.select("label", "lexical", "semantic", "pass_rate", "hit_rate", "hit_at_1_rate", "hit_at_3_rate", "mrr", "mean_precision_at_k", "mean_first_rank", "failed_case_ids")

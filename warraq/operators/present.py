@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from warraq.functions.text import half_even
+
 RETRIEVAL_ID = "deterministic_lexical_v2"
 LEGACY_KIND = "main_legacy_inferred"
 
@@ -80,7 +82,7 @@ def payload(results: DataFrame, records: DataFrame, preview_chars: int | None =
     citation = F.struct(*[F.col(c).alias(_RENAMED.get(c, c)) for c in CITATION if c in full.columns], rights.alias("rights"))
     original = F.col("text_original") if preview_chars is None else F.substring("text_original", 1, preview_chars)
     return full.select(
-        "query_id", "rank", F.round("score", 3).alias("score"), F.round("coverage", 3).alias("coverage"), "matched_terms", "total_terms", "phrase_hits", "term_hits", "section_hits",
+        "query_id", "rank", half_even(F.col("score")).alias("score"), half_even(F.col("coverage")).alias("coverage"), "matched_terms", "total_terms", "phrase_hits", "term_hits", "section_hits",
         citation.alias("citation"), original.alias("passage_original"), F.col("text_normalized").alias("passage_normalized"),
     )
 

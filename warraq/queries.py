@@ -48,13 +48,23 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexical.analyze(corpus.queries(spark, d), composed=True).select("query_id", "normalized", F.array_join("terms", "|").alias("terms"))
 
 
-@query("SELECT * FROM (VALUES (0, 'الصلاة السفر'), (1, 'السفر الصلاة الصوم'), (2, 'في من')) AS t(query_id, terms)")
+_NOUNS = ("نهر", "جسر", "وادي")
+
+
+@query(f"SELECT doc_id AS query_id, 'ال' || ['{"', '".join(_NOUNS)}'][doc_id % 3 + 1] || ' الكتاب ' || lang AS terms FROM documents")
 def proclitic_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(0, "الصَّلَاة في الصلاة والسَّفَر"), (1, "والسفر بالصلاة للصوم"), (2, "في من")]
-    asked = spark.createDataFrame(rows, "query_id int, query string").withColumn("work_uri", F.lit(None).cast("string"))
+    """Queries that glue particles to articles: and-the-noun, for-the-book, with a stop word."""
+    noun = F.element_at(F.array(*[F.lit(x) for x in _NOUNS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("وال"), noun, F.lit(" للكتاب في "), "lang", F.lit(" ال"), noun).alias("query"), F.lit(None).cast("string").alias("work_uri"))
     return lexical.analyze(asked).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
+@query(f"SELECT doc_id, {corpus.NORMALIZED('text')} AS text_normalized FROM documents")
+def normalize_composing(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with three letters in their wide forms, which compatibility composition undoes."""
+    return table(spark, d, "documents").select("doc_id", T.normalize(F.translate("text", "huw", "ｈｕｗ")).alias("text_normalized"))
+
+
 @query("SELECT doc_id, ((length(text) - length(replace(text, 'on', ''))) // 2)::INTEGER AS n_on, ((length(text) - length(replace(text, 'thth', ''))) // 4)::INTEGER AS n_thth FROM documents")
 def occurrence_count(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("text")
@@ -361,7 +371,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY grid_position, query_id ORDE
 found AS (SELECT grid_position, query_id AS case_id, rank FROM fused JOIN relevant USING (query_id, chunk_id)),
 firsts AS (SELECT c.*, g.*, min(rank) FILTER (rank <= k)::INTEGER AS first_rank, count(*) FILTER (rank <= k)::INTEGER AS relevant_count FROM cases c CROSS JOIN grid g LEFT JOIN found f ON f.case_id = c.case_id AND f.grid_position = g.grid_position GROUP BY ALL),
 results AS (SELECT *, first_rank IS NOT NULL AS hit, coalesce(first_rank <= 1, false) AS hit_at_1, coalesce(first_rank <= 3, false) AS hit_at_3, coalesce(first_rank <= max_rank, false) AS passed, coalesce(1.0::DOUBLE / first_rank, 0) AS reciprocal_rank, relevant_count::DOUBLE / k AS precision_at_k FROM firsts),
-swept AS (SELECT grid_position, lexical_w AS lexical, semantic_w AS semantic, printf('lexical_%.2f_semantic_%.2f', lexical_w, semantic_w) AS label, {METRICS_SQL}, coalesce(string_agg(case_id::VARCHAR, ',' ORDER BY case_id::VARCHAR) FILTER (NOT passed), '') AS failed_case_ids FROM results GROUP BY grid_position, lexical_w, semantic_w)"""
+swept AS (SELECT grid_position, lexical_w AS lexical, semantic_w AS semantic, printf('lexical_%.2f_semantic_%.2f', lexical_w, semantic_w) AS label, {METRICS_SQL}, coalesce(string_agg(case_id::VARCHAR, ',' ORDER BY case_id) FILTER (NOT passed), '') AS failed_case_ids FROM results GROUP BY grid_position, lexical_w, semantic_w)"""
 
 
 @query(f"{SWEEP_SQL} SELECT * FROM swept")
@@ -398,7 +408,7 @@ def bibliography_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "work_display", "bibliographic_provenance.verification_status", "bibliographic_provenance.source_record_id")
 
 
-@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(250, 3)} SELECT query_id, rank::INTEGER AS rank, round(score, 3) AS score, round(matched_terms::DOUBLE / total_terms, 3) AS coverage, lang AS author, 'SOURCE_METADATA' AS verification_status, 'SOURCE_EXPLICIT' AS structure_status, chunk_id, version_uri, substr(text_original, 1, 700) AS passage_original FROM lexical")
+@query(f"{LEXICAL_SQL}, {corpus.ranked_sql(250, 3)} SELECT query_id, rank::INTEGER AS rank, round_even(score, 3) AS score, round_even(matched_terms::DOUBLE / total_terms, 3) AS coverage, lang AS author, 'SOURCE_METADATA' AS verification_status, 'SOURCE_EXPLICIT' AS structure_status, chunk_id, version_uri, substr(text_original, 1, 700) AS passage_original FROM lexical")
 def citation_payload(spark: SparkSession, d: str) -> DataFrame:
     found = _searched(spark, d, 3).withColumns({"content_kind": F.lit("main"), "work_title": F.col("work_uri"), "author_name": F.col("author_uri")})
     out = present.payload(found, present.catalog(spark), 700)
@@ -503,24 +513,70 @@ def _chunked(spark: SparkSession, d: str) -> DataFrame:
     return ingest.chunk(_bodies(spark, d).withColumn("version_uri", F.col("version_uri").cast("string")), composed=True)
 
 
-@query()
+def _packed_sql(blocks: str, bodies: str, empty: str, most: int = 1800) -> str:
+    """CTEs up to ``packed`` (doc_id, page_no, first, stop, path, kind, text, sequence_no): blocks are cut step by step,
+    then neighbours are joined piece by piece."""
+    room = f"regexp_extract(substr(body, here::INTEGER + 1, {most}), '(?s)^.*[ \\n]')"
+    cut = f"CASE WHEN size - (here - start) <= {most} THEN start + size WHEN length({room}) > {int(most * 0.6)} THEN here + length({room}) ELSE here + {most} END"
+    return f"""{blocks}, bodies AS ({bodies}),
+whole AS (SELECT b.doc_id, page_no, start, "end" - start AS size, path, kind, body FROM blocks b JOIN bodies d ON d.doc_id = b.doc_id),
+steps AS (SELECT doc_id, page_no, start, size, path, kind, body, start AS here, NULL::BIGINT AS stop FROM whole
+  UNION ALL SELECT doc_id, page_no, start, size, path, kind, body, {cut}, here FROM steps WHERE here < start + size),
+pieces AS (SELECT doc_id, page_no, stop AS a, here AS z, path, kind, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY stop) AS n FROM steps WHERE stop IS NOT NULL),
+joined AS (SELECT doc_id, page_no, n, a AS first, z AS stop, path, kind FROM pieces WHERE n = 1
+  UNION ALL SELECT p.doc_id, p.page_no, p.n, CASE WHEN j.path = p.path AND j.kind = p.kind AND j.stop = p.a AND p.z - j.first <= {most} THEN j.first ELSE p.a END, p.z, p.path, p.kind
+  FROM joined j JOIN pieces p ON p.doc_id = j.doc_id AND p.page_no = j.page_no AND p.n = j.n + 1),
+runs AS (SELECT doc_id, page_no, first, max(stop) AS stop, any_value(path) AS path, any_value(kind) AS kind FROM joined GROUP BY doc_id, page_no, first),
+texts AS (SELECT r.*, substr(body, first::INTEGER + 1, (stop - first)::INTEGER) AS text FROM runs r JOIN bodies b ON b.doc_id = r.doc_id),
+packed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS sequence_no FROM texts WHERE {empty} <> '')"""
+
+
+_BODY_SQL = """SELECT doc_id, '### | ' || lang || chr(10) || '# ' || text || chr(10) || 'PageV01P' || printf('%03d', doc_id % 1000) || chr(10) || '### ||| ' || source || chr(10) || 'plain' || chr(10) || '### |EDITOR|' || chr(10) || '# note' || chr(10) || 'FolioV02P07A' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '# tail' ELSE '' END AS body FROM documents"""
+_CHUNKED_SQL = f"""WITH RECURSIVE {_packed_sql(_BLOCKS_SQL, _BODY_SQL, corpus.NORMALIZED("text"))},
+placed AS (SELECT *, doc_id::VARCHAR AS version_uri, CASE page_no WHEN 0 THEN 1 WHEN 1 THEN 2 END AS volume, CASE page_no WHEN 0 THEN (doc_id % 1000)::INTEGER WHEN 1 THEN 7 END AS page, CASE page_no WHEN 1 THEN 'A' END AS page_side FROM packed)"""
+
+
+@query(
+    f"""{_CHUNKED_SQL} SELECT version_uri, sequence_no::INTEGER AS sequence_no, first::INTEGER AS source_start, stop::INTEGER AS source_end, volume, page, page_side, replace(replace(path, '||', ' / '), '|', ' / ') AS section, kind AS content_kind,
+  sha256(text) AS text_hash, sha256(version_uri || chr(10) || sequence_no || chr(10) || sha256(text)) AS chunk_id FROM placed"""
+)
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d).select("version_uri", "sequence_no", "source_start", "source_end", "volume", "page", "page_side", F.array_join("section_path", " / ").alias("section"), "content_kind", "text_hash", "chunk_id")
 
 
-@query()
+@query(f"{_CHUNKED_SQL} SELECT version_uri, count(*) AS n_chunks, count(DISTINCT CASE WHEN page IS NOT NULL THEN volume || ',' || page || ',' || coalesce(page_side, '') END) AS n_pages, 0::BIGINT AS n_inferred FROM placed GROUP BY version_uri")
 def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
     return ingest.summary(_chunked(spark, d))
 
 
-@query()
-def legacy_structure(spark: SparkSession, d: str) -> DataFrame:
+def _older(spark: SparkSession, d: str) -> DataFrame:
+    """A heading of the older form, a line, another heading and a text of every document."""
     body = F.concat(F.lit("# | كتاب "), "source", F.lit(" ms0067 ب\n# نص ms0007 "), "lang", F.lit("\n# | باب "), "lang", F.lit("\n"), "text", F.lit("\nPageV01P001"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("version_uri"), body.alias("body"))
-    out = ingest.chunk_all(rows, composed=True)
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("version_uri"), body.alias("body"))
+
+
+_OLDER_BLOCKS = """blocks AS (
+  WITH p AS (SELECT doc_id, source, lang, length(source) + 19 AS a, length(source) + length(lang) + 32 AS b, length(source) + 2 * length(lang) + length(text) + 42 AS c FROM documents)
+  SELECT doc_id, 0 AS page_no, 0 AS start, a AS "end", 'كتاب ' || source || ' ب' AS path, 'main_legacy_inferred' AS kind FROM p
+  UNION ALL SELECT doc_id, 0, a, b, 'كتاب ' || source || ' ب', 'main_legacy_inferred' FROM p
+  UNION ALL SELECT doc_id, 0, b, c, 'كتاب ' || source || ' ب|باب ' || lang, 'main_legacy_inferred' FROM p)"""
+_OLDER_BODY = "SELECT doc_id, '# | كتاب ' || source || ' ms0067 ب' || chr(10) || '# نص ms0007 ' || lang || chr(10) || '# | باب ' || lang || chr(10) || text || chr(10) AS body FROM documents"
+
+
+@query(
+    f"""WITH RECURSIVE {_packed_sql(_OLDER_BLOCKS, _OLDER_BODY, "regexp_replace(" + corpus.NORMALIZED("text") + ", '(^| )[|]( |$)', ' ', 'g')")}
+SELECT doc_id::VARCHAR AS version_uri, sequence_no::INTEGER AS sequence_no, first::INTEGER AS source_start, stop::INTEGER AS source_end, 1 AS page, replace(path, '|', ' / ') AS section, kind AS content_kind, sha256(text) AS text_hash FROM packed"""
+)
+def legacy_structure(spark: SparkSession, d: str) -> DataFrame:
+    out = ingest.chunk_all(_older(spark, d), composed=True)
     return out.select("version_uri", "sequence_no", "source_start", "source_end", "page", F.array_join("section_path", " / ").alias("section"), "content_kind", "text_hash")
 
 
+@query("SELECT doc_id::VARCHAR AS version_uri, 2::BIGINT AS n_headings FROM documents")
+def legacy_headings(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.legacy_headings(_older(spark, d))
+
+
 # The store's merge rules
 
 

@@ -1,7 +1,8 @@
-"""Immutable relational tables as snapshots: merge rules, guards and one pointer to the current state."""
+"""Immutable relational tables as snapshots: merge rules, guards and numbered states."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,9 +48,25 @@ def replace_chunks(stored: DataFrame, incoming: DataFrame, versions: DataFrame)
     return stored.join(versions.select("version_uri").distinct(), "version_uri", "left_anti").unionByName(incoming)
 
 
+def index_rows(chunks: DataFrame, versions: DataFrame, works: DataFrame) -> DataFrame:
+    """What an index is built from: the chunks of versions that are not rejected, with their work, status and hash."""
+    told = versions.filter(F.col("quality_status") != "REJECTED").select("version_uri", "work_uri", "quality_status", "source_text_sha256")
+    return chunks.join(told.join(works.select("work_uri", "title_display"), "work_uri"), "version_uri")
+
+
+#: Parts of the chunk table, by version; a commit writes anew those of its versions.
+BUCKETS = 64
+
+
+def _bucket(version_uri: Column) -> Column:
+    return F.pmod(F.xxhash64(version_uri), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
-    """Tables under one path. A commit writes whole new snapshots and then one pointer row, so readers
-    see all tables of a commit or none."""
+    """Tables under one path. A commit writes new snapshots of the small tables and of the chunk parts that its
+    versions fall into, and then its state: which folder each table and part is in. States are numbered files
+    that never change. One appears at once and whole, so readers see all tables of a commit or none, and a number
+    is claimed before, so of two commits made from one state the second fails and can be made again."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -58,33 +75,67 @@ class Store:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
+    def _states(self) -> list[str]:
+        """Names of the state files, ascending."""
+        fs, target = self._fs(f"{self.path}/states")
+        return sorted(n for x in fs.listStatus(target) if (n := x.getPath().getName()).isdigit()) if fs.exists(target) else []
+
     def current(self) -> str | None:
-        fs, target = self._fs(f"{self.path}/pointer")
-        return self.spark.read.text(f"{self.path}/pointer").first()[0] if fs.exists(target) else None
+        """The name of the last state."""
+        return (self._states() or [None])[-1]
+
+    def _state(self, name: str | None) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/states/{name}", wholetext=True).first()[0]) if name else {}
 
     def read(self, table: str) -> DataFrame | None:
-        now = self.current()
-        if now is None:
-            return None
-        fs, target = self._fs(f"{self.path}/snapshots/{now}/{table}")
-        return self.spark.read.parquet(f"{self.path}/snapshots/{now}/{table}") if fs.exists(target) else None
+        return self._read(self._state(self.current()), table)
+
+    def _read(self, state: dict, table: str) -> DataFrame | None:
+        folders = sorted(state.get(table, {}).values())
+        return self.spark.read.parquet(*[f"{self.path}/{x}" for x in folders]) if folders else None
+
+    def _publish(self, base: str | None, state: dict) -> str:
+        name = f"{int(base or 0) + 1:012d}"
+        fs, claim = self._fs(f"{self.path}/claims/{name}")
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"another commit was made from state {base}")
+        _, draft = self._fs(f"{self.path}/claims/{name}-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        _, final = self._fs(f"{self.path}/states/{name}")
+        fs.mkdirs(final.getParent())
+        if not fs.rename(draft, final):
+            raise RuntimeError(f"state {name} could not be written")
+        return name
 
     def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Merges what came into the current snapshot and makes the result current."""
-        versions, old = tables["text_versions"], self.read("text_versions")
+        """Merges what came into the current state and makes the result current."""
+        base = self.current()
+        state = self._state(base)
+        versions, old = tables["text_versions"], self._read(state, "text_versions")
         bad = versions.filter(~F.col("quality_status").isin(*STATUSES)).limit(1).collect()
         if bad:
             raise ValueError(f"unknown quality status {bad[0]['quality_status']}")
+        twice = versions.groupBy("version_uri").agg(F.count_distinct("source_text_sha256").alias("n")).filter("n > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"version {twice[0]['version_uri']} came with two texts")
         if old is not None:
             changed = version_conflicts(old, versions).limit(1).collect()
             if changed:
                 raise ValueError(f"version {changed[0]['version_uri']} is stored with another text")
-        name = uuid.uuid4().hex
+        name, new = uuid.uuid4().hex, dict(state)
         for table, (key, rules) in KEYS.items():
-            stored = self.read(table)
+            stored = self._read(state, table)
             merged = tables[table].select(key, *rules) if stored is None else upsert(stored, tables[table], key, rules)
-            merged.write.parquet(f"{self.path}/snapshots/{name}/{table}")
-        chunks = self.read("chunks")
-        (tables["chunks"] if chunks is None else replace_chunks(chunks, tables["chunks"], versions)).write.parquet(f"{self.path}/snapshots/{name}/chunks")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
-        return name
+            merged.dropDuplicates([key]).write.parquet(f"{self.path}/snapshots/{name}/{table}")
+            new[table] = {"all": f"snapshots/{name}/{table}"}
+        parts = state.get("chunks", {})
+        touched = sorted(str(r[0]) for r in versions.select(_bucket(F.col("version_uri"))).distinct().collect())  # BUCKETS at most
+        held = [f"{self.path}/{parts[b]}" for b in touched if b in parts]
+        chunks = replace_chunks(self.spark.read.parquet(*held), tables["chunks"], versions) if held else tables["chunks"]
+        chunks.withColumn("bucket", _bucket(F.col("version_uri"))).write.partitionBy("bucket").parquet(f"{self.path}/snapshots/{name}/chunks")
+        fs, _ = self._fs(self.path)
+        there = {b: f"snapshots/{name}/chunks/bucket={b}" for b in touched}
+        new["chunks"] = {b: x for b, x in parts.items() if b not in there} | {b: x for b, x in there.items() if fs.exists(self._fs(f"{self.path}/{x}")[1])}
+        return self._publish(base, new)

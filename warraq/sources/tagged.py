@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warraq.functions.identity import sha256, source_key
 from warraq.operators import ingest
+from warraq.session import discard, materialize
+from warraq.sources.store import Store
 
 
 def clean(raw: Column) -> Column:
@@ -68,3 +72,28 @@ def tables(docs: DataFrame, provider: str, source_url: str, release: str | None
         "text_versions": versions,
         "chunks": ingest.chunk_all(docs.select("version_uri", "body"), max_chars),
     }
+
+
+def ingest_files(spark: SparkSession, store: Store | None, texts: list[str], versions: list[str], books: list[str] | None = None, authors: list[str] | None = None, provider: str = "", source_url: str = "", max_chars: int = 1800, dry_run: bool = False, **told) -> dict:
+    """Reads texts with their metadata files, which stand at the same places of the lists, and commits them.
+    Hashes are those of the files as they are. A dry run reads and counts only; any other needs a source's URL.
+    Gives the counts of ``ingest.summary`` by version, of headings of the older form, and the mode."""
+    if any(len(x) != len(texts) for x in (versions, books or texts, authors or texts)):
+        raise ValueError("each text needs one file of each kind of metadata")
+    if not dry_run and not (source_url and store):
+        raise ValueError("a store and source_url are needed unless dry_run is set")
+
+    def read(paths: list[str]) -> DataFrame:
+        parts = [read_files(spark, x).select(F.lit(str(k)).alias("key"), "raw") for k, x in enumerate(paths)]
+        return reduce(DataFrame.unionByName, parts)
+
+    docs = materialize(documents(read(texts), read(versions), read(books) if books else None, read(authors) if authors else None))
+    rows = tables(docs, provider, source_url, max_chars=max_chars, **told)
+    rows["chunks"] = materialize(rows["chunks"])
+    counts = ingest.summary(rows["chunks"]).join(ingest.legacy_headings(docs), "version_uri", "right").fillna(0)
+    found = {r["version_uri"]: {k: v for k, v in r.asDict().items() if k != "version_uri"} for r in counts.collect()}
+    if not dry_run:
+        store.commit(rows)
+    discard(rows["chunks"])
+    discard(docs)
+    return {"mode": "dry-run" if dry_run else "persisted", "quality_status": told.get("quality_status", "UNREVIEWED"), "versions": found}
