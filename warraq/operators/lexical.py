@@ -94,8 +94,7 @@ def matches(chunks: DataFrame, queries: DataFrame, index: DataFrame | None = Non
     index = materialize(word_index(chunks)) if index is None else index
     terms = queries.select("query_id", "work_uri", F.explode("terms").alias("term")).withColumn("low", F.lower("term"))
     words = materialize(index.select(F.explode("words").alias("word")).distinct())
-    held = materialize(words_holding(words, materialize(terms.select("low").distinct())))
-    lows = held.groupBy("word").agg(F.collect_list("low").alias("lows"))
+    lows = materialize(words_holding(words, materialize(terms.select("low").distinct())).groupBy("word").agg(F.collect_set("low").alias("lows")))
     # Dealt by chunk once, so that the words, the terms and the queries of a chunk are counted where they are.
     words_of = index.repartition("chunk_id").select("chunk_id", F.col("work_uri").alias("__work"), "ingest_order", F.explode("words").alias("word"))
     found = words_of.join(small(lows), "word").select("chunk_id", "__work", "ingest_order", F.explode("lows").alias("low")).distinct()

@@ -9,7 +9,7 @@ from warraq.functions import identity as I
 from warraq.functions import text as T
 from warraq.operators import dense, evaluate, fusion, hybrid, ingest, lexical, present
 from warraq.plans import corpus
-from warraq.session import table
+from warraq.session import materialize, table
 from warraq.sources import store
 
 QUERIES: dict = {}
@@ -127,7 +127,7 @@ _EN = "work_uri = 'en.src1' AND quality_status <> 'REJECTED'"
 
 
 def _analyzed(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.analyze(corpus.queries(spark, d), composed=True)
+    return materialize(lexical.analyze(corpus.queries(spark, d), composed=True))
 
 
 def _searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
