@@ -269,11 +269,12 @@ def near_dups(docs: DataFrame) -> DataFrame:
     roots = components(edges)
     named = roots.join(nodes.select("node", "doc_id"), "node")
     labels = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    alone = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # A written table, so that the join below is of two plain shuffles and Spark can split a text with many copies.
+    alone = materialize(nodes.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
     out = rows.select("doc_id", "row_key", "n", "node").join(alone, "node", "left")
     label = F.coalesce("component_id", "doc_id")
     told = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"), "row_key"))
-    for used in (rows, nodes, edges):
+    for used in (rows, nodes, edges, alone):
         discard(used)
     return told
 
