@@ -76,7 +76,7 @@ ENCODING = []
 
 def test_pipeline_on_edge_cases(spark, edge_docs, no_docs):
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
-    clean = " ".join(f"the word{i} of text{i % 7} and line{i % 11}" for i in range(40))
+    clean = " ".join(f"the word{i} of text{i} and line{i}" for i in range(40))
     more = [(50, clean), (50, clean), (51, clean + " x"), (None, clean), (None, "the end of and " + item + " " + clean[:400]), (52, "the start of and " + item + " the end of and " + clean[300:900])]
     docs = edge_docs.unionByName(spark.createDataFrame([(i, t, "en", None, "h", "clash") for i, t in more], edge_docs.schema))
     after = {}
