@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from warraq.llm import bpe, chat_format, decontaminate, hilbert_shards, near_dups, pairwise_quality, quality_rules, repeated_spans, site_text, token_planes
+from warraq.llm import bpe, chat_format, decontaminate, digest_index, filter_audit, hilbert_shards, near_dups, pairwise_quality, quality_rules, repeated_spans, site_text, spelling, token_planes
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_repeated_spans": repeated_spans.op8,
     "op9_html_extraction": site_text.op9,
     "op10_minhash_near_dedup": near_dups.op10,
+    "op11_exact_dedup": digest_index.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_filter_audit": filter_audit.op13,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op10_minhash_near_dedup": near_dups.OP10_SQL,
+    "op11_exact_dedup": digest_index.OP11_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
