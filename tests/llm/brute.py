@@ -141,15 +141,18 @@ def pairwise_fit(x, y, share_good, pairs, steps, l2=1e-3):
 
 
 class _Tree(html.parser.HTMLParser):
-    """Elements as [name, parent, children], texts as strings; well-formed input only."""
+    """Elements as [name, parent, children, mark, names down to here]; pages are well formed, marks are classes."""
 
-    def __init__(self, source):
+    def __init__(self, source, strong, weak):
         super().__init__()
-        self.root = self.at = ["", None, []]
+        self.root = self.at = ["", None, [], 0, ()]
+        self.marks = (strong, weak)
         self.feed(source)
 
     def handle_starttag(self, tag, attrs):
-        e = [tag, self.at, []]
+        name = dict(attrs).get("class", "")
+        mark = 2 if name in self.marks[0] else 1 if name in self.marks[1] else 0
+        e = [tag, self.at, [], mark, (*self.at[4], tag, name)]
         self.at[2].append(e)
         self.at = e
 
@@ -161,49 +164,62 @@ class _Tree(html.parser.HTMLParser):
             self.at[2].append(data.strip())
 
 
-def _texts(e):
-    return [e] if isinstance(e, str) else [t for c in e[2] for t in _texts(c)]
+def _texts(e, hidden=False):
+    return [e] if isinstance(e, str) else [] if e[3] == 2 and not hidden else [t for c in e[2] for t in _texts(c, hidden)]
 
 
 def _own_text(e):
     """The text of an article or main outside of those inside it."""
-    return sum(len(c) if isinstance(c, str) else 0 if c[0] in ("article", "main") else _own_text(c) for c in e[2])
+    return sum(len(c) if isinstance(c, str) else 0 if c[0] in ("article", "main") or c[3] == 2 else _own_text(c) for c in e[2])
 
 
 def _all(e):
+    """An element and those in it, but none in one that marks itself."""
     yield e
     for c in e[2]:
-        if not isinstance(c, str):
+        if not isinstance(c, str) and e[3] < 2:
             yield from _all(c)
 
 
-def main_texts(pages, share, least):
-    """Text by page_id of (page_id, host, html) rows: what isn't under a subtree that recurs on its host."""
-    once, trees = collections.defaultdict(set), {}
-    sizes = collections.defaultdict(set)
+def main_texts(pages, share, least, stock=(3, 0.15, 0.5), marked=2, strong=(), weak=()):
+    """Text by page_id of (page_id, host, html) rows without the templates of its host."""
+    own = ("article", "main")
+    under, leads, fills = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(lambda: collections.defaultdict(set))
+    trees, inside, of = {}, collections.defaultdict(bool), {}
     for i, host, source in pages:
-        root = _Tree(source).root
+        root = _Tree(source, strong, weak).root
         trees[i] = (host, root)
-        owns = [e for e in _all(root) if e[0] in ("article", "main") and _texts(e)]
-        closed = [e for e in _after(root) if e in owns]
+        owns = [e for e in _all(root) if e[0] in own and _texts(e)]
+        closed = [e for e in _after(root) if any(e is x for x in owns)]
         best = max((_own_text(e) for e in closed), default=0)
-        lead = next(((e[0], tuple(_texts(e))) for e in closed if best and _own_text(e) == best), ("page", i))
-        sizes[host].add(lead)
+        lead = next(((e[0], tuple(_texts(e))) for e in closed if best and _own_text(e) == best), None)
+        page = lead or ("page", tuple(_texts(root)))
+        leads[host].add(page)
         for e in _all(root):
-            if e[0] and e[0] not in ("article", "main") and _texts(e) and not any(x[0] in ("article", "main") and _texts(x) for x in _all(e)):
-                up = e[1]
-                while up is not None and up[0] not in ("article", "main"):
-                    up = up[1]
-                once[host, e[0], tuple(_texts(e))].add(lead if up is None else (up[0], tuple(_texts(up))))
-
-    def kept(host, e):
+            judged = e[3] == 2 or e[0] not in ("", *own) and _texts(e) and not any(x[0] in own and _texts(x) for x in _all(e))
+            if not judged:
+                continue
+            up = e[1]
+            while up is not None and up[0] not in own:
+                up = up[1]
+            once = (up[0], tuple(_texts(up))) if up is not None and _texts(up) else page
+            what, slot = (e[0], e[3], tuple(_texts(e, True))), (host, e[4], e[3])
+            of[id(e)] = (host, what), slot
+            under[host, what].add(once)
+            fills[slot][what].add(once)
+            inside[slot] |= up is not None or lead is None
+    gone = {x for x, n in under.items() if len(n) >= least and len(n) >= share * len(leads[x[0]])}
+    for slot, each in fills.items():
+        again = sum(len(under[slot[0], w]) >= 2 for w in each)
+        if again >= stock[0] and again >= stock[1 + inside[slot]] * len(each) or slot[2] and sum(map(len, each.values())) >= marked and (not inside[slot] or again):
+            gone.add(slot)
+
+    def kept(e):
         if isinstance(e, str):
             return [e]
-        n = len(once.get((host, e[0], tuple(_texts(e))), ()))
-        judged = e[0] and e[0] not in ("article", "main") and not any(x[0] in ("article", "main") and _texts(x) for x in _all(e))
-        return [] if judged and n >= least and n >= share * len(sizes[host]) else [t for c in e[2] for t in kept(host, c)]
+        return [] if e[3] == 2 or gone & {*of.get(id(e), ())} else [t for c in e[2] for t in kept(c)]
 
-    return {i: "\n\n".join(kept(*trees[i])) for i, _, _ in pages}
+    return {i: "\n\n".join(kept(root)) for i, (_, root) in trees.items()}
 
 
 def _after(e):
