@@ -160,12 +160,15 @@ def test_shards(edge_docs, no_docs, shards):
     assert hilbert_shards.place(no_docs).count() == 0
 
 
-def test_equal_texts_stand_together(spark, tmp_path):
+@pytest.mark.parametrize("bound", [0, 100])
+def test_equal_texts_stand_together(spark, tmp_path, monkeypatch, bound):
+    monkeypatch.setattr(hilbert_shards, "BROADCAST_ROWS", bound)
     draw = random.Random(8)
     made = [(i, f"text {draw.randint(0, 12)}" if i % 3 else "hot", draw.choice(["en", "fr", None]), f"s{draw.randint(0, 3)}", "clash", i) for i in range(200)]
     docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, shard string, place int")
     placed = sorted(hilbert_shards.place(docs, 7).collect(), key=lambda r: (r.shard, r.slot))
-    seen = [(r.cell, r.text_crc32) for r in placed]
+    seen = [r.text_crc32 for r in placed]
+    assert len({r.text_crc32 for r in placed}) == len({(r.cell, r.text_crc32) for r in placed}) < len({(r.lang, r.source, r.text_crc32) for r in placed})
     assert len({x for x, y in zip(seen, [None, *seen]) if x != y}) == sum(x != y for x, y in zip(seen, [None, *seen]))  # noqa: B905
     hilbert_shards.write_shards(docs, str(tmp_path / "out"), 7)
     written = spark.read.parquet(str(tmp_path / "out/rows"))
@@ -177,6 +180,12 @@ def test_equal_texts_stand_together(spark, tmp_path):
         assert (m.n_rows, m.n_bytes) == (len(rows), sum(r["size"] for r in rows))
 
 
+def test_each_group_of_a_table_is_one_run(spark):
+    placed = hilbert_shards.place(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).orderBy("shard", "slot").collect()
+    seen = [(r["size"], r.text_crc32) for r in placed]
+    assert sum(x != y for x, y in zip(seen, [None, *seen])) == len(set(seen)) < len(placed)  # noqa: B905
+
+
 @pytest.mark.parametrize("n", [3, 4, 40])
 def test_steps_follow_the_order_of_values(spark, n):
     df = spark.range(1000).select(F.format_string("v%03d", F.col("id") * F.col("id") % n).alias("c"))

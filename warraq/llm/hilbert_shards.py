@@ -6,7 +6,8 @@ more than 2**BITS values; more of them share steps by equal shares of the rows.
 (curve index, SHA-256 of the text, doc_id, size) and cut into runs whose row counts differ by one at most, so
 equal texts of one cell stand side by side and are cut at a shard's edge only.
 
-The order is one sort by ranges of all its columns (``session.ranked``): a cell, or a text, that holds a third
+Indices of texts that have several are found by a sum a text, made map-side, and joined to rows by digest: broadcast
+up to ``BROADCAST_ROWS``, else by a merge whose hot digests Spark splits. The order is one sort by ranges of all its columns (``session.ranked``): a cell, or a text, that holds a third
 of all rows is split by the columns after it, and no task sees more than its range.
 
 Edge cases: a null text has no bytes and the checksum of the empty string, and is equal to it; null metadata
@@ -27,6 +28,8 @@ from warraq.session import materialize, ranked
 
 BITS, SHARDS = 5, 24
 DIMENSIONS = ("lang", "source")
+#: Texts with rows in several cells that are sent to every task (of 80 bytes each); more of them are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def steps(df: DataFrame, column: str, bits: int = BITS) -> list[str]:
@@ -131,6 +134,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(measured)
 
 
+def _as_groups(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keyed`` with the least cell of each text in all its rows; ``keys`` has the same __hash and __cell."""
+    ends = keys.groupBy("__hash").agg(F.min("__cell").alias("__least"), F.max("__cell").alias("__most"))
+    several = materialize(ends.filter("__least < __most").select("__hash", "__least"))
+    few = several.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = keyed.join(F.broadcast(several) if few else several.hint("merge"), "__hash", "left")
+    return joined.withColumn("__cell", F.coalesce("__least", "__cell")).drop("__least")
+
+
 _ORDER = ("__cell", "__hash", "doc_id", "__size")
 
 
@@ -139,7 +151,7 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     dimensions = [(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in DIMENSIONS]
     # Written first: the sort reads its rows twice, once for the bounds of the ranges.
     rows = materialize(_keyed(docs).select("doc_id", *dimensions, *[c for c in (*_ORDER, "__crc") if c != "doc_id"]))
-    return _cut(ranked(rows, *_ORDER), shards).select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), *DIMENSIONS, F.col("__cell").alias("cell"), "shard", "slot")
+    return _cut(ranked(_as_groups(rows, rows), *_ORDER), shards).select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), *DIMENSIONS, F.col("__cell").alias("cell"), "shard", "slot")
 
 
 def manifest(placed: DataFrame) -> DataFrame:
@@ -151,9 +163,11 @@ def manifest(placed: DataFrame) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Writes the rows of ``docs`` with their cell and slot under ``path/rows``, one folder for each shard and each file
-    in order of slot, and the manifest under ``path/manifest``. Texts are shuffled once."""
+    in order of slot, and the manifest under ``path/manifest``. Texts are shuffled once, or twice where more than
+    ``BROADCAST_ROWS`` of them have rows in several cells."""
     docs = docs.drop("cell", "shard", "slot")
-    laid = _cut(ranked(_keyed(docs), *_ORDER), shards).withColumnRenamed("__cell", "cell")
+    keyed = _keyed(docs)
+    laid = _cut(ranked(_as_groups(keyed, keyed.select("__hash", "__cell")), *_ORDER), shards).withColumnRenamed("__cell", "cell")
     laid.select(*docs.columns, "cell", "shard", "slot").write.partitionBy("shard").parquet(f"{path}/rows")
     dimensions = [(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c) for c in DIMENSIONS]
     manifest(docs.sparkSession.read.parquet(f"{path}/rows").select("shard", "cell", _size().cast("long").alias("size"), *dimensions)).write.parquet(f"{path}/manifest")
@@ -200,7 +214,8 @@ axes AS (SELECT doc_id, size::BIGINT AS size, sha256(text) AS hash, text,
   greatest(least(floor(log2(size))::INTEGER - 6, {(1 << BITS) - 1}), 0)::BIGINT AS x0, coalesce(l.step, 0)::BIGINT AS x1, coalesce(s.step, 0)::BIGINT AS x2
   FROM d LEFT JOIN lang_steps l ON l.v = lang LEFT JOIN source_steps s ON s.v = source),
 {_hilbert_sql("axes")[0]},
-placed AS (SELECT *, row_number() OVER (ORDER BY cell, hash, doc_id NULLS FIRST, size) - 1 AS place, count(*) OVER () AS total FROM curve),
+grouped AS (SELECT * REPLACE (min(cell) OVER (PARTITION BY hash) AS cell) FROM curve),
+placed AS (SELECT *, row_number() OVER (ORDER BY cell, hash, doc_id NULLS FIRST, size) - 1 AS place, count(*) OVER () AS total FROM grouped),
 cut AS (SELECT *, total // {SHARDS} AS low, total % {SHARDS} AS more, (total % {SHARDS}) * (total // {SHARDS} + 1) AS edge FROM placed)
 SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, m[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32, 'rows' AS law,
   (CASE WHEN place < edge THEN place // (low + 1) ELSE more + (place - edge) // greatest(low, 1) END)::INTEGER AS shard,
