@@ -391,6 +391,36 @@ def test_hot_spans_against_slow_version(spark, monkeypatch):
     assert len(seen) == 2 and all(x.extra > 3 for x in seen)
 
 
+def test_spans_dealt_twice_and_many_copies(spark, monkeypatch):
+    """More buckets than one shuffle takes, and rows that agree in all, so often that one goes for all."""
+    for name, value in (("BUCKET", 40), ("TEXT_BUCKET", 400), ("COARSE", 3), ("HOLD", 60), ("COPIES", 2)):
+        monkeypatch.setattr(repeated_spans, name, value)
+    draw, letters = random.Random(14), "abcdefgh ij"
+    some = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    base, copy = [some(draw.randint(150, 600)) for _ in range(5)], some(400)
+    made = [(i, some(draw.randint(0, 90)) + draw.choice(base)[draw.randint(0, 60) :] + some(draw.randint(0, 90))) for i in range(40)]
+    made += [(90, copy)] * 7 + [(91, some(30) + copy[50:] + some(30)), (92, "short"), (None, some(300)), (None, base[0]), (None, base[0])] + [(93, "short")] * 5 + [(94, None)] * 6
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert rows(repeated_spans.repeated_spans(docs)) == sorted(brute.removed(made), key=brute.key)
+    cut = repeated_spans.cut_repeats(docs).collect()
+    marks = brute.removed_marks([(k, t) for k, (_, t) in enumerate(made)])
+    assert sorted(((r.doc_id, r.text) for r in cut), key=str) == sorted(((i, None if t is None else brute.left_of(t, marks[k])) for k, (i, t) in enumerate(made)), key=str)
+
+
+def test_dealing_takes_the_time_of_its_entries():
+    """A slice of 5 MB at the number of buckets that 7 TB of text have: no look at buckets without entries."""
+    import time
+
+    draw = np.random.default_rng(1)
+    n = 450_000
+    ids, at = np.repeat(np.arange(1000), n // 1000), np.tile(np.arange(n // 1000) * 11, 1000)
+    keys = {"name": [draw.integers(0, 1 << 63, n).astype(np.uint64)], "context": [draw.integers(0, 1 << 63, n).astype(np.uint64)]}
+    began = time.perf_counter()
+    done = list(repeated_spans._named([ids], [at], keys, 1_000_000, repeated_spans.Hot([], []), repeated_spans.COARSE))
+    assert len(done) == repeated_spans.COARSE and time.perf_counter() - began < 3
+    assert sum(len(x["name"]) for x in done) == 8 * n and sum(sum(map(len, (x["ids"], x["counts"], x["at"], x["name"], x["context"]))) for x in done) < 30 * n
+
+
 def test_cover_is_complete():
     assert {(a - b) % repeated_spans.V for a in repeated_spans.COVER for b in repeated_spans.COVER} == set(range(repeated_spans.V))
 

@@ -16,14 +16,16 @@ tuple of 200 - V + 1 = 68 bytes at the same distance from their starts.
 
 Texts are split only at 3. and 4., and travel there compressed. All buckets have a size of their own
 that does not grow with the input (``BUCKET`` entries or ``TEXT_BUCKET`` bytes; there are more of them
-instead). A name that a sample of the texts shows to be hot is dealt over many buckets by text (``Hot``): a part of a
+instead). Beyond ``COARSE`` buckets a task that sees little of each would send rows of a few entries, so entries are
+dealt to coarse buckets first and, ``HOLD`` of them at once and in order of the coarse bucket, to the fine ones. A name that a sample of the texts shows to be hot is dealt over many buckets by text (``Hot``): a part of a
 class that stands alone in its bucket goes on as an edge, and a hot string, seen twice in the sample, needs no
 neighbour. So a passage in a third of all texts is split like any other load. Removal is decided by 128 bits inside repeats (name and
 context) and by 96 at their edges (name and check): over 10**12 strings, chance equality is expected 6 times in a
 million runs.
 
 Edge cases: null counts as empty, and what is shorter than 200 bytes has no string. Matches never cross
-texts. Repeated rows are found in each other; rows that agree in doc_id and text share one result. Extra
+texts. Repeated rows are found in each other; rows that agree in doc_id and text share one result, and where there are
+very many of them (``COPIES``) one goes through the steps for all. Extra
 columns are ignored by ``repeated_spans`` and kept by ``cut_repeats``. An empty table stays empty.
 """
 
@@ -47,6 +49,10 @@ LENGTH, V = 200, 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 TUPLE = LENGTH - V + 1
 BUCKET, TEXT_BUCKET, SLICE = 600_000, 8 << 20, 5 << 20
+#: Buckets of one shuffle at most; entries that a task then deals out at once.
+COARSE, HOLD = 4096, 2_000_000
+#: Rows that agree in doc_id and text are one beyond so many copies, and beyond one row in so many: few enough to broadcast.
+COPIES, COPIES_SHARE = 16, 1_000_000
 _COVER = np.array(COVER)
 
 
@@ -101,23 +107,25 @@ class Lists:
         return {"ids": ids[first].astype("<i8").tobytes(), "counts": compress(counts.astype("<u4").tobytes()), "at": compress(np.ascontiguousarray(steps).tobytes())}
 
     @staticmethod
-    def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def open(ids: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
         _, decompress = _frames()
-        ids, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a, b, c in zip(frame["ids"], frame["counts"], frame["at"], strict=True):
-            ids.append(np.repeat(np.frombuffer(a, "<i8"), np.frombuffer(decompress(b), "<u4")))
-            steps = np.frombuffer(decompress(c), np.uint8).reshape(8, -1).T
-            values.append(np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel()))
+        steps = np.frombuffer(decompress(at), np.uint8).reshape(8, -1).T
+        return np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(decompress(counts), "<u4")), np.cumsum(np.ascontiguousarray(steps).view("<i8").ravel())
+
+    @staticmethod
+    def unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        parts = [Lists.open(a, b, c) for a, b, c in zip(frame["ids"], frame["counts"], frame["at"], strict=True)]
+        ids, values = zip(*parts, strict=True) if parts else ((np.empty(0, np.int64),), (np.empty(0, np.int64),))
         return np.concatenate(ids), np.concatenate(values)
 
 
-def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The entries of each bucket that has any, in their order."""
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    held = bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1]))) if len(held) else np.empty(0, np.int64)
+    for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(held)], strict=True):
+        yield int(held[a]), order[a:z]
 
 
 def _bucket_of(name: np.ndarray, n: int) -> np.ndarray:
@@ -165,8 +173,8 @@ def _hot(named: DataFrame, share: int, keys: list[str]) -> Hot:
     return Hot([r["name"] for r in found], [r["n"] * share for r in found], [r["check"] for r in found] if "check" in keys else None)
 
 
-def _named(ids, ats, keys: dict[str, list], buckets: int, hot: Hot) -> Iterator[dict]:
-    """Rows of one slice, dealt by name; hot names go to buckets beyond the others."""
+def _named(ids, ats, keys: dict[str, list], buckets: int, hot: Hot, coarse: int | None = None) -> Iterator[dict]:
+    """Rows of one slice, dealt by name, or by coarse buckets of names; hot names go to buckets beyond the others."""
     if not ids:
         return
     ids, ats = np.concatenate(ids), np.concatenate(ats)
@@ -176,7 +184,7 @@ def _named(ids, ats, keys: dict[str, list], buckets: int, hot: Hot) -> Iterator[
         held = hot.holds(cols)
         with np.errstate(over="ignore"):
             bucket[held] = buckets + (mix(ids[held].view(np.uint64) + cols["name"][held]) % np.uint64(hot.extra)).astype(np.int64)
-    for b, pick in _by_bucket(bucket, buckets + hot.extra):
+    for b, pick in _by_bucket(bucket % coarse if coarse else bucket):
         yield {"bucket": b} | Lists.pack(ids[pick], ats[pick]) | {k: v[pick].tobytes() for k, v in cols.items()}
 
 
@@ -203,6 +211,45 @@ def _tuples(batch: pa.RecordBatch) -> Iterator[tuple[list, list, dict[str, list]
             yield ids, ats, keys
 
 
+def _finer(packed: DataFrame, key: str, keys: dict[str, type], deal, schema: str, types: pa.Schema, entries: int) -> DataFrame:
+    """Rows of coarse buckets dealt anew: ``deal`` gets ids, places, kinds and keys of many entries of one such bucket. It
+    takes as many tasks as there are ``entries``, whatever the number of buckets."""
+    salts = max(1, entries // (COARSE * 10 * HOLD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, at = Lists.open(row["ids"], row["counts"], row["at"])
+                held.append((ids, at, np.full(len(ids), row.get("kind", 0)), {k: np.frombuffer(row[k], t) for k, t in keys.items()}))
+                n += len(ids)
+                if n >= HOLD:
+                    yield pa.RecordBatch.from_pylist(deal(held), types)
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(deal(held), types)
+
+    return packed.repartition(key, F.pmod(F.xxhash64("ids"), F.lit(salts))).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _binaries(first: str, *names: str) -> pa.Schema:
+    return pa.schema([(first, pa.int32())] + [(k, pa.int32() if k == "kind" else pa.binary()) for k in names])
+
+
+def _fine_names(packed: DataFrame, keys: dict[str, type], buckets: int, hot: Hot, schema: str, entries: int) -> DataFrame:
+    def deal(held: list) -> list[dict]:
+        return list(_named([x[0] for x in held], [x[1] for x in held], {k: [x[3][k] for x in held] for k in keys}, buckets, hot))
+
+    return _finer(packed, "bucket", keys, deal, schema, _binaries("bucket", "ids", "counts", "at", *keys), entries)
+
+
+def _fine_texts(packed: DataFrame, texts: int, entries: int) -> DataFrame:
+    def deal(held: list) -> list[dict]:
+        return _dealt(*(np.concatenate([x[k] for x in held]) for k in range(3)), texts)
+
+    return _finer(packed, "home", {}, deal, _DEALT, _binaries("home", "kind", "ids", "counts", "at"), entries)
+
+
 def _hot_tuples(rows: DataFrame) -> Hot:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,26 +261,28 @@ def _hot_tuples(rows: DataFrame) -> Hot:
 
 def _anchors(rows: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Step 1: the names and contexts of all sampled tuples, by bucket of the name."""
+    coarse = COARSE if buckets + hot.extra > COARSE else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, ats, keys in _tuples(batch):
-                done = list(_named(ids, ats, keys, buckets, hot))
-                yield pa.RecordBatch.from_pylist(done, pa.schema([("bucket", pa.int32())] + [(k, pa.binary()) for k in ("ids", "counts", "at", "name", "context")]))
+                done = list(_named(ids, ats, keys, buckets, hot, coarse))
+                yield pa.RecordBatch.from_pylist(done, _binaries("bucket", "ids", "counts", "at", "name", "context"))
 
-    return rows.select("uid", "text").mapInArrow(run, _NAMED + ", context binary")
+    named = rows.select("uid", "text").mapInArrow(run, _NAMED + ", context binary")
+    return _fine_names(named, {"name": np.uint64, "context": np.uint64}, buckets, hot, _NAMED + ", context binary", buckets * BUCKET) if coarse else named
 
 
 #: What a list says of its places: strings over them repeat, or their strings must be looked at, or start repeated strings.
 INSIDE, EDGE, STARTS = 0, 1, 2
 
 
-def _dealt(ids: np.ndarray, at: np.ndarray, kind: np.ndarray, texts: int) -> list[dict]:
-    """Rows of lists by the texts' buckets."""
+def _dealt(ids: np.ndarray, at: np.ndarray, kind: np.ndarray, texts: int, coarse: int | None = None) -> list[dict]:
+    """Rows of lists by the texts' buckets, or by coarse buckets of these."""
     order = np.lexsort((at, ids, kind))
     ids, at, kind = ids[order], at[order], kind[order]
-    home = ids % texts
-    return [{"home": b, "kind": k} | Lists.pack(ids[pick], at[pick]) for k in np.unique(kind).tolist() for b, sub in _by_bucket(home[kind == k], texts) for pick in [np.flatnonzero(kind == k)[sub]]]
+    home = ids % texts % coarse if coarse else ids % texts
+    return [{"home": b, "kind": k} | Lists.pack(ids[pick], at[pick]) for k in np.unique(kind).tolist() for b, sub in _by_bucket(home[kind == k]) for pick in [np.flatnonzero(kind == k)[sub]]]
 
 
 _DEALT = "home int, kind int, ids binary, counts binary, at binary"
@@ -243,6 +292,7 @@ _DEALT_COLUMNS = ["home", "kind", "ids", "counts", "at"]
 def _settle(anchors: DataFrame, texts: int, buckets: int) -> DataFrame:
     """Step 2: neighbours in order of name and context. A hot name is in several buckets, so there one place of each
     class counts as an edge: if its like are in other buckets, step 4 finds its strings beside theirs."""
+    coarse = COARSE if texts > COARSE else None
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
@@ -258,9 +308,10 @@ def _settle(anchors: DataFrame, texts: int, buckets: int) -> DataFrame:
         edge = new_class & ((classes[of_name] > 1) | (int(frame["bucket"].iloc[0]) >= buckets))
         picked = np.concatenate((order[inside], order[edge]))
         kind = np.concatenate((np.full(inside.sum(), INSIDE), np.full(edge.sum(), EDGE)))
-        return pd.DataFrame(_dealt(ids[picked], at[picked], kind, texts), columns=_DEALT_COLUMNS)
+        return pd.DataFrame(_dealt(ids[picked], at[picked], kind, texts, coarse), columns=_DEALT_COLUMNS)
 
-    return anchors.groupBy("bucket").applyInPandas(run, _DEALT)
+    lists = anchors.groupBy("bucket").applyInPandas(run, _DEALT)
+    return _fine_texts(lists, texts, buckets * BUCKET) if coarse else lists
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -285,6 +336,7 @@ def _per_text(lists: pd.DataFrame, kind: int) -> dict[int, np.ndarray]:
 
 def _merge(packed: DataFrame, lists: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Step 3: the names of all strings over edge tuples, by bucket of the name."""
+    coarse = COARSE if buckets + hot.extra > COARSE else None
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
@@ -308,12 +360,13 @@ def _merge(packed: DataFrame, lists: DataFrame, buckets: int, hot: Hot) -> DataF
             ats.append(starts)
             held += len(starts)
             if held > BUCKET:
-                done += _named(ids, ats, keys, buckets, hot)
+                done += _named(ids, ats, keys, buckets, hot, coarse)
                 ids, ats, keys, held = [], [], {"name": [], "check": []}, 0
-        done += _named(ids, ats, keys, buckets, hot)
+        done += _named(ids, ats, keys, buckets, hot, coarse)
         return pd.DataFrame(done, columns=["bucket", "ids", "counts", "at", "name", "check"])
 
-    return packed.groupBy("home").cogroup(lists.filter(F.col("kind") == EDGE).groupBy("home")).applyInPandas(run, _NAMED + ", check binary")
+    strings = packed.groupBy("home").cogroup(lists.filter(F.col("kind") == EDGE).groupBy("home")).applyInPandas(run, _NAMED + ", check binary")
+    return _fine_names(strings, {"name": np.uint64, "check": np.uint32}, buckets, hot, _NAMED + ", check binary", buckets * BUCKET) if coarse else strings
 
 
 def _hot_strings(packed: DataFrame, lists: DataFrame, share: int) -> Hot:
@@ -331,12 +384,13 @@ def _hot_strings(packed: DataFrame, lists: DataFrame, share: int) -> Hot:
 
 def _pair(strings: DataFrame, texts: int, buckets: int) -> DataFrame:
     """Step 4: neighbours in order of the strings' names. A hot string was seen twice before."""
+    coarse = COARSE if texts > COARSE else None
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         pa.default_memory_pool().release_unused()
         ids, at = Lists.unpack(frame)
         if int(frame["bucket"].iloc[0]) >= buckets:
-            return pd.DataFrame(_dealt(ids, at, np.full(len(ids), STARTS), texts), columns=_DEALT_COLUMNS)
+            return pd.DataFrame(_dealt(ids, at, np.full(len(ids), STARTS), texts, coarse), columns=_DEALT_COLUMNS)
         name, check = (np.concatenate([np.frombuffer(x, t) for x in frame[k]]) for k, t in (("name", np.uint64), ("check", np.uint32)))
         order = np.lexsort((check, name))
         name, check = name[order], check[order]
@@ -345,9 +399,10 @@ def _pair(strings: DataFrame, texts: int, buckets: int) -> DataFrame:
         twice[1:] |= same
         twice[:-1] |= same
         picked = order[twice]
-        return pd.DataFrame(_dealt(ids[picked], at[picked], np.full(len(picked), STARTS), texts), columns=_DEALT_COLUMNS)
+        return pd.DataFrame(_dealt(ids[picked], at[picked], np.full(len(picked), STARTS), texts, coarse), columns=_DEALT_COLUMNS)
 
-    return strings.groupBy("bucket").applyInPandas(run, _DEALT)
+    lists = strings.groupBy("bucket").applyInPandas(run, _DEALT)
+    return _fine_texts(lists, texts, buckets * BUCKET) if coarse else lists
 
 
 def spans(n: int, inside: np.ndarray | None, starts: np.ndarray | None) -> np.ndarray:
@@ -368,10 +423,19 @@ def spans(n: int, inside: np.ndarray | None, starts: np.ndarray | None) -> np.nd
 
 def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """``result(raw bytes, spans)`` for every row, as the columns of ``schema``; and the tables it reads."""
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+    seen = materialize(keyed.groupBy("uid").agg(F.count("*").alias("copies"), F.sum(F.octet_length("text")).alias("n")))
+    n_bytes, n_rows = (x or 0 for x in seen.agg(F.sum("n"), F.sum("copies")).first())
     texts = max(8, -(-n_bytes // TEXT_BUCKET))
     tuples = max(8, -(-n_bytes * len(COVER) // (V * BUCKET)))
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid")).withColumn("home", F.pmod("uid", F.lit(texts)).cast("int"))
+    placed = keyed.withColumn("home", F.pmod("uid", F.lit(texts)).cast("int"))
+    many = seen.filter(F.col("copies") > max(COPIES, n_rows // COPIES_SHARE)).select("uid")
+    plain = rows = placed
+    copied = None
+    if not many.isEmpty():
+        # Each string of theirs recurs in the other copies; one of them stays for other texts to be found in.
+        plain, copied = placed.join(F.broadcast(many), "uid", "left_anti"), placed.join(F.broadcast(many), "uid", "left_semi")
+        rows = plain.unionByName(copied.dropDuplicates(["uid"]))
     hot = _hot_tuples(rows)
     lists = materialize(_settle(_anchors(rows, tuples, hot), texts, tuples))
     strings = max(8, -(-n_bytes // (8 * BUCKET)))
@@ -390,8 +454,20 @@ def _applied(docs: DataFrame, result, schema: str, carried: list[str]) -> tuple[
             out.append((doc_id, uid, *result(raw, spans(len(raw), inside.get(uid), starts.get(uid)))))
         return pd.DataFrame(out, columns=["doc_id", "uid", *carried])
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, uid, x in zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+                raw = x.as_buffer().to_pybytes() if x.is_valid else b""
+                out.append((doc_id, uid, *result(raw, np.array([[0, len(raw)]] if len(raw) >= LENGTH else [], np.int64).reshape(-1, 2))))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["doc_id", "uid", *carried]).astype({"doc_id": "Int64"}), preserve_index=False)
+
     told = lists.filter(F.col("kind") == INSIDE).union(more)
-    return _packed(rows).groupBy("home").cogroup(told.groupBy("home")).applyInPandas(run, f"doc_id bigint, uid bigint, {schema}"), [lists, more]
+    schema = f"doc_id bigint, uid bigint, {schema}"
+    out = _packed(plain).groupBy("home").cogroup(told.groupBy("home")).applyInPandas(run, schema)
+    if copied is not None:
+        out = out.unionByName(copied.select(F.col("doc_id").cast("long"), "uid", "text").mapInArrow(whole, schema))
+    return out, [lists, more, seen]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
