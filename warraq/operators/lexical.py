@@ -63,7 +63,7 @@ def word_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "work_uri", "ingest_order", words.alias("words"))
 
 
-def _parts(word: Column) -> Column:
+def parts(word: Column) -> Column:
     """The distinct runs of three letters of a word, the word itself where it has fewer."""
     letters = F.split(word, "")
     runs = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.slice(c, i + 1, 3)))
@@ -71,12 +71,12 @@ def _parts(word: Column) -> Column:
 
 
 def words_holding(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(low, word) of the ``words`` that hold a term ``low``. A term of three letters or more is looked up by its
+    """(low, word) of the ``words`` (word, and ``parts`` where they are stored) that hold a term ``low``. A term of three letters or more is looked up by its
     rarest part, a shorter one by itself among all letters and pairs of letters."""
     short = lambda w: F.array_distinct(F.transform(F.array(F.split(w, "")), lambda c: F.concat(c, F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: F.concat_ws("", F.slice(c, i, 2)))))[0])
     long_terms, short_terms = terms.filter(F.length("low") >= 3), terms.filter(F.length("low") < 3)
-    asked = materialize(long_terms.select("low", F.explode(_parts(F.col("low"))).alias("part")))
-    held = materialize(words.select("word", F.explode(_parts(F.col("word"))).alias("part")).join(small(asked.select("part").distinct()), "part"))
+    asked = materialize(long_terms.select("low", F.explode(parts(F.col("low"))).alias("part")))
+    held = materialize(words.select("word", F.explode("parts" if "parts" in words.columns else parts(F.col("word"))).alias("part")).join(small(asked.select("part").distinct()), "part"))
     rare = asked.join(held.groupBy("part").agg(F.count("*").alias("n")), "part").groupBy("low").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
     # A term with a part that no word has is in no word.
     whole = asked.join(held.select("part").distinct(), "part").groupBy("low").agg(F.count("*").alias("k")).join(asked.groupBy("low").agg(F.count("*").alias("of")), "low").filter("k = of").select("low")
@@ -124,7 +124,8 @@ def score_columns(text: Column, section: Column, normalized: Column, terms: Colu
 
 def score(pairs: DataFrame) -> DataFrame:
     """Scores rows that hold a chunk and an analyzed query; coverage is matched over total."""
-    out = pairs.withColumns(score_columns(F.col("text_normalized"), F.col("section_text_normalized"), F.col("normalized"), F.col("terms")))
+    told = lambda c: F.coalesce(F.col(c), F.lit(""))
+    out = pairs.withColumns(score_columns(told("text_normalized"), told("section_text_normalized"), F.col("normalized"), F.col("terms")))
     return out.withColumn("coverage", F.when(F.col("total_terms") > 0, F.col("matched_terms") / F.col("total_terms")).otherwise(0.0))
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from warraq.functions import text as T
 from warraq.functions.identity import chunk_id, sha256
+from warraq.operators import postings
 from warraq.operators.lexical import small
-from warraq.session import materialize, spread, table
+from warraq.session import keep, materialize, spread, table
 
 
 def chunks(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
@@ -34,6 +35,27 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(chunks(spark, folder))
 
 
+#: (application, files and their times) of the chunk tables that were stored and indexed, with what was made.
+_indexed: dict[tuple[str, str], tuple[DataFrame, postings.Index]] = {}
+
+
+def indexed(spark: SparkSession, folder: str) -> tuple[DataFrame, postings.Index]:
+    """The chunk table and its inverted index, as a store holds them: made once for the files that are there now, and
+    read by every search of this program."""
+    files = []
+    for name in ("documents", "labels"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = [fs.getFileStatus(path), *(fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [])]
+        files += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in status]
+    key = (spark.sparkContext.applicationId, "\n".join(files))
+    if key not in _indexed:
+        chunks = stored(spark, folder)
+        _indexed[key] = (chunks, postings.build(chunks))
+        keep(chunks, *vars(_indexed[key][1]).values())
+    return _indexed[key]
+
+
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, query, work_uri): the benchmark's items."""
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("work_uri"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions import identity as I
 from warraq.functions import text as T
-from warraq.operators import dense, evaluate, fusion, hybrid, ingest, lexical, present
+from warraq.operators import dense, evaluate, fusion, hybrid, ingest, lexical, postings, present
 from warraq.plans import corpus
 from warraq.session import materialize, table
 from warraq.sources import store
@@ -131,7 +131,8 @@ def _analyzed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return lexical.search_batch(lexical.allowed(corpus.stored(spark, d)), _analyzed(spark, d), limit)
+    chunks, index = corpus.indexed(spark, d)
+    return postings.search_batch(index, chunks, _analyzed(spark, d), limit)
 
 
 @query(f"{LEXICAL_SQL} SELECT query_id, doc_id, hits::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, ingest_order)::INTEGER AS candidate FROM scored WHERE quality_status <> 'REJECTED' QUALIFY candidate <= 20")
@@ -152,9 +153,9 @@ def lexical_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _one(spark: SparkSession, d: str, work: str | None, rejected: bool) -> DataFrame:
-    asked = _analyzed(spark, d).filter("query_id = 1").limit(1)
-    terms = asked.first()["terms"]
-    out = lexical.search(lexical.allowed(corpus.stored(spark, d), work, rejected), asked, terms, 10)
+    asked = lexical.analyze(corpus.queries(spark, d).filter("query_id = 1"), composed=True).withColumn("work_uri", F.lit(work))
+    chunks, index = corpus.indexed(spark, d)
+    out = postings.search_batch(index, chunks, materialize(asked), 10, include_rejected=rejected)
     return out.select(F.col("rank"), "doc_id", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -178,8 +179,8 @@ def lexical_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {corpus.CHUNKS_SQL} SELECT doc_id FROM chunks WHERE contains(lower(text_normalized), 'thhehe') OR contains(lower(section_text_normalized), 'thhehe')")
 def lexical_trigram_candidates(spark: SparkSession, d: str) -> DataFrame:
-    chunks = corpus.stored(spark, d)
-    return lexical.by_trigram(chunks, lexical.trigrams(chunks), "thhehe").select("doc_id")
+    chunks, index = corpus.indexed(spark, d)
+    return postings.holding(index, chunks, "thhehe").select("doc_id")
 
 
 # Filters, joins and distinct
@@ -282,7 +283,8 @@ HYBRID_SQL = f"{_dense_sql(50)}, {corpus.ranked_sql(2500, 50)}"
 
 
 def _hybrid(spark: SparkSession, d: str, a: float, b: float) -> DataFrame:
-    out = hybrid.search_batch(lexical.allowed(corpus.stored(spark, d)), _vectors(spark, d), _analyzed(spark, d), _probes(spark, d), lexical_weight=a, semantic_weight=b)
+    chunks, index = corpus.indexed(spark, d)
+    out = hybrid.search_batch(chunks, _vectors(spark, d), _analyzed(spark, d), _probes(spark, d), lexical_weight=a, semantic_weight=b, index=index)
     return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"), "lexical_rank", "semantic_rank")
 
 

@@ -139,6 +139,13 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def keep(*tables: DataFrame) -> None:
+    """Takes written tables out of the open calls of ``settled``, whose end would delete them."""
+    paths = {getattr(t, "_warraq_path", None) for t in tables}
+    for open_paths in getattr(_scopes, "open", []):
+        open_paths[:] = [p for p in open_paths if p not in paths]
+
+
 def release(spark: SparkSession) -> int:
     """Deletes all tables this application has left in the shared folder, and says how many. For the time
     when every result that reads them has been written; the end of the program calls it, too."""
