@@ -5,8 +5,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.operators import ingest
+from warraq.operators import ingest, lexical
 from warraq.queries import QUERIES
+from warraq.session import materialize
+from warraq.sources import store as store_module
 from warraq.sources import tagged
 from warraq.sources.store import Store, index_rows
 from warraq.streaming.ingest import watch
@@ -103,7 +105,7 @@ def test_files_lose_mark_and_carriage_returns(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
     make = lambda docs, **more: tagged.tables(docs, "p", "http://x", **more)
     store.commit(make(documents(spark), quality_status="ACCEPTED", license="L"))
     n = store.read("chunks").count()
@@ -118,8 +120,8 @@ def test_store(spark, tmp_path):
 
 
 def test_commits_keep_what_they_do_not_touch(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    made = [tagged.tables(documents(spark, version=VERSION.replace("Lib0001", f"Lib{k}")), "p", "http://x") for k in range(3)]
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
+    made = [tagged.tables(documents(spark, version=VERSION.replace("KitabAnhar", f"Kitab{k}"), book=BOOK.replace("KitabAnhar", f"Kitab{k}")), "p", "http://x") for k in range(3)]
     for k, tables in enumerate(made):
         assert store.commit(tables) == f"{k + 1:012d}"
     per = {r.version_uri: r["count"] for r in store.read("chunks").groupBy("version_uri").count().collect()}
@@ -134,6 +136,72 @@ def test_commits_keep_what_they_do_not_touch(spark, tmp_path):
     assert store.current() == "000000000003"
 
 
+def test_a_writer_that_dies_locks_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
+    assert store._publish(None, {"chunks": {}}) == "000000000001"
+    left = tmp_path / "store/states/000000000002"
+    left.write_text('{"chunks": {')
+    assert store.current() == "000000000001" and store.read("text_versions") is None
+    with pytest.raises(RuntimeError, match="another commit"):
+        store._publish("000000000001", {})
+    monkeypatch.setattr(store_module, "UNFINISHED", -1)
+    assert store._publish("000000000001", {}) == "000000000002" == store.current()
+    with pytest.raises(RuntimeError, match="another commit"):
+        store._publish("000000000001", {})
+
+
+def test_every_broken_rule_is_named(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
+    good = tagged.tables(documents(spark), "p", "http://x")
+    chunks = good["chunks"]
+    bad = good | {
+        "text_versions": good["text_versions"].withColumn("quality_status", F.lit("FINE")).withColumn("source_key", F.lit("none")),
+        "works": good["works"].withColumn("author_uri", F.lit("nobody")),
+        "chunks": chunks.withColumn("page_side", F.lit("C")).withColumn("source_end", F.col("source_start")).unionByName(chunks.withColumn("version_uri", F.lit("other"))),
+    }
+    with pytest.raises(ValueError) as error:
+        store.commit(bad)
+    for said in ("quality_status is unknown (1 rows)", "page_side is neither", "source_end is not behind", "author_uri is not among authors (1, such as nobody)", "source_key is not among sources", "chunks: version_uri is not among text_versions (1, such as other)", "chunks: chunk_id is not unique"):
+        assert said in str(error.value)
+    assert store.current() is None and store.commit(good) == "000000000001"
+
+
+def test_a_work_is_read_from_its_own_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
+    named = lambda k: [x.replace("KitabAnhar", f"Kitab{k}") for x in (VERSION, BOOK)]
+    for k in (1, 2):
+        version, book = named(k)
+        store.commit(tagged.tables(documents(spark, version=version, book=book), "p", "http://x"))
+    every, one = store.read("chunks"), store.chunks_of("0700Someone.Kitab2")
+    assert len(one.inputFiles()) == 1 < len(every.inputFiles())
+    assert one.count() == every.filter("work_uri = '0700Someone.Kitab2'").count() > 0
+    assert "PushedFilters: [IsNotNull(work_uri), EqualTo(work_uri" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_index_follows_commits(spark, tmp_path):
+    """A commit lists the parts of its own versions anew; the ranking is that of a scan, with the status there is now."""
+    store = Store(spark, str(tmp_path / "store"))
+    make = lambda k, status="UNREVIEWED": tagged.tables(documents(spark, version=VERSION.replace("KitabAnhar", f"Kitab{k}"), book=BOOK.replace("KitabAnhar", f"Kitab{k}"), text=TEXT + f"# نهر كبير {'ابيض ' * k}\n"), "p", "http://x", quality_status=status)
+    asked = materialize(lexical.analyze(spark.createDataFrame([(1, "النهر الكبير", None), (2, "ابيض", None), (3, "تجري المياه", "0700Someone.Kitab1")], "query_id long, query string, work_uri string")))
+    before = {}
+    for k in (1, 2):
+        store.commit(make(k))
+        now = store._state(store.current())["lists"]
+        assert sum(now[b] != before.get(b) for b in now) == 1
+        before = now
+
+    def same():
+        told = store.read("text_versions").select("version_uri", "quality_status")
+        chunks = store.read("chunks").join(told, "version_uri")
+        columns = ("query_id", "rank", "chunk_id", "score", "hits", "matched_terms")
+        assert sorted(map(tuple, store.search(asked, 5).select(*columns).collect())) == sorted(map(tuple, lexical.search_batch(lexical.allowed(chunks), asked, 5).select(*columns).collect()))
+        return {r.version_uri for r in store.search(asked, 50).collect()}
+
+    assert len(same()) == 2
+    store.commit(make(2, "REJECTED"))
+    assert len(same()) == 1
+
+
 def test_files_go_in_by_one_call(spark, tmp_path):
     for name, text in (("t", TEXT), ("v", VERSION), ("b", BOOK), ("a", AUTHOR)):
         (tmp_path / name).write_text(text)
@@ -167,7 +235,7 @@ def test_stored_section_paths_and_metadata(spark):
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "t.txt").write_text(TEXT)
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), indexed=False)
 
     def tables(batch):
         one = lambda x: batch.select("key", F.lit(x).alias("raw"))

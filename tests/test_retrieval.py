@@ -5,8 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from warraq import queries as Q
 from warraq.operators import dense, evaluate, fusion, hybrid, lexical, present, runner
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_score_of_terms_in_the_section_only(spark):
     rows = [("هذا حكم لطهارة مخصوصة", "كتاب الوضوء الباب الثالث في المياه", "المياه الوضوء", ["المياه", "الوضوء"])]
@@ -190,3 +193,31 @@ def test_hybrid_search_fuses_more_than_it_returns(spark):
     assert (first.chunk_id, first.lexical_rank, first.semantic_rank, first.score) == ("c29", 30, 30, pytest.approx(1 / 90))
     with pytest.raises(ValueError):
         hybrid.search_batch(chunks, vectors, queries, probes, limit=101)
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_nearest_by_blocks(spark, monkeypatch, bound):
+    """The same scores, to the last bit, and ranks as by a fold over each pair: ties, zero and null vectors, works."""
+    import random
+
+    draw = random.Random(6)
+    some = lambda: [float(draw.choice((-1, 0, 1, 2))) * draw.choice((1.0, 0.1)) for _ in range(7)]
+    rows = [(f"c{i:03d}", f"w{i % 3}", draw.choice((some(), some(), [1.0, 2, 0, 0, 0, 0, 1], [0.0] * 7, None))) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, work_uri string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(k, some()[:6] + [3.0], draw.choice((None, "w1"))) for k in range(9)], "query_id long, query_vector array<float>, work string")
+    told = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
+    kept = vectors.filter("embedding is not null and exists(embedding, x -> x <> 0)").crossJoin(queries).filter("work is null or work = work_uri")
+    norm = lambda c: F.sqrt(dense.dot(F.col(c), F.col(c)))
+    scored = kept.withColumn("score", dense.dot(F.col("embedding"), F.col("query_vector")) / (norm("embedding") * norm("query_vector")))
+    plain = sorted((r.query_id, -r.score, r.chunk_id) for r in scored.collect())
+    monkeypatch.setattr(dense, "QUERY_BYTES", bound)
+    found = dense.top_k(vectors, queries, 8, within=("work", "work_uri"))
+    assert told(found) == [(q, k + 1, c, -s) for q in range(9) for k, (_, s, c) in enumerate([x for x in plain if x[0] == q][:8])]
+    assert bound == 0 or "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString() and "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_and_pairs_agree_to_the_last_bit(spark, monkeypatch):
+    vectors, queries = Q._vectors(spark, FOLDER), Q._probes(spark, FOLDER)
+    one = sorted(map(tuple, dense.top_k(vectors, queries, 7).select("query_id", "rank", "chunk_id", "score").collect()))
+    monkeypatch.setattr(dense, "QUERY_BYTES", 0)
+    assert one == sorted(map(tuple, dense.top_k(vectors, queries, 7).select("query_id", "rank", "chunk_id", "score").collect()))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructType
 
 from warraq.functions.identity import point_uuid, tree_fingerprint
 from warraq.functions.text import normalize, strip
-from warraq.operators.lexical import small
 
 SCHEMA_VERSION = 1
 STATES = ("BUILDING", "READY", "FAILED")
@@ -36,20 +39,102 @@ def query_text(query: Column, composed: bool = False) -> Column:
     return F.concat(F.lit("query: "), normalize(query, composed))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, limit: int = 10, held: Column | None = None) -> DataFrame:
-    """(query_id, rank, score, vector columns): the nearest vectors of each query.
-
-    Queries (query_id, query_vector) go to the vectors, as a broadcast up to a checked size. Norms are taken once a
-    row, and each task passes on no more than ``limit`` rows a query. ``held``: a condition on the pairs to be ranked."""
+#: Bytes of query vectors that go to every task; more of them meet the vectors pair by pair.
+QUERY_BYTES = 64 << 20
+#: By how much a product of blocks may differ from the sum it stands for.
+NEAR = 1e-9
+
+
+class _Nearest:
+    """The best rows of one query so far, by score and then by chunk_id."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rows = limit, []
+
+    def least(self) -> float:
+        return self.rows[-1][0] if len(self.rows) == self.limit else -np.inf
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows = sorted(self.rows + rows, key=lambda r: (-r[0], r[1]))[: self.limit]
+
+
+def _blocked(asked: list, columns: list[str], limit: int, within: str | None, kind: pa.DataType):
+    """What a task does with its vectors: products of blocks select, sums in order tell the scores of what they select."""
+    queries = np.array([r["query_vector"] for r in asked], np.float64)
+    in_order = lambda x: np.cumsum(x, 1)[:, -1]  # noqa: E731  as a fold over the elements
+    norms = np.sqrt(in_order(queries * queries))
+    wanted = [r["__within"] for r in asked] if within else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, last = [_Nearest(limit) for _ in asked], None
+        for batch in batches:
+            last = batch
+            column = batch.column("embedding")
+            there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            flat = column.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if not len(there):
+                continue
+            vectors = flat.reshape(len(there), -1)
+            own = np.sqrt(in_order(vectors * vectors))
+            with np.errstate(all="ignore"):
+                near = (vectors @ queries.T) / (own[:, None] * norms[None, :])
+            ids = batch.column("chunk_id").take(pa.array(there)).to_pylist()
+            of = np.array(batch.column(within).take(pa.array(there)).to_pylist(), object) if within else None
+            picked: list[tuple[int, np.ndarray]] = []
+            for q, kept in enumerate(best):
+                x = near[:, q] if wanted is None or wanted[q] is None else np.where(of == wanted[q], near[:, q], np.nan)
+                fits = np.flatnonzero(x >= kept.least() - NEAR)
+                if len(fits) > limit:
+                    fits = fits[x[fits] >= np.partition(x[fits], len(fits) - limit)[len(fits) - limit] - NEAR]
+                if len(fits):
+                    picked.append((q, fits))
+            if not picked:
+                continue
+            rows = np.unique(np.concatenate([x for _, x in picked]))
+            held = pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(there[rows])) for c in columns], columns)
+            for q, fits in picked:
+                scores = in_order(vectors[fits] * queries[q]) / (own[fits] * norms[q])
+                best[q].add([(float(s), ids[k], held, int(np.searchsorted(rows, k))) for s, k in zip(scores, fits.tolist(), strict=True)])
+        if last is None:
+            return
+        for r, kept in zip(asked, best, strict=True):
+            for score, _, held, k in kept.rows:
+                yield pa.RecordBatch.from_arrays([*held.slice(k, 1).columns, pa.array([r["query_id"]], kind), pa.array([score])], [*columns, "query_id", "score"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, limit: int = 10, within: tuple[str, str] | None = None) -> DataFrame:
+    """(query_id, rank, score, vector columns): the nearest vectors of each query, exactly.
+
+    Queries (query_id, query_vector) go to the vectors. Up to ``QUERY_BYTES`` of them, each task multiplies its vectors
+    with them block by block and passes on no more than ``limit`` rows a query, so a row for a pair never is. What a
+    block selects is scored by the sum in order that ``cosine`` stands for. More queries meet the vectors pair by pair.
+    A vector without a direction (null or zero) is near nothing. ``within``: a column of the queries and one of the
+    vectors; a query that has a value there is asked among the vectors that have it, too."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
-    n = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    asked = queries.withColumn("__qn", F.sqrt(dot(F.col("query_vector"), F.col("query_vector"))))
-    pairs = vectors.withColumn("__n", n).crossJoin(small(asked))
-    pairs = pairs if held is None else pairs.filter(held)
-    scored = pairs.withColumn("score", dot(F.col("embedding"), F.col("query_vector")) / (F.col("__n") * F.col("__qn"))).drop("embedding", "query_vector", "__n", "__qn")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    size = queries.agg(F.sum(F.size("query_vector") * 8)).first()[0] or 0
+    if size > QUERY_BYTES:
+        found = _pairwise(vectors, queries, within)
+    else:
+        columns = [c for c in vectors.columns if c != "embedding"]
+        told = F.col(within[0]).cast("string") if within else F.lit(None).cast("string")
+        asked = queries.select("query_id", "query_vector", told.alias("__within")).collect()
+        schema = StructType([f for f in vectors.schema if f.name != "embedding"]).add("query_id", queries.schema["query_id"].dataType).add("score", DoubleType())
+        run = _blocked(asked, columns, limit, within[1] if within else None, to_arrow_type(queries.schema["query_id"].dataType))
+        found = vectors.mapInArrow(run, schema) if asked else vectors.sparkSession.createDataFrame([], schema)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def _pairwise(vectors: DataFrame, queries: DataFrame, within: tuple[str, str] | None) -> DataFrame:
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = queries.select("query_id", "query_vector", norm("query_vector").alias("__qn"), (F.col(within[0]) if within else F.lit(None)).cast("string").alias("__within"))
+    pairs = vectors.withColumn("__n", norm("embedding")).filter("__n > 0").crossJoin(asked.filter("__qn > 0"))
+    if within:
+        pairs = pairs.filter(F.col("__within").isNull() | (F.col("__within") == F.col(within[1])))
+    return pairs.withColumn("score", dot(F.col("embedding"), F.col("query_vector")) / (F.col("__n") * F.col("__qn"))).drop("embedding", "query_vector", "__n", "__qn", "__within")
 
 
 def embed(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 8, to: str = "embedding") -> DataFrame:

@@ -178,8 +178,8 @@ class _Block:
         self.text, self.section = (held(np.flatnonzero(written & (field[of] == f))) for f in (TEXT, SECTION))
 
 
-_FOUND = "query_id bigint, chunk_id string, " + ", ".join(f"{c} bigint" for c in _Best.NUMBERS)
-_SCHEMA = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.string())] + [(c, pa.int64()) for c in _Best.NUMBERS])
+_FOUND = "asked bigint, chunk_id string, " + ", ".join(f"{c} bigint" for c in _Best.NUMBERS)
+_SCHEMA = pa.schema([("asked", pa.int64()), ("chunk_id", pa.string())] + [(c, pa.int64()) for c in _Best.NUMBERS])
 
 
 def _reader(asked: list[dict], numbers: dict[str, int], most: int, rejected: bool):
@@ -228,7 +228,7 @@ def _reader(asked: list[dict], numbers: dict[str, int], most: int, rejected: boo
             weigh(_Block(pa.Table.from_batches(held), local, len(mine)), best)
         for q, kept in zip(asked, best, strict=True):
             if len(kept.ids):
-                yield pa.RecordBatch.from_arrays([pa.array([q["query_id"]] * len(kept.ids), pa.int64()), pa.array(kept.ids, pa.string()), *[pa.array(x) for x in kept.rows]], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array([q["asked"]] * len(kept.ids), pa.int64()), pa.array(kept.ids, pa.string()), *[pa.array(x) for x in kept.rows]], schema=_SCHEMA)
 
     return run
 
@@ -238,7 +238,7 @@ def candidates(index: Index, queries: DataFrame, most: int, include_rejected: bo
     of. ``queries`` is told to every task, ``QUERIES`` of them at once."""
     if queries.limit(lexical.SMALL_ROWS + 1).count() > lexical.SMALL_ROWS:
         raise ValueError(f"one search takes {lexical.SMALL_ROWS} queries at most")
-    asked = [r.asDict() for r in queries.select("query_id", "work_uri", "normalized", "terms").collect()]
+    asked = [r.asDict() | {"asked": k} for k, r in enumerate(queries.select("query_id", "work_uri", "normalized", "terms").collect())]
     numbers = {t: k for k, t in enumerate(sorted({t for q in asked for t in q["terms"]}))}
     spark = queries.sparkSession
     terms = spark.createDataFrame(list(numbers.items()), "term string, number int").withColumn("low", F.lower("term"))
@@ -250,8 +250,10 @@ def candidates(index: Index, queries: DataFrame, most: int, include_rejected: bo
     for k in range(0, len(asked), QUERIES):
         part = laid.mapInArrow(_reader(asked[k : k + QUERIES], numbers, most, include_rejected), _FOUND)
         found = part if found is None else found.unionByName(part)
+    kind = queries.schema["query_id"].dataType.simpleString()
     if found is None:
-        return spark.createDataFrame([], _FOUND + ", candidate int")
+        return spark.createDataFrame([], f"query_id {kind}, " + _FOUND.removeprefix("asked bigint, ") + ", candidate int")
+    found = found.join(F.broadcast(spark.createDataFrame([(q["asked"], q["query_id"]) for q in asked], f"asked bigint, query_id {kind}")), "asked").drop("asked")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "place"))
     return found.withColumn("candidate", place).filter(F.col("candidate") <= most)
 

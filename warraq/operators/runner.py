@@ -35,7 +35,7 @@ class Corpus:
         spark = self.chunks.sparkSession
         dense.check_ready(spark, self.index_path, self.collection, self.model, self.dimension)
         held = spark.read.parquet(f"{self.index_path}/{self.collection}").select("embedding", "payload.*").filter(F.col("quality_status") != "REJECTED")
-        return dense.top_k(held, asked, limit, F.col("__asked").isNull() | (F.col("__asked") == F.col("work_uri"))).drop("__asked")
+        return dense.top_k(held, asked, limit, within=("__asked", "work_uri"))
 
 
 def _lexical(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:

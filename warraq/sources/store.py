@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from warraq.operators import postings
+from warraq.session import discard, materialize, ranked
+
 STATUSES = ("UNREVIEWED", "REVIEW_REQUIRED", "ACCEPTED", "REJECTED")
 SOURCE_RULES = {"provider": "new", "source_url": "new", "release": "new", "license": "coalesce", "copyright_status": "coalesce", "commercial_use_allowed": "coalesce", "attribution_required": "coalesce"}
 AUTHOR_RULES = {"name_display": "coalesce", "death_year_ah": "coalesce", "metadata": "unless_empty", "metadata_sha256": "coalesce"}
@@ -54,22 +60,69 @@ def index_rows(chunks: DataFrame, versions: DataFrame, works: DataFrame) -> Data
     return chunks.join(told.join(works.select("work_uri", "title_display"), "work_uri"), "version_uri")
 
 
-#: Parts of the chunk table, by version; a commit writes anew those of its versions.
+#: Parts of the chunk table and its index, by work; a commit writes anew those of its versions.
 BUCKETS = 64
+#: Seconds after which an unfinished state file is what a writer that died has left.
+UNFINISHED = 600
+#: Orders of ingest: of a version in its commit, and of a chunk in its version, at most these many bits each.
+_VERSION_BITS, _SEQUENCE_BITS = 22, 22
+_INDEX = ("lists", "heads", "words")
+
+
+def _bucket(work_uri: Column) -> Column:
+    return F.pmod(F.xxhash64(work_uri), F.lit(BUCKETS)).cast("int")
+
+
+def _missing(*names: str) -> dict[str, Column]:
+    return {f"{n} is missing": F.col(n).isNull() for n in names}
+
+
+def row_rules(table: str) -> dict[str, Column]:
+    """What is wrong with a row of a table, by rule."""
+    c = F.col
+    return {
+        "sources": lambda: _missing("source_key", "provider", "source_url"),
+        "authors": lambda: _missing("author_uri", "metadata"),
+        "works": lambda: _missing("work_uri", "author_uri", "metadata"),
+        "text_versions": lambda: _missing("version_uri", "work_uri", "source_key", "version_id", "quality_issues", "metadata", "text_header", "source_text_sha256", "source_metadata_sha256")
+        | {"quality_status is unknown": ~F.coalesce(c("quality_status").isin(*STATUSES), F.lit(False))},
+        "chunks": lambda: _missing("chunk_id", "version_uri", "sequence_no", "text_original", "text_normalized", "text_hash", "section_path", "content_kind")
+        | {
+            "source_start is negative": F.coalesce(c("source_start") < 0, F.lit(True)), "source_end is not behind source_start": F.coalesce(c("source_end") <= c("source_start"), F.lit(True)),
+            "page_side is neither A nor B": ~F.coalesce(c("page_side").isin("A", "B"), F.lit(True)), "a hash is not of 64 characters": F.coalesce((F.length("chunk_id") != 64) | (F.length("text_hash") != 64), F.lit(False)),
+        },
+    }[table]()
+
+
+def table_rules(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, n, example) of the keys that repeat and the references that lead nowhere. One plan: each rule gives the
+    keys that break it, and all are counted together."""
 
+    def repeated(table: str, *keys: str) -> DataFrame:
+        twice = tables[table].groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        return twice.select(F.lit(f"{table}: {', '.join(keys)} is not unique").alias("rule"), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]).alias("key"))
 
-def _bucket(version_uri: Column) -> Column:
-    return F.pmod(F.xxhash64(version_uri), F.lit(BUCKETS)).cast("int")
+    def dangling(table: str, key: str, to: str) -> DataFrame:
+        lost = tables[table].filter(F.col(key).isNotNull()).select(key).distinct().join(tables[to].select(key), key, "left_anti")
+        return lost.select(F.lit(f"{table}: {key} is not among {to}").alias("rule"), F.col(key).alias("key"))
+
+    found = [repeated("chunks", "chunk_id"), repeated("chunks", "version_uri", "sequence_no")]
+    found += [dangling(*x) for x in (("works", "author_uri", "authors"), ("text_versions", "work_uri", "works"), ("text_versions", "source_key", "sources"), ("chunks", "version_uri", "text_versions"))]
+    return reduce(DataFrame.unionByName, found).groupBy("rule").agg(F.count("*").alias("n"), F.min("key").alias("example"))
 
 
 class Store:
-    """Tables under one path. A commit writes new snapshots of the small tables and of the chunk parts that its
-    versions fall into, and then its state: which folder each table and part is in. States are numbered files
-    that never change. One appears at once and whole, so readers see all tables of a commit or none, and a number
-    is claimed before, so of two commits made from one state the second fails and can be made again."""
+    """Tables under one path, with the inverted index of the chunks (``operators.postings``). A commit writes new
+    snapshots of the small tables, of the parts of chunks and index that its works fall into, and then its state: which
+    folder each table and part is in. Rules of rows are observed by the writes themselves, those of keys and
+    references by one plan after them, and what breaks any names all rules that it breaks before it is made current.
+
+    States are numbered files that never change, and one is whole from its last character on. Whoever creates the next
+    number's file has made the commit, so of two made from one state the second fails and can be made again. A file
+    that its writer left unfinished is no state; after ``UNFINISHED`` seconds another commit takes its number."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, indexed: bool = True):
+        self.spark, self.path, self.indexed = spark, path.rstrip("/"), indexed
 
     def _fs(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -80,43 +133,73 @@ class Store:
         fs, target = self._fs(f"{self.path}/states")
         return sorted(n for x in fs.listStatus(target) if (n := x.getPath().getName()).isdigit()) if fs.exists(target) else []
 
+    def _told(self, name: str) -> str:
+        rows = self.spark.read.text(f"{self.path}/states/{name}", wholetext=True).collect()
+        return rows[0][0] if rows else ""
+
     def current(self) -> str | None:
         """The name of the last state."""
-        return (self._states() or [None])[-1]
+        return next((n for n in reversed(self._states()) if self._told(n).endswith("}\n")), None)
 
     def _state(self, name: str | None) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/states/{name}", wholetext=True).first()[0]) if name else {}
+        return json.loads(self._told(name)) if name else {}
 
     def read(self, table: str) -> DataFrame | None:
         return self._read(self._state(self.current()), table)
 
-    def _read(self, state: dict, table: str) -> DataFrame | None:
-        folders = sorted(state.get(table, {}).values())
+    def _read(self, state: dict, table: str, parts: list[str] | None = None) -> DataFrame | None:
+        folders = sorted(x for b, x in state.get(table, {}).items() if parts is None or b in parts)
         return self.spark.read.parquet(*[f"{self.path}/{x}" for x in folders]) if folders else None
 
+    def chunks_of(self, work_uri: str) -> DataFrame | None:
+        """The chunks of one work, from the files of its part alone; in these, rows stand in order of work."""
+        part = self.spark.range(1).select(_bucket(F.lit(work_uri))).first()[0]
+        held = self._read(self._state(self.current()), "chunks", [str(part)])
+        return None if held is None else held.filter(F.col("work_uri") == work_uri)
+
+    def index(self) -> postings.Index | None:
+        """The inverted index of the current state."""
+        state = self._state(self.current())
+        tables = [self._read(state, t) for t in _INDEX]
+        return None if any(t is None for t in tables) else postings.Index(*tables)
+
+    def search(self, queries: DataFrame, limit: int = 10, candidate_limit: int | None = None, include_rejected: bool = False) -> DataFrame:
+        """``lexical.search_batch`` of analyzed queries over the current chunks, by the index that is stored."""
+        index = self.index()
+        if index is None:
+            raise ValueError("this store has no chunks, or no index of them")
+        return postings.search_batch(index, self.read("chunks"), queries, limit, candidate_limit, include_rejected)
+
     def _publish(self, base: str | None, state: dict) -> str:
-        name = f"{int(base or 0) + 1:012d}"
-        fs, claim = self._fs(f"{self.path}/claims/{name}")
-        if not fs.createNewFile(claim):
-            raise RuntimeError(f"another commit was made from state {base}")
-        _, draft = self._fs(f"{self.path}/claims/{name}-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        _, final = self._fs(f"{self.path}/states/{name}")
+        name, told = f"{int(base or 0) + 1:012d}", json.dumps(state | {"commit": {"id": uuid.uuid4().hex}}) + "\n"
+        fs, final = self._fs(f"{self.path}/states/{name}")
         fs.mkdirs(final.getParent())
-        if not fs.rename(draft, final):
-            raise RuntimeError(f"state {name} could not be written")
+        if fs.exists(final) and not self._told(name).endswith("}\n") and time.time() - fs.getFileStatus(final).getModificationTime() / 1000 > UNFINISHED:
+            fs.delete(final, False)
+        try:
+            out = fs.create(final, False)
+        except Py4JJavaError as error:
+            raise RuntimeError(f"another commit was made from state {base}") from error
+        out.write(bytearray(told.encode()))
+        out.close()
+        if self._told(name) != told:
+            raise RuntimeError(f"another commit took the number {name}")
         return name
 
+    def _write(self, df: DataFrame, table: str, path: str, partition_by: str | None = None) -> list[str]:
+        """Writes rows, and tells the rules that some of them break."""
+        rules = row_rules(table)
+        seen = Observation()
+        writer = df.observe(seen, *[F.count_if(broken).alias(rule) for rule, broken in rules.items()]).write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        return [f"{table}: {rule} ({n} rows)" for rule, n in seen.get.items() if n]
+
     def commit(self, tables: dict[str, DataFrame]) -> str:
         """Merges what came into the current state and makes the result current."""
         base = self.current()
         state = self._state(base)
-        versions, old = tables["text_versions"], self._read(state, "text_versions")
-        bad = versions.filter(~F.col("quality_status").isin(*STATUSES)).limit(1).collect()
-        if bad:
-            raise ValueError(f"unknown quality status {bad[0]['quality_status']}")
+        # What came is derived once for each table: for the checks here, and by the writes below.
+        versions, old = materialize(tables["text_versions"].select("version_uri", "source_text_sha256")), self._read(state, "text_versions")
         twice = versions.groupBy("version_uri").agg(F.count_distinct("source_text_sha256").alias("n")).filter("n > 1").limit(1).collect()
         if twice:
             raise ValueError(f"version {twice[0]['version_uri']} came with two texts")
@@ -124,18 +207,46 @@ class Store:
             changed = version_conflicts(old, versions).limit(1).collect()
             if changed:
                 raise ValueError(f"version {changed[0]['version_uri']} is stored with another text")
-        name, new = uuid.uuid4().hex, dict(state)
+        name, new, broken, merged = uuid.uuid4().hex, {k: v for k, v in state.items() if k != "commit"}, [], {}
         for table, (key, rules) in KEYS.items():
             stored = self._read(state, table)
-            merged = tables[table].select(key, *rules) if stored is None else upsert(stored, tables[table], key, rules)
-            merged.dropDuplicates([key]).write.parquet(f"{self.path}/snapshots/{name}/{table}")
+            rows = tables[table].select(key, *rules) if stored is None else upsert(stored, tables[table], key, rules)
+            broken += self._write(rows.dropDuplicates([key]), table, f"{self.path}/snapshots/{name}/{table}")
             new[table] = {"all": f"snapshots/{name}/{table}"}
-        parts = state.get("chunks", {})
-        touched = sorted(str(r[0]) for r in versions.select(_bucket(F.col("version_uri"))).distinct().collect())  # BUCKETS at most
-        held = [f"{self.path}/{parts[b]}" for b in touched if b in parts]
-        chunks = replace_chunks(self.spark.read.parquet(*held), tables["chunks"], versions) if held else tables["chunks"]
-        chunks.withColumn("bucket", _bucket(F.col("version_uri"))).write.partitionBy("bucket").parquet(f"{self.path}/snapshots/{name}/chunks")
+            merged[table] = self._read(new, table)
+        works = merged["text_versions"].select("version_uri", "work_uri", "quality_status")
+        came = versions.select("version_uri").distinct()
+        # A version may have changed its work: the part it was in is written anew, too.
+        homes = came.join(works, "version_uri").select("work_uri")
+        homes = homes if old is None else homes.union(came.join(old, "version_uri").select("work_uri"))
+        touched = sorted(str(r[0]) for r in homes.select(_bucket(F.col("work_uri"))).distinct().collect())  # BUCKETS at most
+        number = int(base or 0) + 1
+        order = F.lit(number).cast("long") * (1 << (_VERSION_BITS + _SEQUENCE_BITS)) + F.col("__place") * (1 << _SEQUENCE_BITS) + F.col("sequence_no")
+        incoming = tables["chunks"].join(ranked(came, "version_uri"), "version_uri", "left").withColumn("ingest_order", order).drop("__place")
+        stored = self._read(state, "chunks", touched)
+        chunks = incoming if stored is None else replace_chunks(stored.drop("work_uri"), incoming, versions)
+        placed = chunks.join(works.select("version_uri", "work_uri"), "version_uri", "left").withColumn("bucket", _bucket(F.col("work_uri")))
+        broken += self._write(placed.repartition("bucket").sortWithinPartitions("bucket", "work_uri", "version_uri", "sequence_no"), "chunks", f"{self.path}/snapshots/{name}/chunks", "bucket")
+        merged["chunks"] = self.spark.read.schema(placed.schema).parquet(f"{self.path}/snapshots/{name}/chunks")
+        broken += [f"{r['rule']} ({r['n']}, such as {r['example']})" for r in table_rules(merged).collect()]
+        discard(versions)
+        if broken:
+            raise ValueError("; ".join(sorted(broken)))
         fs, _ = self._fs(self.path)
-        there = {b: f"snapshots/{name}/chunks/bucket={b}" for b in touched}
-        new["chunks"] = {b: x for b, x in parts.items() if b not in there} | {b: x for b, x in there.items() if fs.exists(self._fs(f"{self.path}/{x}")[1])}
+
+        def laid(table: str) -> None:
+            there = {b: f"snapshots/{name}/{table}/bucket={b}" for b in touched}
+            new[table] = {b: x for b, x in state.get(table, {}).items() if b not in there} | {b: x for b, x in there.items() if fs.exists(self._fs(f"{self.path}/{x}")[1])}
+
+        laid("chunks")
+        if self.indexed:
+            part = self._read(new, "chunks", touched)
+            if part is not None:
+                told = part.join(works.select("version_uri", "quality_status"), "version_uri").withColumn("part", _bucket(F.col("work_uri")))
+                listed = materialize(postings.lists(told))
+                for table, rows in zip(_INDEX, (listed, postings.heads(told), postings.words(listed)), strict=True):
+                    rows.withColumn("bucket", F.col("part")).repartition("bucket").sortWithinPartitions("bucket", "part", *([] if table == "heads" else ["key"])).write.partitionBy("bucket").parquet(f"{self.path}/snapshots/{name}/{table}")
+                discard(listed)
+            for table in _INDEX:
+                laid(table)
         return self._publish(base, new)
