@@ -202,7 +202,7 @@ def test_nearest_by_blocks(spark, monkeypatch, bound):
 
     draw = random.Random(6)
     some = lambda: [float(draw.choice((-1, 0, 1, 2))) * draw.choice((1.0, 0.1)) for _ in range(7)]
-    rows = [(f"c{i:03d}", f"w{i % 3}", draw.choice((some(), some(), [1.0, 2, 0, 0, 0, 0, 1], [0.0] * 7, None))) for i in range(300)]
+    rows = [(f"c{i:03d}", f"w{i % 3}", draw.choice((some(), some(), [1.0, 2.0, 0.0, 0.0, 0.0, 0.0, 1.0], [0.0] * 7, None))) for i in range(300)]
     vectors = spark.createDataFrame(rows, "chunk_id string, work_uri string, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(k, some()[:6] + [3.0], draw.choice((None, "w1"))) for k in range(9)], "query_id long, query_vector array<float>, work string")
     told = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in df.collect())
