@@ -1,11 +1,15 @@
 """From tagged text to chunks and the store."""
 
+import datetime
+import decimal
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from warraq.operators import ingest, lexical
+from warraq.functions.identity import tree_fingerprint
+from warraq.operators import dense, ingest, lexical
 from warraq.queries import QUERIES
 from warraq.session import materialize
 from warraq.sources import store as store_module
@@ -243,6 +247,13 @@ def test_stream(spark, tmp_path):
 
     watch(spark, str(tmp_path / "in"), store, tables, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert store.read("text_versions").count() == 1 and store.read("chunks").count() > 0
+    ((stream, number),) = store._state(store.current())["batches"].items()
+    assert len(stream) == 36 and number == 0
+    # The batch again, as after a writer that died before its stream took note: no second state.
+    again = tables(raw(spark, TEXT))
+    assert store.commit(again, (stream, 0)) == store.current() == "000000000001"
+    assert store.commit(again, (stream, 1)) == "000000000002" and store.commit(again, ("other", 0)) == "000000000003"
+    assert store._state(store.current())["batches"] == {stream: 1, "other": 0}
 
 
 def test_legacy_structure_reads_whole_texts(spark, tmp_path):
@@ -259,3 +270,87 @@ def test_legacy_structure_reads_whole_texts(spark, tmp_path):
             cuts.append(max(body.rfind(x, cuts[-1], cuts[-1] + 1800) for x in " \n") + 1)
         cuts.append(len(body))
         assert found[i] == [(a, b, hashlib.sha256(body[a:b].encode()).hexdigest()) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def several(spark, k, status="ACCEPTED", text=TEXT, **told):
+    docs = documents(spark, text, version=VERSION.replace("KitabAnhar", f"Kitab{k}"), book=BOOK.replace("KitabAnhar", f"Kitab{k}"))
+    return tagged.tables(docs, "p", "http://x", quality_status=status, **told)
+
+
+def test_digests_follow_commits(spark, tmp_path, monkeypatch):
+    """The digest of the store equals one made of all chunks after every commit, and a commit reads its own versions only."""
+    store, read = Store(spark, str(tmp_path / "store"), indexed=False), []
+    kept = lambda: index_rows(*[store.read(t) for t in ("chunks", "text_versions", "works")])
+    assert store.fingerprint() == tree_fingerprint(spark.createDataFrame([], "chunk_id string, quality_status string, sequence_no int, text_hash string, version_uri string, work_uri string"))
+    make = store_module.version_digests
+    monkeypatch.setattr(store_module, "version_digests", lambda chunks: read.append({r.version_uri for r in chunks.select("version_uri").distinct().collect()}) or make(chunks))
+    monkeypatch.setattr(store_module, "BUCKETS", 2)
+    seen = []
+    for k, status in ((0, "ACCEPTED"), (1, "ACCEPTED"), (2, "UNREVIEWED"), (3, "REJECTED"), (1, "REVIEW_REQUIRED"), (0, "REJECTED"), (3, "ACCEPTED")):
+        store.commit(several(spark, k, status))
+        seen.append(store.fingerprint())
+        assert seen[-1] == tree_fingerprint(kept()) and seen[-1].n_chunks == kept().count()
+        assert read.pop() <= {f"0700Someone.Kitab{k}.Lib0001-ara1"} and not read
+    assert len({r.fingerprint for r in seen}) == 6  # a version that is rejected from the start changes nothing
+    # An index is held against the stored digest, and what came after it makes it stale.
+    path = str(tmp_path / "vectors")
+    dense.build(kept(), F.array(F.lit(1.0), F.lit(2.0)), path, "c", "m", 2)
+    dense.check_fresh(store.read("chunks"), path, "c", store.fingerprint())
+    store.commit(several(spark, 4))
+    with pytest.raises(ValueError, match="stale"):
+        dense.check_fresh(store.read("chunks"), path, "c", store.fingerprint())
+    # A state from before there were digests gets all of them by its next commit.
+    state = {k: v for k, v in store._state(store.current()).items() if k not in ("digests", "commit")}
+    store._publish(store.current(), state)
+    assert store.fingerprint() == tree_fingerprint(kept())
+    store.commit(several(spark, 5))
+    assert "digests" in store._state(store.current()) and store.fingerprint() == tree_fingerprint(kept())
+
+
+def test_answers_are_whole_and_requests_are_bounded(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit(several(spark, 0, license="L", commercial_use_allowed="no", attribution_required="unknown"))
+    store.commit(several(spark, 1, "REJECTED"))
+    told = json.loads(store.answer("  جسر من خشب ", 5).first().json)
+    assert list(told) == ["query", "normalized_query", "terms", "count", "retrieval", "generated_answer", "results"]
+    assert (told["query"], told["retrieval"], told["generated_answer"], told["count"]) == ("جسر من خشب", "deterministic_lexical_v2", None, len(told["results"]))
+    first, works = told["results"][0], {r["citation"]["work_uri"] for r in told["results"]}
+    assert works == {"0700Someone.Kitab0"} and [r["rank"] for r in told["results"]] == list(range(1, told["count"] + 1))
+    assert list(first) == ["rank", "score", "coverage", "matched_terms", "total_terms", "phrase_hits", "term_hits", "section_hits", "citation", "passage_original", "passage_normalized"]
+    assert first["phrase_hits"] == 1 and "جسر من خشب" in first["passage_original"]
+    cited = first["citation"]
+    assert cited["rights"] == {"license": "L", "copyright_status": None, "commercial_use_allowed": False, "attribution_required": None}
+    assert (cited["author"], cited["provider"], cited["source_url"], cited["section_title"], cited["page"]) == ("فلان", "p", "http://x", "فصل الجسور", 42)
+    assert cited["source_text_sha256"] == hashlib.sha256(TEXT.encode()).hexdigest() and cited["bibliographic_provenance"]["verification_status"] == "UNVERIFIED"
+    both = json.loads(store.answer("جسر", 5, include_rejected=True).first().json)
+    assert {r["citation"]["quality_status"] for r in both["results"]} == {"ACCEPTED", "REJECTED"}
+    none = json.loads(store.answer("غائب", work_uri="0700Someone.Kitab0").first().json)
+    assert (none["count"], none["results"]) == (0, [])
+    for query, bounds, said in ((" ", {}, "blank"), ("", {}, "query"), ("x" * 501, {}, "query"), ("x", {"limit": 51}, "limit"), ("x", {"limit": 0}, "limit"), ("x", {"work_uri": "u" * 256}, "work_uri"), ("جسر", {"preview_chars": 99}, "preview_chars")):
+        with pytest.raises(ValueError, match=said):
+            store.answer(query, **bounds)
+    with pytest.raises(Exception, match="searchable terms"):
+        store.answer("!").collect()
+
+
+@pytest.mark.parametrize(("told", "held"), [("yes", True), (" No ", False), ("UNKNOWN", None), (True, True), (None, None)])
+def test_rights_are_told_in_three_ways(spark, told, held):
+    assert several(spark, 0, commercial_use_allowed=told)["sources"].first().commercial_use_allowed is held
+
+
+def test_bad_rights_and_status(spark, tmp_path):
+    with pytest.raises(Exception, match="yes, no, or unknown"):
+        tagged.ingest_files(spark, None, ["t"], ["v"], dry_run=True, attribution_required="perhaps")
+    with pytest.raises(ValueError, match="quality_status"):
+        tagged.ingest_files(spark, None, ["t"], ["v"], dry_run=True, quality_status="GOOD")
+
+
+def test_values_as_json_can_hold_them(spark):
+    day, time = datetime.date(2026, 1, 2), datetime.datetime(2026, 1, 2, 3, 4, 5)
+    kind = "a date, b timestamp, c timestamp, d map<int,date>, e array<struct<x:decimal(5,2),y:double>>, f string, g boolean, h binary, i struct<z:date>"
+    row = (day, time, time.replace(microsecond=250000), {1: day}, [(decimal.Decimal("1.50"), 0.5)], "t", True, b"q", (day,))
+    df = spark.createDataFrame([row, (None,) * 9], kind)
+    out = df.select(F.to_json(ingest.json_safe(F.struct(*df.columns), df.schema), {"ignoreNullFields": "false"}))
+    full, empty = (json.loads(r[0]) for r in out.collect())
+    assert full == {"a": "2026-01-02", "b": "2026-01-02T03:04:05", "c": "2026-01-02T03:04:05.250000", "d": {"1": "2026-01-02"}, "e": [{"x": "1.50", "y": 0.5}], "f": "t", "g": True, "h": "q", "i": {"z": "2026-01-02"}}
+    assert set(empty.values()) == {None}

@@ -48,9 +48,16 @@ def test_half_even(spark):
 def test_tree_fingerprint(spark):
     names = "chunk_id string, quality_status string, sequence_no int, text_hash string, version_uri string, work_uri string"
     rows = [(f"c{i}", "ACCEPTED", i, f"h{i}", f"v{i % 3}", f"w{i % 2}") for i in range(50)]
-    told = [hashlib.sha256("".join(f'{{"chunk_id":"{c}","quality_status":"{q}","sequence_no":{n},"text_hash":"{h}","version_uri":"{v}","work_uri":"{w}"}}\n' for c, q, n, h, v, w in part).encode()).hexdigest() for part in [sorted(rows, key=lambda r: (r[5], r[4], r[2], r[0]))[k : k + 4] for k in range(0, 50, 4)]]
+    digest = lambda lines: hashlib.sha256("".join(lines).encode()).hexdigest()
+    fours = lambda lines: [digest(lines[k : k + 4]) for k in range(0, len(lines), 4)]
+    told = []
+    for w, v in sorted({(r[5], r[4]) for r in rows}):
+        own = sorted((r for r in rows if r[4:] == (v, w)), key=lambda r: (r[2], r[0]))
+        runs = [digest(f'{{"chunk_id":"{c}","quality_status":"{q}","sequence_no":{n},"text_hash":"{h}","version_uri":"{v}","work_uri":"{w}"}}\n' for c, q, n, h, _, _ in own if n // 4 == k) for k in sorted({r[2] // 4 for r in own})]
+        told.append(f'{{"digest":"{digest(runs)}","n_chunks":{len(own)},"version_uri":"{v}","work_uri":"{w}"}}')
+    told = fours(told)
     while len(told) > 1:
-        told = [hashlib.sha256("".join(told[k : k + 4]).encode()).hexdigest() for k in range(0, len(told), 4)]
+        told = fours(told)
     found = identity.tree_fingerprint(spark.createDataFrame(rows[::-1], names), 4)
     assert (found.fingerprint, found.n_chunks) == (told[0], 50)
     assert identity.tree_fingerprint(spark.createDataFrame([], names)).n_chunks == 0

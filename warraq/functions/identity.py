@@ -69,20 +69,39 @@ def chunk_fingerprint(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return grouped.agg(sha256(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "")).alias("fingerprint"), F.count("*").alias("n_chunks"))
 
 
-def tree_fingerprint(chunks: DataFrame, fan: int = FAN) -> Row:
-    """(fingerprint, n_chunks) of any number of chunks: the lines of ``chunk_fingerprint`` in its order, ``fan`` of
-    them to a digest, then ``fan`` digests to a digest, up to a single one. No task holds more of one run."""
-    order = ("work_uri", "version_uri", "sequence_no", "chunk_id")
-    level = ranked(chunks.select(*order, _line().alias("line")), *order, "line").select("__place", "line")
-    n = level.count()
-    left = n
+def version_digests(chunks: DataFrame, fan: int = FAN) -> DataFrame:
+    """(work_uri, version_uri, digest, n_chunks), one row a version: the lines of ``chunk_fingerprint`` in order of
+    sequence number and chunk id, ``fan`` sequence numbers to a digest, and one digest over these. A version's row
+    depends on its own chunks alone, so a commit makes new ones for the versions that came and keeps the others."""
+    keys = ("work_uri", "version_uri")
+    row = F.struct("sequence_no", "chunk_id", _line().alias("line"))
+    runs = chunks.groupBy(*keys, F.floor(F.col("sequence_no") / fan).alias("run")).agg(_digest(row).alias("line"), F.count("*").alias("n"))
+    return runs.groupBy(*keys).agg(_digest(F.struct("run", "line")).alias("digest"), F.sum("n").alias("n_chunks"))
+
+
+def _digest(row: Column) -> Column:
+    """One digest over the lines of a group's rows, in the order of the fields before the line."""
+    return sha256(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), ""))
+
+
+def root(digests: DataFrame, fan: int = FAN) -> Row:
+    """(fingerprint, n_chunks) of a corpus from the digests of its versions in order of work and version: ``fan`` of
+    them to a digest, then ``fan`` digests to a digest, up to a single one. No task holds more than ``fan`` of them."""
+    line = F.to_json(F.struct("digest", "n_chunks", "version_uri", "work_uri")).alias("line")
+    held = ranked(digests.select("work_uri", "version_uri", "n_chunks", line), "work_uri", "version_uri")
+    n, left = held.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)), F.count("*")).first()
+    if not left:
+        return Row(fingerprint=hashlib.sha256(b"").hexdigest(), n_chunks=0)
+    level = held.select("__place", "line")
     while True:
-        runs = level.groupBy(F.floor(F.col("__place") / fan).alias("run")).agg(sha256(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__place", "line"))), lambda x: x["line"]), "")).alias("line"))
-        level, left = materialize(runs.withColumnRenamed("run", "__place")), -(-left // fan)
-        if left <= 1:
-            break
-    top = level.first()
-    return Row(fingerprint=top["line"] if top else hashlib.sha256(b"").hexdigest(), n_chunks=n)
+        level, left = materialize(level.groupBy(F.floor(F.col("__place") / fan).alias("run")).agg(_digest(F.struct("__place", "line")).alias("line")).withColumnRenamed("run", "__place")), -(-left // fan)
+        if left == 1:
+            return Row(fingerprint=level.first()["line"], n_chunks=n)
+
+
+def tree_fingerprint(chunks: DataFrame, fan: int = FAN) -> Row:
+    """(fingerprint, n_chunks) of any number of chunks: ``root`` of the digests of all versions, made anew."""
+    return root(version_digests(chunks, fan), fan)
 
 
 def corpus_fingerprint(versions: DataFrame) -> DataFrame:
@@ -94,3 +113,18 @@ def corpus_fingerprint(versions: DataFrame) -> DataFrame:
     row = F.struct("version_uri", line.alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), ",")
     return versions.agg(sha256(F.concat(F.lit("["), joined, F.lit("]"))).alias("fingerprint"), F.count("*").alias("n_versions"))
+
+
+BENCHMARK_FIELDS = ("provider", "quality_status", "release", "source_metadata_sha256", "source_text_sha256", "version_uri", "work_uri")
+
+
+def benchmark_fingerprint(versions: DataFrame, cases: DataFrame) -> str:
+    """The digest of the corpus that a benchmark is run over, in its report: all versions with their sources as a JSON
+    array in order of work and version, or those of the works named where every case names one."""
+    if cases.filter("work_uri is null").isEmpty():
+        versions = versions.join(cases.select("work_uri").distinct(), "work_uri", "left_semi")
+    _bounded(versions)
+    line = F.to_json(F.struct(*[F.col(f) for f in BENCHMARK_FIELDS]), {"ignoreNullFields": "false"})
+    row = F.struct("work_uri", "version_uri", line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), ",")
+    return versions.agg(sha256(F.concat(F.lit("["), joined, F.lit("]")))).first()[0]

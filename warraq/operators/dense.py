@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructType
@@ -207,10 +207,11 @@ def check_ready(spark: SparkSession, path: str, collection: str, model: str, dim
         raise ValueError(f"index {collection} is not ready for {model} ({dimension}): {row.asDict()}")
 
 
-def check_fresh(chunks: DataFrame, path: str, collection: str) -> None:
-    """The index must stand for exactly the chunks there are now."""
+def check_fresh(chunks: DataFrame, path: str, collection: str, told: Row | None = None) -> None:
+    """The index must stand for exactly the chunks there are now. ``told``: their fingerprint, as ``Store.fingerprint``
+    has it from digests that commits keep; else it is made from all chunks."""
     spark = chunks.sparkSession
-    row, now = read_manifest(spark, path, collection).first(), tree_fingerprint(chunks.filter(F.col("quality_status") != "REJECTED"))
+    row, now = read_manifest(spark, path, collection).first(), told or tree_fingerprint(chunks.filter(F.col("quality_status") != "REJECTED"))
     held = spark.read.parquet(f"{path}/{collection}").count()
     if row["corpus_fingerprint"] != now["fingerprint"] or row["point_count"] != now["n_chunks"] or held != row["point_count"]:
         raise ValueError(f"index {collection} is stale")

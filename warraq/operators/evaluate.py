@@ -26,7 +26,8 @@ def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
     if broken:
         raise ValueError(f"benchmark {path}: {broken[0]}")
     raw = told.select("benchmark_sha256", F.from_json("json", BENCHMARK, {"mode": "FAILFAST"}).alias("b"))
-    cases = raw.select("benchmark_sha256", "b.dataset_id", F.posexplode_outer("b.cases").alias("position", "c")).select("benchmark_sha256", "dataset_id", "position", "c.*")
+    version = F.coalesce("b.schema_version", F.lit(1)).alias("schema_version")
+    cases = raw.select("benchmark_sha256", "b.dataset_id", version, F.posexplode_outer("b.cases").alias("position", "c")).select("benchmark_sha256", "dataset_id", "schema_version", "position", "c.*")
     k = F.coalesce("k", F.lit(5))
     filled = cases.withColumns({"query_type": F.coalesce("query_type", F.lit("direct")), "difficulty": F.coalesce("difficulty", F.lit("medium")), "k": k, "max_rank": F.coalesce("max_first_relevant_rank", k)}).withColumnRenamed("id", "case_id")
     broken = violations(filled).limit(1).collect()

@@ -87,8 +87,13 @@ def payload(results: DataFrame, records: DataFrame, preview_chars: int | None =
     )
 
 
+#: The fields of an answer, in their order.
+ANSWER = ("query", "normalized_query", "terms", "count", "retrieval", "generated_answer", "results")
+
+
 def response(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row a query, as the JSON answer has it; no answer is ever generated."""
+    """One row a query, as the JSON answer has it, without results where there are none; no answer is ever generated."""
     rows = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in results.columns if c not in ("query_id", "rank")]))).alias("results"))
     held = queries.join(rows, "query_id", "left")
-    return held.select("query_id", "query", F.col("normalized").alias("normalized_query"), "terms", F.coalesce(F.size("results"), F.lit(0)).alias("count"), F.lit(RETRIEVAL_ID).alias("retrieval"), F.lit(None).cast("string").alias("generated_answer"), "results")
+    told = F.coalesce("results", F.array().cast(rows.schema["results"].dataType))
+    return held.select("query_id", "query", F.col("normalized").alias("normalized_query"), "terms", F.size(told).alias("count"), F.lit(RETRIEVAL_ID).alias("retrieval"), F.lit(None).cast("string").alias("generated_answer"), told.alias("results"))

@@ -8,10 +8,11 @@ import uuid
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.operators import postings
+from warraq.functions.identity import root, version_digests
+from warraq.operators import lexical, postings, present
 from warraq.session import discard, materialize, ranked
 
 STATUSES = ("UNREVIEWED", "REVIEW_REQUIRED", "ACCEPTED", "REJECTED")
@@ -57,7 +58,7 @@ def replace_chunks(stored: DataFrame, incoming: DataFrame, versions: DataFrame)
 def index_rows(chunks: DataFrame, versions: DataFrame, works: DataFrame) -> DataFrame:
     """What an index is built from: the chunks of versions that are not rejected, with their work, status and hash."""
     told = versions.filter(F.col("quality_status") != "REJECTED").select("version_uri", "work_uri", "quality_status", "source_text_sha256")
-    return chunks.join(told.join(works.select("work_uri", "title_display"), "work_uri"), "version_uri")
+    return chunks.drop("work_uri").join(told.join(works.select("work_uri", "title_display"), "work_uri"), "version_uri")
 
 
 #: Parts of the chunk table and its index, by work; a commit writes anew those of its versions.
@@ -170,6 +171,38 @@ class Store:
             raise ValueError("this store has no chunks, or no index of them")
         return postings.search_batch(index, self.read("chunks"), queries, limit, candidate_limit, include_rejected)
 
+    def fingerprint(self) -> Row:
+        """``identity.tree_fingerprint`` of the chunks that are not rejected, from the digests that commits keep: one
+        row a version is read, and no chunk."""
+        state = self._state(self.current())
+        held = self._read(state, "digests")
+        if held is None:
+            held = self.spark.createDataFrame([], "work_uri string, version_uri string, digest string, n_chunks long") if "digests" in state or "chunks" not in state else self._digests(state)
+        return root(held)
+
+    def _digests(self, state: dict, parts: list[str] | None = None, came: DataFrame | None = None) -> DataFrame:
+        """The digests of a state's versions, or of those that came."""
+        chunks, versions, works = self._read(state, "chunks", parts), self._read(state, "text_versions"), self._read(state, "works")
+        return version_digests(index_rows(chunks if came is None else chunks.join(came, "version_uri", "left_semi"), versions, works))
+
+    def cited(self, results: DataFrame) -> DataFrame:
+        """Results with what a citation says of their version, source, work and author."""
+        state = self._state(self.current())
+        versions, works, authors, sources = (self._read(state, t) for t in ("text_versions", "works", "authors", "sources"))
+        held = versions.select("version_uri", "source_key", "quality_status", "quality_issues", "source_text_sha256", "source_metadata_sha256")
+        named = works.select("work_uri", "author_uri", F.col("title_display").alias("work_title"))
+        out = lexical.small(results).join(held, "version_uri").join(sources, "source_key").drop("source_key")
+        return out.join(named, "work_uri").join(authors.select("author_uri", F.col("name_display").alias("author_name")), "author_uri")
+
+    def answer(self, query: str, limit: int = 10, work_uri: str | None = None, include_rejected: bool = False, preview_chars: int | None = None) -> DataFrame:
+        """One row, ``json``: the answer to one request, which is held to the bounds of requests first. It has ranked
+        passages with their citations, and no generated text."""
+        asked = lexical.check_request(query, limit, work_uri)
+        queries = lexical.analyze(self.spark.createDataFrame([(0, asked, work_uri)], "query_id int, query string, work_uri string"))
+        found = materialize(self.search(queries, limit, include_rejected=include_rejected).drop("query", "normalized", "terms"))
+        told = present.payload(self.cited(found), present.catalog(self.spark), preview_chars)
+        return present.response(told, queries).select(F.to_json(F.struct(*present.ANSWER), {"ignoreNullFields": "false"}).alias("json"))
+
     def _publish(self, base: str | None, state: dict) -> str:
         name, told = f"{int(base or 0) + 1:012d}", json.dumps(state | {"commit": {"id": uuid.uuid4().hex}}) + "\n"
         fs, final = self._fs(f"{self.path}/states/{name}")
@@ -194,10 +227,13 @@ class Store:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return [f"{table}: {rule} ({n} rows)" for rule, n in seen.get.items() if n]
 
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Merges what came into the current state and makes the result current."""
+    def commit(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> str:
+        """Merges what came into the current state and makes the result current. ``batch``: the stream that it comes
+        from and its number there; a state remembers the last of each stream, and a batch given again changes nothing."""
         base = self.current()
         state = self._state(base)
+        if batch and state.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return base
         # What came is derived once for each table: for the checks here, and by the writes below.
         versions, old = materialize(tables["text_versions"].select("version_uri", "source_text_sha256")), self._read(state, "text_versions")
         twice = versions.groupBy("version_uri").agg(F.count_distinct("source_text_sha256").alias("n")).filter("n > 1").limit(1).collect()
@@ -229,13 +265,13 @@ class Store:
         broken += self._write(placed.repartition("bucket").sortWithinPartitions("bucket", "work_uri", "version_uri", "sequence_no"), "chunks", f"{self.path}/snapshots/{name}/chunks", "bucket")
         merged["chunks"] = self.spark.read.schema(placed.schema).parquet(f"{self.path}/snapshots/{name}/chunks")
         broken += [f"{r['rule']} ({r['n']}, such as {r['example']})" for r in table_rules(merged).collect()]
-        discard(versions)
         if broken:
+            discard(versions)
             raise ValueError("; ".join(sorted(broken)))
         fs, _ = self._fs(self.path)
 
-        def laid(table: str) -> None:
-            there = {b: f"snapshots/{name}/{table}/bucket={b}" for b in touched}
+        def laid(table: str, parts: list[str] = touched) -> None:
+            there = {b: f"snapshots/{name}/{table}/bucket={b}" for b in parts}
             new[table] = {b: x for b, x in state.get(table, {}).items() if b not in there} | {b: x for b, x in there.items() if fs.exists(self._fs(f"{self.path}/{x}")[1])}
 
         laid("chunks")
@@ -249,4 +285,15 @@ class Store:
                 discard(listed)
             for table in _INDEX:
                 laid(table)
+        # A state that has no digests yet gets those of all its versions.
+        had, parts = "digests" in state or "chunks" not in state, touched if "digests" in state else sorted(new["chunks"])
+        if any(b in new["chunks"] for b in parts):
+            rows = self._digests(new, parts, came if had else None)
+            kept = self._read(state, "digests", parts)
+            rows = rows if kept is None else rows.unionByName(kept.select(*rows.columns).join(came, "version_uri", "left_anti"))
+            rows.withColumn("bucket", _bucket(F.col("work_uri"))).repartition("bucket").sortWithinPartitions("bucket", "work_uri").write.partitionBy("bucket").parquet(f"{self.path}/snapshots/{name}/digests")
+        laid("digests", parts)
+        if batch:
+            new["batches"] = state.get("batches", {}) | {batch[0]: batch[1]}
+        discard(versions)
         return self._publish(base, new)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from warraq.functions.identity import sha256, source_key
 from warraq.operators import ingest
 from warraq.session import discard, materialize
-from warraq.sources.store import Store
+from warraq.sources.store import STATUSES, Store
 
 
 def clean(raw: Column) -> Column:
@@ -57,12 +57,20 @@ def documents(texts: DataFrame, versions: DataFrame, books: DataFrame | None = N
     )
 
 
+#: What a source's licence allows and asks for: known to be so, known not to be, or unknown.
+RIGHTS = ("commercial_use_allowed", "attribution_required")
+
+
+def right(told: bool | str | None) -> Column:
+    """A right as it is told: yes, no or unknown as text, else true, false or null."""
+    return ingest.optional_bool(F.lit(told)) if isinstance(told, str) else F.lit(told).cast("boolean")
+
+
 def tables(docs: DataFrame, provider: str, source_url: str, release: str | None = None, quality_status: str = "UNREVIEWED", max_chars: int = 1800, **rights) -> dict[str, DataFrame]:
     """The rows that a store commits for ``documents``."""
     spark = docs.sparkSession
     told = {"provider": provider, "source_url": source_url, "release": release, "license": None, "copyright_status": None} | {k: v for k, v in rights.items() if k in ("license", "copyright_status")}
-    flags = {k: rights.get(k) for k in ("commercial_use_allowed", "attribution_required")}
-    one = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in told.items()], *[F.lit(v).cast("boolean").alias(k) for k, v in flags.items()])
+    one = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in told.items()], *[right(rights.get(k)).alias(k) for k in RIGHTS])
     sources = one.withColumn("source_key", source_key(F.col("provider"), F.col("source_url"), F.col("release")))
     versions = docs.crossJoin(F.broadcast(sources.select("source_key"))).withColumn("quality_status", F.lit(quality_status)).withColumn("metadata", F.col("version_metadata"))
     return {
@@ -82,6 +90,9 @@ def ingest_files(spark: SparkSession, store: Store | None, texts: list[str], ver
         raise ValueError("each text needs one file of each kind of metadata")
     if not dry_run and not (source_url and store):
         raise ValueError("a store and source_url are needed unless dry_run is set")
+    if told.get("quality_status", STATUSES[0]) not in STATUSES:
+        raise ValueError(f"quality_status must be one of {', '.join(STATUSES)}")
+    spark.range(1).select(*[right(told.get(k)).alias(k) for k in RIGHTS]).collect()  # an error before any file is read
 
     def read(paths: list[str]) -> DataFrame:
         parts = [read_files(spark, x).select(F.lit(str(k)).alias("key"), "raw") for k, x in enumerate(paths)]
