@@ -90,7 +90,8 @@ def found_together(cases: DataFrame, corpus: Corpus, retriever: str) -> DataFram
     k is 50 at most."""
     search, queries, found = _retriever(corpus, retriever), _asked(cases), None
     for (k,) in sorted(cases.select("k").distinct().collect()):
-        part = search(corpus, queries.filter(F.col("k") == k).drop("k"), k).select("query_id", "chunk_id", "rank")
+        # Written, for a union of rankings that are laid by query is not itself laid so.
+        part = materialize(search(corpus, queries.filter(F.col("k") == k).drop("k"), k).select("query_id", "chunk_id", "rank"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("the benchmark has no cases")
