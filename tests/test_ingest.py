@@ -250,7 +250,7 @@ def test_stream(spark, tmp_path):
     ((stream, number),) = store._state(store.current())["batches"].items()
     assert len(stream) == 36 and number == 0
     # The batch again, as after a writer that died before its stream took note: no second state.
-    again = tables(raw(spark, TEXT))
+    again = {t: materialize(rows) for t, rows in tables(raw(spark, TEXT)).items()}
     assert store.commit(again, (stream, 0)) == store.current() == "000000000001"
     assert store.commit(again, (stream, 1)) == "000000000002" and store.commit(again, ("other", 0)) == "000000000003"
     assert store._state(store.current())["batches"] == {stream: 1, "other": 0}
