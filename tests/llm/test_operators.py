@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -277,6 +279,38 @@ def test_decontamination_of_rows_without_an_id_and_of_edits_at_ends(spark):
     assert decontaminate.clean(docs, item.limit(0)).count() == len(made) and decontaminate.clean(docs.limit(0), item).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    """Items of 20,000 words, with repeats and without, in seconds."""
+    draw = random.Random(4)
+    item = [f"u{draw.randint(0, 30_000)}" for _ in range(20_000)]
+    again = ["one", "two", "three"] * 6_000
+    edited = [f"e{i}" if i % 250 == 0 else w for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["a", "b", *item])), (2, " ".join(edited)), (3, " ".join(again[:-600])), (4, " ".join(again[:9_000]))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(again))], "item_id long, text string")
+    shingles = lambda w: list(zip(*(w[k:] for k in range(5)), strict=False))
+    began = time.perf_counter()
+    found = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.contaminated(docs, items).collect()}
+    assert time.perf_counter() - began < 60
+    assert found == {(1, 7): (2, 1.0), (2, 7): (0, pytest.approx(brute.weighted(shingles(edited), shingles(item)))), (3, 8): (0, pytest.approx(17_396 / 17_996))}
+
+
+def test_features_number_the_occurrences_of_a_shingle(spark):
+    lists = [([5, 7, 5, 5, 9, 7], [7, 5, 5, 1]), ([], [1]), ([3], [3, 3, 3]), ([2, 2], [2, 2]), ([], [])]
+    df = spark.createDataFrame([(a, b) for a, b in lists], "a array<long>, b array<long>")
+    out = df.select(F.expr(decontaminate._shared("a", "b")).alias("shared"), F.expr(decontaminate._features("a")).alias("f"), "a").collect()
+    assert [r.shared for r in out] == [sum((Counter(a) & Counter(b)).values()) for a, b in lists]
+    assert all(len(set(r.f)) == len(r.a) and set(r.a) <= set(r.f) for r in out)
+
+
+def test_runs_of_several_sizes_in_one_pass(spark):
+    words = [[], ["a"], ["a", "b", "c"], [f"w{i % 5}" for i in range(12)]]
+    df = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    for sizes in ([5], [1, 3, 5], [2, 4]):
+        once = df.select(F.size("w").alias("n"), F.posexplode(F.expr(decontaminate._all_runs(sizes))).alias("q", "h")).select("n", "h", F.expr(decontaminate._size_at(sizes)).alias("x")).select("n", "h", "x.size", "x.p")
+        each = [df.select(F.size("w").alias("n"), F.posexplode(F.expr(decontaminate._runs("w", str(k)))).alias("p", "h")).select("n", "h", F.lit(k).alias("size"), "p") for k in sizes]
+        assert rows(once) == sorted((r for e in each for r in rows(e)), key=brute.key)
+
+
 def test_recall_of_fingerprints_near_the_threshold(spark):
     """Pairs of lists with similarity 0.75 to 0.8, and unrelated ones."""
     draw, made = random.Random(9), []
