@@ -311,6 +311,20 @@ def test_runs_of_several_sizes_in_one_pass(spark):
         assert rows(once) == sorted((r for e in each for r in rows(e)), key=brute.key)
 
 
+def test_broadcasts_are_bounded_in_rows_and_in_values(spark, monkeypatch):
+    df = spark.range(10).select("id", F.expr("sequence(1, 100)").alias("x"))
+    told = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert told(decontaminate._near(df, "size(x)")) and told(decontaminate._near(df.limit(0), "size(x)"))
+    monkeypatch.setattr(decontaminate, "BROADCAST_LONGS", 999)
+    assert not told(decontaminate._near(df, "size(x)")) and told(decontaminate._near(df.select("id")))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 9)
+    assert not told(decontaminate._near(df.select("id")))
+    item = " ".join(f"Q{i}" for i in range(40))
+    docs, items = spark.createDataFrame([(1, f"a {item}"), (2, "b")], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert [tuple(r) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 7, 1, 1.0)] and [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 def test_recall_of_fingerprints_near_the_threshold(spark):
     """Pairs of lists with similarity 0.75 to 0.8, and unrelated ones."""
     draw, made = random.Random(9), []
