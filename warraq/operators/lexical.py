@@ -168,13 +168,18 @@ def trigrams(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(F.array_distinct(parts)).alias("trigram"))
 
 
+def holding(chunks: DataFrame, term: str) -> DataFrame:
+    """The chunks that hold ``term`` in any case, by one pass over their texts."""
+    low = F.lit(term.lower())
+    return chunks.filter(F.contains(F.lower("text_normalized"), low) | F.contains(F.lower("section_text_normalized"), low))
+
+
 def by_trigram(chunks: DataFrame, index: DataFrame, term: str) -> DataFrame:
     """The chunks that hold ``term`` in any case, found by its trigrams and checked; a term of fewer
     than three characters is looked for in all chunks."""
     low = term.lower()
-    held = F.contains(F.lower("text_normalized"), F.lit(low)) | F.contains(F.lower("section_text_normalized"), F.lit(low))
     parts = sorted({low[i : i + 3] for i in range(len(low) - 2)})
     if not parts:
-        return chunks.filter(held)
+        return holding(chunks, term)
     found = index.filter(F.col("trigram").isin(*parts)).groupBy("chunk_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(parts)).select("chunk_id")
-    return chunks.join(found, "chunk_id", "left_semi").filter(held)
+    return holding(chunks.join(found, "chunk_id", "left_semi"), term)

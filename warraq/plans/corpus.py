@@ -81,6 +81,13 @@ def relevant(spark: SparkSession, folder: str, held: DataFrame | None = None) ->
     return holding(chunks(spark, folder) if held is None else held, items)
 
 
+def telling(spark: SparkSession, folder: str, ranked: DataFrame) -> DataFrame:
+    """Of ranked pairs (query_id, text_original) those whose text holds the whole item: ``relevant`` where only
+    what a ranking gave is asked for, so no other text is looked at."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("__item"))
+    return ranked.join(small(items), "query_id").filter(F.contains("text_original", "__item")).drop("__item")
+
+
 #: The same model as DuckDB SQL, to stand after WITH.
 def _normalized(x: str) -> str:
     x = f"regexp_replace({x}, '(?:Page|Folio)V\\d+P\\d+[AB]?', ' ', 'g')"
