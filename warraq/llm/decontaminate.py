@@ -13,7 +13,11 @@ blocks. Every pair within a Hamming distance of 16 * 3 - 1 = 47 agrees with such
 principle; a farther pair, up to ``RADIUS``, does with a chance that falls slowly. At the threshold a bit differs
 with chance 0.172, so the distance is 44 on average with a deviation of 6: the chance that all blocks miss is
 1 in 20,000, that the distance is above the radius 1 in 25,000, and both fall fast with more similarity. An unrelated
-pair meets in one of its blocks in 3 of 100 cases. Shingle lists then decide exactly.
+pair meets in one of its blocks in 3 of 100 cases.
+
+What fingerprints leave to chance, an exact path provides: of two lists with similarity 0.75 or more, each holds at least
+that share of its own features in common, so the first quarter of the one's features and one more, by hash, meets that of the
+other. Windows and items meet by these, too, so no similar pair is missed. Shingle lists then decide exactly.
 
 Scale. Documents meet the shingles of the benchmark by a hash join (broadcast only below
 ``BROADCAST_ROWS`` and, where rows hold lists, ``BROADCAST_LONGS`` values in all; else shuffled), texts and windows by content, so a passage, or a text, that a third of all
@@ -151,15 +155,28 @@ def _windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame] |
     return materialize(windows.withColumn("key", F.xxhash64("win"))), found.select("row", "doc_id")
 
 
+def _leading(hashes: str) -> str:
+    """SQL for the least features of a list, by hash, of which every list that is similar has one among its own."""
+    return f"transform(array({_features(hashes)}), f -> slice(sort_array(f), 1, size(f) - (size(f) * {PERCENT} + 99) div 100 + 1))[0]"
+
+
+def _sharing(distinct: DataFrame, items: DataFrame) -> DataFrame:
+    """(length, key, item_id): windows and items that have a leading feature in common, as every similar pair has."""
+    mine = items.select("item_id", "length", F.explode(F.expr(_leading("item"))).alias("h"))
+    theirs = distinct.select("length", "key", F.explode(F.expr(_leading("win"))).alias("h"))
+    return theirs.join(_near(mine), ["length", "h"]).select("length", "key", "item_id")
+
+
 def _near_pairs(distinct: DataFrame, items: DataFrame) -> DataFrame:
-    """(length, key, item_id): windows (length, key, win) and items whose fingerprints are within the radius, by block."""
+    """(length, key, item_id): windows (length, key, win) and items whose fingerprints are within the radius, by block,
+    and those that share a leading feature."""
     printed = materialize(distinct.select("length", "key", F.expr(fingerprint("win")).alias("fp")))
     indexed = materialize(items.select("item_id", "length", F.expr(fingerprint("item")).alias("fp")))
     blocks = indexed.select("item_id", "length", F.explode(F.expr(INDEXED)).alias("b")).select("item_id", "length", "b.k", "b.v")
     probes = printed.select("length", "key", F.explode(F.expr(LOOKED_UP)).alias("b")).select("length", "key", "b.k", "b.v")
     met = probes.join(_near(blocks), ["length", "k", "v"]).select("length", "key", "item_id").distinct()
     both = met.join(printed, ["length", "key"]).join(_near(indexed.select("item_id", "length", F.col("fp").alias("item_fp"))), ["item_id", "length"])
-    return both.filter(F.expr(DISTANCE) <= RADIUS).select("length", "key", "item_id")
+    return both.filter(F.expr(DISTANCE) <= RADIUS).select("length", "key", "item_id").unionByName(_sharing(distinct, items)).distinct()
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame] | None:
