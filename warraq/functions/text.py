@@ -7,6 +7,8 @@ a line. U+001C to U+001F count as blanks, too.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +30,8 @@ DIACRITICS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed]"
 ALEFS, ALEF = "ٱأإآ", "ا"
 YEH_IN, YEH = "ى", "ي"
 TATWEEL = "ـ"
+#: The range that holds all of these.
+LETTERS = "[\u0610-\u06ed]"
 WORD = "[\u0621-\u063a\u0641-\u064a\u0660-\u0669A-Za-z0-9]+"
 PROCLITICS = ("و", "ف", "ب", "ك")
 ARTICLE, DOUBLE_LAM = "ال", "لل"
@@ -56,19 +60,22 @@ def squeeze(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
+    # Every mark holds one of these, and taking one out makes no new one; a search for them costs far less than four patterns.
+    marked = reduce(or_, [F.contains(text, F.lit(x)) for x in ("PageV", "FolioV", "Milestone", "#", "~~")])
+    out = text
     for pattern, to in ((PAGE, " "), (MILESTONE, " "), (LINE_PREFIX, ""), (DOLLAR_PREFIX, "")):
-        text = F.regexp_replace(text, pattern, to)
-    return text
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(marked, out).otherwise(text)
 
 
 def normalize(text: Column, composed: bool = False) -> Column:
     """Search text. ``composed``: the text is known to be in NFKC, so the plan stays inside the JVM."""
-    text = strip_markup(text)
+    plain = strip_markup(text)
     if not composed:
-        text = nfkc(text)
-    text = F.regexp_replace(text, DIACRITICS, "")
-    text = F.translate(text, ALEFS + YEH_IN + TATWEEL, ALEF * len(ALEFS) + YEH)
-    return squeeze(text)
+        plain = nfkc(plain)
+    letters = F.translate(F.regexp_replace(plain, DIACRITICS, ""), ALEFS + YEH_IN + TATWEEL, ALEF * len(ALEFS) + YEH)
+    # Composition can make such letters; without it, a text that has none is left alone.
+    return squeeze(F.when(text.rlike(LETTERS), letters).otherwise(plain) if composed else letters)
 
 
 def normalize_legacy(text: Column, composed: bool = False) -> Column:
