@@ -7,6 +7,7 @@ a line. U+001C to U+001F count as blanks, too.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -59,23 +60,27 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, rf"(?U){BLANK}+", " "))
 
 
+def _where(text: Column, held: Callable[[Column], Column], rule: Callable[[Column], Column]) -> Column:
+    """``rule`` of texts for which ``held`` is true, others as they are. The text is bound, so it stands once in the plan's code."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(held(x), rule(x)).otherwise(x)), 0)
+
+
 def strip_markup(text: Column) -> Column:
+    def rule(x: Column) -> Column:
+        for pattern, to in ((PAGE, " "), (MILESTONE, " "), (LINE_PREFIX, ""), (DOLLAR_PREFIX, "")):
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
     # Every mark holds one of these, and taking one out makes no new one; a search for them costs far less than four patterns.
-    marked = reduce(or_, [F.contains(text, F.lit(x)) for x in ("PageV", "FolioV", "Milestone", "#", "~~")])
-    out = text
-    for pattern, to in ((PAGE, " "), (MILESTONE, " "), (LINE_PREFIX, ""), (DOLLAR_PREFIX, "")):
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(marked, out).otherwise(text)
+    return _where(text, lambda x: reduce(or_, [F.contains(x, F.lit(sign)) for sign in ("PageV", "FolioV", "Milestone", "#", "~~")]), rule)
 
 
 def normalize(text: Column, composed: bool = False) -> Column:
     """Search text. ``composed``: the text is known to be in NFKC, so the plan stays inside the JVM."""
-    plain = strip_markup(text)
+    text = strip_markup(text)
     if not composed:
-        plain = nfkc(plain)
-    letters = F.translate(F.regexp_replace(plain, DIACRITICS, ""), ALEFS + YEH_IN + TATWEEL, ALEF * len(ALEFS) + YEH)
-    # Composition can make such letters; without it, a text that has none is left alone.
-    return squeeze(F.when(text.rlike(LETTERS), letters).otherwise(plain) if composed else letters)
+        text = nfkc(text)
+    return squeeze(_where(text, lambda x: x.rlike(LETTERS), lambda x: F.translate(F.regexp_replace(x, DIACRITICS, ""), ALEFS + YEH_IN + TATWEEL, ALEF * len(ALEFS) + YEH)))
 
 
 def normalize_legacy(text: Column, composed: bool = False) -> Column:
