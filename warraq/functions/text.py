@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,10 +41,10 @@ ARTICLE, DOUBLE_LAM = "ال", "لل"
 STOP_WORDS = ("في", "من", "علي", "الي", "عن", "هل", "ما", "ماذا", "كيف", "متي", "مع", "او", "و", "ثم", "ان", "اذا", "هذا", "هذه", "ذلك", "تلك", "هو", "هي")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition, the one rule Spark has no function for."""
-    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Compatibility composition, the one rule Spark has no function for. Of a batch only one text at a time is a Python string."""
+    return pa.array((None if not x.is_valid else unicodedata.normalize("NFKC", x.as_py()) for x in texts), pa.string(), size=len(texts))
 
 
 def trimmed(text: str) -> str:
