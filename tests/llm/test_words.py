@@ -29,3 +29,24 @@ def test_new_words_are_seen_in_runs(monkeypatch):
     encoder.tokenizer = Seen()
     encoder.encode([" ".join(sorted(words - {x for x in words if x[0] == "\x01"})) + "".join("\n" + x[1:] for x in sorted(words) if x[0] == "\x01")])
     assert sum(sizes) <= 5_500 // 256 + 3
+
+
+def test_words_of_the_last_texts_stay_known(monkeypatch):
+    monkeypatch.setattr(token_planes, "CACHE_BYTES", 10_000)
+    tokenizer, asked = library(), []
+
+    class Seen:
+        def encode_batch_fast(self, batch, add_special_tokens):
+            asked.extend(batch)
+            return tokenizer.encode_batch_fast(batch, add_special_tokens=add_special_tokens)
+
+    encoder = token_planes.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "last")
+    encoder.tokenizer = Seen()
+    for sign in "abc":
+        text = " ".join(f"{sign}{k}" for k in range(200))
+        expected, seen = np.array(library_ids(tokenizer, text), "<u4").tobytes(), []
+        for _ in range(2):
+            asked.clear()
+            assert encoder.encode([text, "", text]) == [expected, b"", expected]
+            seen.append(len(asked))
+        assert seen == [2, 0] and encoder.known.size <= 10_000

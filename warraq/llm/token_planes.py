@@ -19,13 +19,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +37,9 @@ TOKENIZER = "byte_bpe_50k.json"
 PART_BYTES, ROW_BYTES = 16 << 20, 16
 #: How many totals are summed up at once.
 FAN = 1024
-#: Bytes of words and ids beyond which a worker starts its memory of them anew, what an entry takes besides, and
-#: the characters beyond which a word is not kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 200 << 20, 200, 64
+#: Bytes of words and ids, in columns, beyond which a worker keeps but those of its last texts, and the characters
+#: beyond which a word is not kept.
+CACHE_BYTES, LONGEST = 80 << 20, 64
 LEVEL = 1
 #: New words that the library sees as one text.
 RUN = 256
@@ -48,8 +48,8 @@ RUN = 256
 _ODD = "\x00\x01\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Before a blank after what is white space to nobody.
 _CUT = re.compile("(?<=[^\\s\u180e])(?= )")
-#: Words that can be told apart in a run.
-_PLAIN = re.compile("\x01?[^\\s\x00\u180e]{1,%d}" % (LONGEST - 1)).fullmatch
+#: What no word has that can be told apart in a run.
+_WHITE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _ODD + " \n" if c != "\1") + "]"
 
 
 @lru_cache(1)
@@ -68,11 +68,18 @@ def _tokenizer(path: str):
 
 
 class _Known:
-    """The words that a job's tasks have met in this worker, and their bytes in all."""
+    """The words that a job's tasks have met in this worker, and the ids of each, as Arrow columns."""
 
     def __init__(self):
-        self.ids: dict[str, bytes] = {}
-        self.size = 0
+        self.words, self.told = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    @property
+    def ids(self) -> dict[str, bytes]:
+        return dict(zip(self.words.to_pylist(), self.told.to_pylist(), strict=True))
+
+    @property
+    def size(self) -> int:
+        return self.words.nbytes + self.told.nbytes
 
 
 @lru_cache(1)
@@ -82,70 +89,109 @@ def _known(path: str, job: str) -> _Known:
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, which sees each distinct word once a worker and job.
+    """Ids of texts by the tokenizers library, which sees a distinct word once a worker and job while it is kept.
 
     Every scan of the byte-level split pattern cuts before a blank that follows another character than
     white space, and before a line feed that does, so what comes from one such place to the next may be encoded apart. A text
-    that holds an added token's string is encoded as a whole. Short words are kept, up to ``CACHE_BYTES``; texts
+    that holds an added token's string is encoded as a whole. Short words are kept, up to ``CACHE_BYTES``, then those of the last texts alone; texts
     and long words never are. New words without white space are put one after another, ``RUN`` at a time, as one
-    text, which costs the library less than half of what so many texts do; a word's ids begin where one begins with a blank or a line feed."""
+    text, which costs the library less than half of what so many texts do; a word's ids begin where one begins with a blank or a line feed.
+
+    Words are cut, numbered, looked up and put together as Arrow columns; none is a Python object on the way but the few that go to the library alone."""
 
     def __init__(self, path: str, job: str = ""):
         (self.tokenizer, self.added, self.opens), self.known = _tokenizer(path), _known(path, job)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        odd = [self._odd(x) for x in texts]
+        # After a line feed a word has a one before it, the first of a text a zero.
+        plain = ["\0" + x.replace("\n", " \1") for x, o in zip(texts, odd, strict=True) if x and not o]
+        split = [self._split(x) for x, o in zip(texts, odd, strict=True) if o]
+        words = pa.array([x for pieces in split for x in pieces], pa.large_string())
+        if plain:
+            words = pa.concat_arrays([pc.split_pattern(pa.array([" ".join(plain)], pa.large_string()), " ").flatten(), words])
+        words = words.dictionary_encode()
+        ids = self._ids(words.dictionary).take(words.indices)
+        ends, data = _bytes(ids)
+        cuts = ends[np.cumsum([0, *(x.count(" ") + 1 for x in plain), *map(len, split)])].tolist()
+        of_plain, of_odd = zip(cuts, cuts[1:]), zip(cuts[len(plain) :], cuts[len(plain) + 1 :])
+        return [b"" if not x else data[slice(*next(of_odd if o else of_plain))] for x, o in zip(texts, odd, strict=True)]
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, known or new."""
         known = self.known
+        at = pc.index_in(words, value_set=known.words)
+        absent = at.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(absent))
+        learned = self._learn(new)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        at[absent] = len(known.words) + np.arange(len(new))
+        ids = pa.concat_arrays([known.told, learned]).take(pa.array(at))
+        fits = _fitting(new)
+        known.words, known.told = pa.concat_arrays([known.words, new.filter(fits)]), pa.concat_arrays([known.told, learned.filter(fits)])
+        if known.size > CACHE_BYTES:
+            fits = _fitting(words)
+            known.words, known.told = words.filter(fits), ids.filter(fits)
         if known.size > CACHE_BYTES:
-            known.ids.clear()
-            known.size = 0
-        split = [self._split(x) for x in texts]
-        missing = self._learn(set().union(*split).difference(known.ids)) if split else []
-        passing = []
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            done = self.tokenizer.encode_batch_fast([_piece(x) for x in part], add_special_tokens=False)
-            for key, e in zip(part, done, strict=True):
-                ids = known.ids[key] = array("I", e.ids).tobytes()
-                if len(key) > LONGEST or key[:2] == "\0\0":
-                    passing.append(key)
-                else:
-                    known.size += len(key) + len(ids) + ENTRY_BYTES
-        out = [b"".join(map(known.ids.__getitem__, x)) for x in split]
-        for key in passing:
-            del known.ids[key]
-        return out
-
-    def _learn(self, words: set[str]) -> list[str]:
-        """Keeps the ids of the words that can be told apart in a run, and gives back the others."""
-        plain, known = [x for x in words if _PLAIN(x)], self.known
-        others = list(words.difference(plain))
-        for at in range(0, len(plain), 64 * RUN):
-            runs = [plain[lo : lo + RUN] for lo in range(at, min(at + 64 * RUN, len(plain)), RUN)]
-            done = self.tokenizer.encode_batch_fast([(" " + " ".join(x)).replace(" \1", "\n") for x in runs], add_special_tokens=False)
-            for keys, e in zip(runs, done, strict=True):
-                ids = np.array(e.ids, "<u4")
-                begins = np.flatnonzero(self.opens[ids])
-                if len(begins) != len(keys) or begins[0]:
-                    others += keys
+            known.__init__()
+        return ids
+
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """The ids of new words: in runs of those that can be told apart there, the others each for itself."""
+        length = pc.utf8_length(words).to_numpy()
+        plain = (length > 0) & (length < LONGEST) & ~pc.match_substring_regex(words, _WHITE).to_numpy(zero_copy_only=False) & pc.not_equal(words, "\1").to_numpy(zero_copy_only=False)
+        places, others, ids, sizes = np.flatnonzero(plain), [np.flatnonzero(~plain)], [], []
+        learned = []
+        cuts = np.append(np.arange(0, len(places), RUN), len(places))
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(places))), pa.scalar(" ", pa.large_string())).to_pylist()
+        for at in range(0, len(runs), 64):
+            done = self.tokenizer.encode_batch_fast([(" " + x).replace(" \1", "\n") for x in runs[at : at + 64]], add_special_tokens=False)
+            for k, e in enumerate(done, at):
+                own, found = places[cuts[k] : cuts[k + 1]], np.array(e.ids, "<u4")
+                begins = np.flatnonzero(self.opens[found])
+                if len(begins) != len(own) or begins[0]:
+                    others.append(own)
                     continue
-                data, ends = ids.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(ids)]
-                known.ids.update(zip(keys, map(data.__getitem__, map(slice, (4 * begins).tolist(), ends)), strict=True))
-                known.size += sum(map(len, keys)) + len(data) + ENTRY_BYTES * len(keys)
-        return others
+                learned.append(own)
+                ids.append(found)
+                sizes.append(np.diff(begins, append=len(found)))
+        others = np.concatenate(others)
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            done = self.tokenizer.encode_batch_fast([_piece(x) for x in words.take(pa.array(part)).to_pylist()], add_special_tokens=False)
+            learned.append(part)
+            ids += [np.array(e.ids, "<u4") for e in done]
+            sizes.append(np.array([len(e.ids) for e in done], np.int64))
+        if not learned:
+            return pa.array([], pa.large_binary())
+        ends = 4 * np.cumsum(np.concatenate([[0], *sizes]), dtype=np.int64)
+        told = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(ids).tobytes())])
+        return told.take(pa.array(np.argsort(np.concatenate(learned))))
+
+    def _odd(self, text: str) -> bool:
+        """Whether blanks and line feeds alone do not tell a text's words."""
+        return text != "" and ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] == " " or text[-1] == " " or any(x in text for x in self.added) or any(x in text for x in _ODD))
 
     def _split(self, text: str) -> list[str]:
-        """Words that stand for themselves with a blank before them; after a one, with a line feed; after a zero, for themselves
+        """Pieces of an odd text: they stand for themselves with a blank before them; after a one, with a line feed; after a zero, for themselves
         alone; after two, for themselves and not to be kept."""
-        if not text:
-            return []
         if any(x in text for x in self.added):
             return ["\0\0" + text]
-        if any(x in text for x in _ODD) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] == " " or text[-1] == " ":
-            return ["\0\0" + x if "\0" in x or "\1" in x else x[1:] if x[0] == " " else "\0" + x for x in _CUT.split(text)]
-        words = text.replace("\n", " \1").split(" ")
-        words[0] = "\0" + words[0]
-        return words
+        return ["\0\0" + x if "\0" in x or "\1" in x else x[1:] if x[0] == " " else "\0" + x for x in _CUT.split(text)]
+
+
+def _fitting(words: pa.Array) -> pa.Array:
+    """Which words are to be kept."""
+    return pc.and_(pc.less_equal(pc.utf8_length(words), LONGEST), pc.invert(pc.starts_with(words, "\0\0")))
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where the values begin and end in what they are one after another."""
+    _, ends, data = column.buffers()
+    if not len(column):
+        return np.zeros(1, np.int64), b""
+    return np.frombuffer(ends, np.int64)[: len(column) + 1], data.to_pybytes() if data is not None else b""
 
 
 def _piece(key: str) -> str:
@@ -234,7 +280,7 @@ _PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.i
 _ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int32()), ("first", pa.int64()), ("planes", pa.list_(pa.binary())), ("pieces", pa.list_(_PIECE))])
 
 
-def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], most: int = 1 << 24) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` characters."""
     lo, held = 0, 0
     for k, x in enumerate(texts):
