@@ -39,7 +39,7 @@ PART_BYTES, ROW_BYTES = 16 << 20, 16
 FAN = 1024
 #: Bytes of words and ids, in columns, beyond which a worker keeps but those of its last texts, and the characters
 #: beyond which a word is not kept.
-CACHE_BYTES, LONGEST = 80 << 20, 64
+CACHE_BYTES, LONGEST = 32 << 20, 64
 LEVEL = 1
 #: New words that the library sees as one text.
 RUN = 256
@@ -116,7 +116,7 @@ class PieceEncoder:
         ends, data = _bytes(ids)
         cuts = ends[np.cumsum([0, *(x.count(" ") + 1 for x in plain), *map(len, split)])].tolist()
         of_plain, of_odd = zip(cuts, cuts[1:]), zip(cuts[len(plain) :], cuts[len(plain) + 1 :])
-        return [b"" if not x else data[slice(*next(of_odd if o else of_plain))] for x, o in zip(texts, odd, strict=True)]
+        return [b"" if not x else bytes(data[slice(*next(of_odd if o else of_plain))]) for x, o in zip(texts, odd, strict=True)]
 
     def _ids(self, words: pa.Array) -> pa.Array:
         """The ids of distinct words, known or new."""
@@ -186,12 +186,12 @@ def _fitting(words: pa.Array) -> pa.Array:
     return pc.and_(pc.less_equal(pc.utf8_length(words), LONGEST), pc.invert(pc.starts_with(words, "\0\0")))
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, bytes]:
+def _bytes(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Where the values begin and end in what they are one after another."""
     _, ends, data = column.buffers()
     if not len(column):
-        return np.zeros(1, np.int64), b""
-    return np.frombuffer(ends, np.int64)[: len(column) + 1], data.to_pybytes() if data is not None else b""
+        return np.zeros(1, np.int64), memoryview(b"")
+    return np.frombuffer(ends, np.int64)[: len(column) + 1], memoryview(data if data is not None else b"")
 
 
 def _piece(key: str) -> str:
@@ -280,7 +280,7 @@ _PIECE = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("at", pa.i
 _ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int32()), ("first", pa.int64()), ("planes", pa.list_(pa.binary())), ("pieces", pa.list_(_PIECE))])
 
 
-def _slices(texts: list[str], most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` characters."""
     lo, held = 0, 0
     for k, x in enumerate(texts):
