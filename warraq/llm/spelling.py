@@ -15,6 +15,8 @@
 Edge cases: null text has no words. A null doc_id counts as the empty string in the check that plants
 misspellings. Repeated rows count each. Ties go to the smaller word in code-point order. Extra columns are ignored.
 Texts and runs may have any length; counts are passed on whenever a task holds ``HELD`` of them or as many bytes.
+Tables of words are joined by merging: Spark sizes keys like the words they come from, and written tables by their
+compressed files, so it would broadcast far more than the driver holds.
 An empty table gives no rows.
 """
 
@@ -144,7 +146,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     right = given.select("h1", "h2", *[F.col(c).alias(f"r_{c}") for c in ("place", "n", "a", "z")])
     # Different words with one key: at most one of them is the key itself.
     one_edit = F.expr("l_a < 0 OR r_a < 0 OR greatest(l_a, r_a) <= least(l_z, r_z)")
-    pairs = left.join(right, ["h1", "h2"]).filter((F.col("l_place") < F.col("r_place")) & one_edit)
+    pairs = left.hint("merge").join(right, ["h1", "h2"]).filter((F.col("l_place") < F.col("r_place")) & one_edit)
     both = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{x}_place").alias("place"), F.struct(F.col(f"{y}_place").alias("place"), F.col(f"{y}_n").alias("n")).alias("best")) for x, y in ("lr", "rl")])).alias("p")).select("p.*")
     return both.groupBy("place").agg(F.count("*").alias("n_near"), F.min("best").alias("best")).select("place", "n_near", F.col("best.place").alias("near"), F.col("best.n").alias("near_n"))
 
@@ -154,7 +156,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = materialize(links.select("place", F.col("to").alias("root")))
     while True:
         onward = now.select(F.col("place").alias("root"), F.col("root").alias("next"))
-        after = materialize(now.join(onward, "root", "left").select("place", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        after = materialize(now.hint("merge").join(onward, "root", "left").select("place", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         discard(now)
         now = after
         if after.filter("moved").isEmpty():
@@ -166,12 +168,12 @@ def variants(docs: DataFrame) -> DataFrame:
     counts = count_words(docs).withColumn("less", -F.col("n"))
     words = materialize(ranked(counts, "less", "word").select(F.col("__place").alias("place"), "word", "n"))
     near = materialize(neighbours(words))
-    formed = near.join(words.select("place", "n"), "place").filter(F.col("near_n") >= RATIO * F.col("n"))
+    formed = near.hint("merge").join(words.select("place", "n"), "place").filter(F.col("near_n") >= RATIO * F.col("n"))
     linked = materialize(formed.select("place", F.col("near").alias("to"), F.col("near_n").alias("form_n")))
     ends = roots(linked)
-    named = lambda c: words.select(F.col("place").alias(c), F.col("word").alias(f"{c}_word"))
-    told = linked.join(ends, "place").join(named("to"), "to").join(named("root"), "root").select("place", F.col("to_word").alias("form"), F.col("root_word").alias("root"), "form_n")
-    out = words.join(near.select("place", "n_near"), "place", "left").join(told, "place", "left")
+    named = lambda c: words.select(F.col("place").alias(c), F.col("word").alias(f"{c}_word")).hint("merge")
+    told = linked.hint("merge").join(ends, "place").join(named("to"), "to").join(named("root"), "root").select("place", F.col("to_word").alias("form"), F.col("root_word").alias("root"), "form_n")
+    out = words.hint("merge").join(near.select("place", "n_near").hint("merge"), "place", "left").join(told.hint("merge"), "place", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
