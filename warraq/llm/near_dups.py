@@ -7,14 +7,18 @@ as integers: ``100 * intersection >= 75 * union``. Links form components, labell
 doc_id.
 
 Scale. One pass hashes the texts; 16 values a class travel, not texts, and 128 for members of long
-lists. Lists of at most ``SHORT`` classes are joined pairwise. A longer list, as a passage or a large family of near copies makes, is
+lists. Lists of at most ``SHORT`` classes are joined pairwise. A longer list, as a common passage makes, is taken apart:
+its members meet anew by the values of their wide sketches, rarest first, and only by as many as a partner cannot do
+without (a prefix filter), so texts with nothing but the passage in common do not meet. What is still long is a family
+of near copies. All lists of a family are one crowd, whose pairs are looked at once, unless its lists hold fewer
+pairs: then each list is a crowd, and a pair is looked at only in the first list that it shares. A crowd is
 cut into blocks; each pair of blocks is compared inside one task as an incidence matrix, which first
 names the members that may have a partner and then, for those alone, verifies full sets and gives
-out links that join them (a tree of small fan-out for each group), so no step gives out all pairs of a list. A pair
-is looked at only in the list of the smallest value that it shares. Nothing is capped: a pair at the
+out links that join them (a tree of small fan-out for each group), so no step gives out all pairs of a crowd.
+Nothing is capped: a pair at the
 threshold shares no value, or fewer than ``LEAST`` of them, once in about four million cases, and
-falls ``SLACK`` deviations below the threshold in a wide sketch once in a million. A list of M classes is sent
-out M / ``BLOCK`` times, which is the price of an exact answer where M different texts share a value.
+falls ``SLACK`` deviations below the threshold in a wide sketch once in a million. A crowd of M classes is sent
+out M / ``BLOCK`` times, which is the price of an exact answer where M different texts are so alike.
 
 Sets count as equal if two 64-bit hashes of them are.
 
@@ -26,6 +30,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,8 @@ FAN = 32
 LEAST = 3
 #: Standard deviations below the threshold at which an estimate from wide sketches still goes on to be verified.
 SLACK = 4.75
+#: Shared values of two wide sketches, one of them full, below which no estimate goes on.
+ENOUGH = math.ceil(PERCENT / 100 * WIDE - SLACK * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) * WIDE))
 
 
 def row_key() -> Column:
@@ -121,7 +128,7 @@ def overlaps(values: list[np.ndarray], width: int = 8192) -> np.ndarray:
     top = int(column[-1]) + 1 if len(column) else 0
     for lo in range(0, top, width):
         a, b = np.searchsorted(column, [lo, lo + width])
-        m = np.zeros((len(values), width), np.float32)
+        m = np.zeros((len(values), min(width, top - lo)), np.float32)
         m[row[a:b], column[a:b] - lo] = 1
         out += m @ m.T
     return out
@@ -133,13 +140,13 @@ def _across(side: np.ndarray) -> np.ndarray:
     return (side[:, None] != side[None, :]) if two else ~np.eye(len(side), dtype=bool)
 
 
-def _may_link(v: int, wide: list[np.ndarray], n: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Pairs of a list that the wide sketches don't rule out, and whose smallest shared value is the list's.
+def _may_link(before: list[np.ndarray], wide: list[np.ndarray], n: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs of a crowd that the wide sketches don't rule out, and that share none of the values before its own.
 
     Up to the lesser of two sketches' ends both sets are known, so the shared part of their union there
     estimates the similarity; where it ends both sets, it is the similarity."""
     pairs = _across(side) & (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * PERCENT)
-    pairs &= overlaps([s[s < v] for s in wide]) == 0
+    pairs &= overlaps(before) == 0
     shared = overlaps(wide).astype(np.float64)
     ends = np.array([s[-1] if k > WIDE else np.iinfo(np.int64).max for s, k in zip(wide, n.tolist(), strict=True)])
     end = np.minimum.outer(ends, ends)
@@ -151,18 +158,64 @@ def _may_link(v: int, wide: list[np.ndarray], n: np.ndarray, side: np.ndarray) -
 
 
 def _members(frame: DataFrame) -> DataFrame:
-    """Spreads a list's members over the pairs of its blocks."""
+    """Spreads a crowd's members over the pairs of its blocks."""
     blocks = frame.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int"))
     other = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "nb", "m")
 
 
-def _long_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    spread = _members(postings.join(nodes.select("node", "n", "wide"), "node"))
+def _lists(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings (v, node, n) of short lists, and of long ones with their length m."""
+    counts = postings.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
+    return postings.join(counts.filter(F.col("m") <= SHORT).select("v"), "v"), postings.join(counts.filter(F.col("m") > SHORT), "v")
+
+
+def _rare_first(nodes: DataFrame) -> DataFrame:
+    """(node, n, rare) as a written table: of the values in each wide sketch those, rarest first, one of which it shares with
+    every partner. A pair that ``_may_link`` lets through shares 3/4 of the larger set, or ``ENOUGH`` values where one
+    set is cut; a value with fewer after it is not the first one shared. A node with fewer values that others hold has no partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("wide")]
+                at = pa.array(np.repeat(np.arange(len(values)), [len(x) for x in values]))
+                yield pa.RecordBatch.from_arrays([part.column("node").take(at), part.column("n").take(at), pa.array(np.concatenate(values))], ["node", "n", "v"])
+
+    values = materialize(nodes.select("node", "n", "wide").mapInArrow(run, "node bigint, n bigint, v bigint"))
+    seen = values.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = values.hint("merge").join(seen, "v").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("m", "v"))).alias("shared"))
+    free = F.size("shared") - F.least(F.ceil(F.col("n") * PERCENT / 100), F.lit(ENOUGH)).cast("int")
+    out = materialize(shared.filter(free >= 0).select("node", "n", F.slice("shared.v", F.lit(1), free + 1).alias("rare")))
+    discard(values)
+    return out
+
+
+def _crowds(many: DataFrame, rare: DataFrame) -> DataFrame:
+    """(v, node, m, before) as a written table: nodes that long lists (v, node, n, m) join are one crowd of m, or one a
+    list where that makes fewer pairs; before: the values that no pair of this crowd may share."""
+    heads = materialize(many.groupBy("v", "m").agg(F.min("node").alias("node")))
+    roots = materialize(components(many.select("v", "node").join(heads.select("v", F.col("node").alias("a")), "v").select("a", F.col("node").alias("b"))))
+    pairs = heads.join(roots, "node").groupBy("root").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("apart"))
+    kinds = roots.groupBy("root").agg(F.count("*").alias("size")).join(pairs, "root")
+    kinds = materialize(kinds.select("root", "size", (F.col("size").cast("double") * F.col("size") <= F.col("apart")).alias("whole")))
+    of = roots.join(kinds, "root")
+    whole = of.filter("whole").select(F.col("root").alias("v"), "node", F.col("size").alias("m"), F.array().cast("array<bigint>").alias("before"))
+    # Files of postings and arrays are far smaller than their rows, so Spark would broadcast too much.
+    apart = many.hint("merge").join(of.filter("not whole").select("node"), "node").join(rare.select("node", "rare").hint("merge"), "node")
+    crowds = materialize(whole.union(apart.select("v", "node", "m", F.slice("rare", F.lit(1), F.array_position("rare", F.col("v")).cast("int") - 1))))
+    for used in (heads, roots, kinds):
+        discard(used)
+    return crowds
+
+
+def _long_lists(crowds: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    spread = _members(crowds.hint("merge").join(nodes.select("node", "n", "wide"), "node"))
 
     def flag(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         v, i, j = keys
-        may = _may_link(v, [np.frombuffer(x, np.int64) for x in frame["wide"]], frame["n"].to_numpy(), frame["own"].to_numpy())
+        may = _may_link([np.asarray(x, np.int64) for x in frame["before"]], [np.frombuffer(x, np.int64) for x in frame["wide"]], frame["n"].to_numpy(), frame["own"].to_numpy())
         kept = frame.loc[may.any(axis=1), ["node", "n", "own"]]
         return kept.assign(v=v, i=i, j=j)[["v", "i", "j", "own", "node", "n"]]
 
@@ -211,7 +264,7 @@ def _short_lists(postings: DataFrame, nodes: DataFrame, docs: DataFrame) -> tupl
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    checked = pairs.join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").mapInArrow(verify, "a bigint, b bigint")
+    checked = pairs.hint("merge").join(full.toDF("a", "ha"), "a").join(full.toDF("b", "hb"), "b").mapInArrow(verify, "a bigint, b bigint")
     return pairs, full, checked
 
 
@@ -257,15 +310,22 @@ def near_dups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, row_key) for every row of ``docs``."""
     rows = told_apart(materialize(sketches(docs)))
     nodes = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
-    posted = nodes.select(F.explode("sketch").alias("v"), "node", "n")
-    counts = nodes.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
-    lists = counts.filter(F.col("m") <= SHORT).select("v")
-    long_lists = counts.filter(F.col("m") > SHORT)
-    pairs, full, short = _short_lists(posted.join(lists, "v"), nodes, docs)
-    flagged, long_edges = _long_lists(posted.drop("n").join(long_lists, "v"), nodes, docs)
-    edges = materialize(short.union(long_edges))
-    for used in (pairs, full, flagged):
+    few, many = _lists(nodes.select(F.explode("sketch").alias("v"), "node", "n"))
+    met = materialize(many.select("node").distinct())
+    rare = _rare_first(nodes.join(met, "node"))
+    rare_few, rare_many = _lists(rare.select(F.explode("rare").alias("v"), "node", "n"))
+    postings = materialize(few.union(rare_few.select(F.xxhash64("v"), "node", "n")))
+    pairs, full, checked = _short_lists(postings, nodes, docs)
+    short = materialize(checked)
+    for used in (met, postings, pairs, full):
+        discard(used)
+    lists = materialize(rare_many)
+    crowds = _crowds(lists, rare)
+    flagged, linked = _long_lists(crowds, nodes, docs)
+    long = materialize(linked)
+    for used in (rare, lists, crowds, flagged):
         discard(used)
+    edges = short.union(long)
     roots = components(edges)
     named = roots.join(nodes.select("node", "doc_id"), "node")
     labels = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
@@ -274,7 +334,7 @@ def near_dups(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "row_key", "n", "node").join(alone, "node", "left")
     label = F.coalesce("component_id", "doc_id")
     told = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, label.isNull()).alias("kept"), "row_key"))
-    for used in (rows, nodes, edges, alone):
+    for used in (rows, nodes, short, long, alone):
         discard(used)
     return told
 
